@@ -7,8 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsieve.llm import chat, exact_dedup, mixing, sharding
-from labelsieve.llm.common import table
+import public_tokenizers
+
+from labelsieve.llm import bpe, chat, exact_dedup, mixing, quality, sharding, substring
+from labelsieve.llm.common import id_crc32, table
+
+
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (id_crc32(F.col("doc_id")) % 4 == 2).alias("held_out"), quality.quality_score(trees, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_docs(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +73,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_sharding, op6_exact_dedup, op9_chat, op10_mixing]
+    found = [op1_substring, op3_quality, op4_bpe, op5_sharding, op6_exact_dedup, op9_chat, op10_mixing]
     return {f.__name__: f for f in found}
 
 
