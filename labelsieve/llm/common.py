@@ -182,6 +182,14 @@ def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep: n
     return pa.Array.from_buffers(pa.large_string(), len(kept) - 1, [None, pa.py_buffer(target[kept].astype(np.int64)), pa.py_buffer(out)]).cast(pa.string())
 
 
+def unsigned_mod(column: str, n: int) -> Column:
+    """A long read as unsigned, modulo n: what numpy has for uint64."""
+    half = 2**32
+    c = F.col(column)
+    high, low = F.shiftrightunsigned(c, 32), c.bitwiseAND(F.lit(half - 1))
+    return ((high % n * (half % n) + low) % n).cast("int")
+
+
 # ---- packed buckets ----------------------------------------------------------------------------------------------
 
 

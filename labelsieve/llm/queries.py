@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from labelsieve.llm import bpe, chat, exact_dedup, mixing, quality, sharding, substring
+from labelsieve.llm import bpe, chat, exact_dedup, lm, mixing, quality, sharding, substring
 from labelsieve.llm.common import id_crc32, table
 
 
@@ -50,6 +50,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_texts(table(spark, sf_dir, "documents"))
+    held_out = id_crc32(F.col("doc_id")) % 5 == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -73,7 +79,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring, op3_quality, op4_bpe, op5_sharding, op6_exact_dedup, op9_chat, op10_mixing]
+    found = [op1_substring, op3_quality, op4_bpe, op5_sharding, op6_exact_dedup, op8_lm, op9_chat, op10_mixing]
     return {f.__name__: f for f in found}
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelsieve.llm.common import NO_ID, bucket_count, gram_hashes, gram_positions, joined_words, packed, slices, text_buffers, unpacked, word_hashes, words
+from labelsieve.llm.common import NO_ID, bucket_count, gram_hashes, gram_positions, joined_words, packed, slices, text_buffers, unpacked, unsigned_mod, word_hashes, words
 
 #: Perfect difference sets: every difference modulo v occurs, with the fewest residues.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 6, 8, 18)}
@@ -204,17 +204,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", te
     hits = "bucket int, id binary, pos binary"
     anchors = keyed.select("id", "body").mapInArrow(_anchors(window, buckets), _PACKED)
     marked = anchors.groupBy("bucket").applyInArrow(_repeats(buckets, False), hits)
-    by_id = keyed.withColumn("bucket", _unsigned_mod("id", buckets))
+    by_id = keyed.withColumn("bucket", unsigned_mod("id", buckets))
     windows = by_id.groupBy("bucket").cogroup(marked.groupBy("bucket")).applyInArrow(_windows(window, buckets), _PACKED)
     repeats = windows.groupBy("bucket").applyInArrow(_repeats(buckets, True), hits)
     return by_id.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(
         _cut(window, kind), f"doc_id {dict(keyed.dtypes)['doc_id']}, n_words long, n_removed long, kept_text string, removed_spans array<struct<start: long, end: long>>"
     )
-
-
-def _unsigned_mod(column: str, n: int):
-    """A long read as unsigned, modulo n: what numpy has for uint64."""
-    half = 2**32
-    c = F.col(column)
-    high, low = F.shiftrightunsigned(c, 32), c.bitwiseAND(F.lit(half - 1))
-    return ((high % n * (half % n) + low) % n).cast("int")
