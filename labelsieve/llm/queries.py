@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from labelsieve.llm import bpe, chat, exact_dedup, lm, mixing, quality, sharding, substring
+from labelsieve.llm import bpe, chat, exact_dedup, jaccard, lm, mixing, quality, sharding, substring
 from labelsieve.llm.common import id_crc32, table
 
 
@@ -18,6 +18,10 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -79,7 +83,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring, op3_quality, op4_bpe, op5_sharding, op6_exact_dedup, op8_lm, op9_chat, op10_mixing]
+    found = [op1_substring, op2_jaccard, op3_quality, op4_bpe, op5_sharding, op6_exact_dedup, op8_lm, op9_chat, op10_mixing]
     return {f.__name__: f for f in found}
 
 
