@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from labelsieve.llm import bpe, chat, exact_dedup, jaccard, lm, mixing, quality, sharding, substring
+from labelsieve.llm import bpe, chat, embed, exact_dedup, jaccard, lm, mixing, quality, sharding, substring
 from labelsieve.llm.common import id_crc32, table
 
 
@@ -54,6 +54,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score_texts(table(spark, sf_dir, "documents"))
     held_out = id_crc32(F.col("doc_id")) % 5 == 1
@@ -83,7 +87,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring, op2_jaccard, op3_quality, op4_bpe, op5_sharding, op6_exact_dedup, op8_lm, op9_chat, op10_mixing]
+    found = [op1_substring, op2_jaccard, op3_quality, op4_bpe, op5_sharding, op6_exact_dedup, op7_embeddings, op8_lm, op9_chat, op10_mixing]
     return {f.__name__: f for f in found}
 
 
