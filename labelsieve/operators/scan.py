@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelsieve.sources.tables import small
+from labelsieve.sources.tables import compact, small
 
 #: Characters kept before and behind an occurrence.
 BEFORE, AFTER = 6, 10
@@ -20,6 +20,7 @@ def occurrences(df: DataFrame, ids: Sequence[str], text: str, terms: DataFrame)
     wide as the longest term with its surroundings; the first character prunes it, the lengths of that character's terms
     give the keys, and the keys meet the terms in an equi-join. Outside the text the window holds NUL.
     """
+    terms = compact(terms)
     longest = terms.agg(F.max(F.length("term"))).first()[0] or 1
     width = BEFORE + longest + AFTER
     padded = F.concat(F.lit("\0" * BEFORE), F.coalesce(F.col(text), F.lit("")), F.lit("\0" * (longest + AFTER)))

@@ -14,7 +14,7 @@ from labelsieve.operators.scan import candidate, leftmost_longest, occurrences,
 from labelsieve.operators.section import accepts_start, detect_kind, detect_name, find_section, known_share
 from labelsieve.operators.segments import coverage, segment, unreadable
 from labelsieve.operators.verdict import food_verdict, nonfood_verdict
-from labelsieve.sources.tables import Lexicon, Settings
+from labelsieve.sources.tables import Lexicon, Settings, stored
 
 OPTIONS = {"ocr_confidence": "int", "product_kind": "string", "ai_read": "boolean", "web_source": "string"}
 
@@ -115,12 +115,14 @@ def screen_labels(labels: DataFrame, lexicon: Lexicon, settings: Settings | None
     row = row.withColumn("ruled", generic_rules(text, rules, F.col("hits")))
     row = row.withColumn("rule_found", F.transform("ruled", lambda r: fi.finding(F.substring(text, r["start"] + 1, r["end"] - r["start"]), r["en"], "", r["status"], r["category"], r["note"], r["start"], "rule")))
     said = F.when(nonfood, F.slice(code_mentions(text, F.col("code_marks"), F.col("parens")), 1, 0)).otherwise(code_mentions(text, F.col("code_marks"), F.col("parens")))
-    row = row.withColumn("mentions", said)
+    # Codes and segments build on the same rows, which are written once rather than scanned again.
+    row = stored(row.withColumn("mentions", said).drop("roles", "ruled", "triggers", "code_marks", "parens", "hits", "strong", "weak"), "labels")
+    nonfood, text, section = F.col("kind") == "nonfood", F.col("norm"), F.col("section")
     coded = join_codes(row.select("label_id", F.explode("mentions").alias("m")).select("label_id", "m.*"), lexicon.codes, ["label_id"])
     coded = coded.groupBy("label_id").agg(F.array_sort(F.collect_list(F.struct("group", "index", "no", "code", "name_zh", "name_en", "status", "note"))).alias("codes"))
     segments = coverage(segment(row.select("label_id", F.col("section.text").alias("scope")), ["label_id"], "scope", lexicon.dictionary), ["label_id"])
     none_coded, none_segments = F.array().cast(coded.schema["codes"].dataType), F.array().cast(segments.schema["segments"].dataType)
-    row = row.drop("roles", "ruled", "triggers", "code_marks", "parens", "mentions", "hits").join(coded, "label_id", "left").join(segments, "label_id", "left")
+    row = row.drop("mentions").join(coded, "label_id", "left").join(segments, "label_id", "left")
     row = row.withColumns({"codes": F.coalesce("codes", none_coded), "segments": F.coalesce("segments", none_segments), "cjk_chars": F.coalesce("cjk_chars", F.lit(0)), "coverage": F.coalesce("coverage", F.lit(0.0))})
     code_found = F.transform(
         F.filter("codes", lambda c: c["status"] != "ok"),

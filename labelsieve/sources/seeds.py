@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from labelsieve.sources.tables import Lexicon, build_nonfood_dictionary, load_codes, load_dictionary, load_products
+from labelsieve.sources.tables import Lexicon, build_nonfood_dictionary, load_codes, load_dictionary, load_products, local_table
 
 DICTIONARY = """
 猪肉|haram|pork|zhūròu|pork|;猪油|haram|lard|zhūyóu|pork|;酒精|haram|alcohol|jiǔjīng|alcohol|;料酒|haram|cooking wine|liàojiǔ|alcohol|;明胶|doubtful|gelatin|míngjiāo|gelatin|animal source unstated
@@ -40,12 +40,12 @@ def _products(spark: SparkSession, text: str):
     for k, x in enumerate(_rows(text, 0)):
         at = next(i for i, v in enumerate(x) if v in levels)
         rows.append((k, "|".join(x[:at]), *(x[at:] + ["", ""])[:4]))
-    return load_products(spark.createDataFrame(rows, "ord int, names string, level string, en string, typical string, note string"))
+    return load_products(local_table(spark, rows, "ord int, names string, level string, en string, typical string, note string"))
 
 
 def lexicon(spark: SparkSession) -> Lexicon:
     schema = "ord int, term string, status string, en string, py string, category string, note string"
-    food = load_dictionary(spark.createDataFrame([(k, *x) for k, x in enumerate(_rows(DICTIONARY, 6))], schema))
-    over = load_dictionary(spark.createDataFrame([(k, *x) for k, x in enumerate(_rows(NONFOOD, 6))], schema))
-    codes = load_codes(spark.createDataFrame(_rows(CODES, 5), "code string, name_zh string, name_en string, status string, note string"))
+    food = load_dictionary(local_table(spark, [(k, *x) for k, x in enumerate(_rows(DICTIONARY, 6))], schema))
+    over = load_dictionary(local_table(spark, [(k, *x) for k, x in enumerate(_rows(NONFOOD, 6))], schema))
+    codes = load_codes(local_table(spark, _rows(CODES, 5), "code string, name_zh string, name_en string, status string, note string"))
     return Lexicon(food, build_nonfood_dictionary(food, over), codes, _products(spark, PRODUCTS), _products(spark, PRODUCTS_NONFOOD), STRONG, WEAK)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from labelsieve.sources import fixed
 
@@ -32,6 +37,30 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from Python rows that needs no job to be made."""
+    fields = StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(fields.names, r, strict=True)) for r in rows], to_arrow_schema(fields)), fields)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the folder that driver and executors share and read it back, where several results build on it."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        top = tempfile.mkdtemp(prefix="labelsieve-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """A lexicon within the bound as one local table, so that the joins with it don't compute it again."""
+    rows = df.limit(BROADCAST_ROWS + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= BROADCAST_ROWS else df
+
+
 def load_dictionary(entries: DataFrame) -> DataFrame:
     """Entries with defaults: no status means ok, other gaps are empty; rows without a term go; order by ord."""
     filled = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("en", "py", "category", "note")]
@@ -83,7 +112,7 @@ def load_codes(rows: DataFrame) -> DataFrame:
 
 
 def phrases(spark: SparkSession, kind: str, words: list[str]) -> DataFrame:
-    return spark.createDataFrame([(kind, k, w) for k, w in enumerate(words)], "kind string, ord int, term string")
+    return local_table(spark, [(kind, k, w) for k, w in enumerate(words)], "kind string, ord int, term string")
 
 
 @dataclass
