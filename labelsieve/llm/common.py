@@ -57,6 +57,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send fewer rows at a time to Python than Spark's default: whole texts may be long, and a batch is held in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def bucket_count(docs: DataFrame, text: str, bytes_per_bucket: int = BUCKET_BYTES) -> int:
     """Buckets for a packed shuffle, in proportion to all bytes of text, so that one bucket's size stays the same."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -5,9 +5,10 @@ two of them that meet in a subset are judged by their sizes alone. Large (heavy)
 rarest shingles (as many as a partner can't miss all of), and the lists are scanned. The boundary between the two is
 chosen by cost from the sizes of all sets.
 
-Scanning doesn't spell out all pairs of a list. Each set is first compared with one hub of the list; what that links is
-one component, and later rounds compare only sets of a list that are still in different components. All of those are
-compared in the last round, so no link between components is lost.
+A scan rejects pairs by sizes and by a sketch: for SKETCH cells whether each holds an odd number of members, which differs
+in no more cells than the sets differ in members. It doesn't spell out all pairs that are left. First each set is paired with one partner of a list; what
+whole sets confirm as links makes components, and later scans only look at pairs of different components. The last one
+takes all of those, so no link between components is lost. Lists of more than TILE sets are cut into tiles.
 """
 
 from __future__ import annotations
@@ -19,15 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelsieve.llm.common import bucket_count, gram_hashes, lowered, mix64, packed, slices, stored, text_buffers, unpacked, word_hashes, words
+from labelsieve.llm.common import bucket_count, gram_hashes, lowered, mix64, modest_batches, packed, slices, stored, text_buffers, unpacked, unsigned_mod, word_hashes, words
 from labelsieve.llm.components import components
 
 #: Counters of the shingle frequency table; its size is fixed, and it only orders shingles.
 COUNTERS = 1 << 22
 _SLICES = 64
-#: Hub rounds at most, and pairs per posting up to which all pairs between components are compared at once.
-HUB_ROUNDS = 4
-PAIRS_PER_POSTING = 2.0
+#: Cells of a set's sketch, sets of one side of a tile, and the list length up to which all pairs are looked at at once.
+SKETCH, TILE, SHORT = 1024, 2000, 64
+#: Scans that pair each set of a list with one partner, before the one that takes all pairs between components.
+PARTNER_ROUNDS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +75,10 @@ def _sketch(n: int):
                 size, key = _set_keys(doc, h, b - a)
                 table += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
                 ids = batch.column(0).slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(key), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names=["doc_id", "n", "key", "slice", "counts"])
+                cells = np.bincount(doc * SKETCH + (h >> np.uint64(54)).astype(np.int64), minlength=(b - a) * SKETCH)
+                body = pa.py_buffer(np.packbits((cells & 1).astype(np.uint8)))
+                sketch = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((np.arange(b - a + 1) * (SKETCH // 8)).astype(np.int32)), body])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(key), pa.nulls(b - a, pa.int32()), sketch], names=["doc_id", "n", "key", "slice", "counts"])
         kind = ids.type if table.any() else pa.int64()
         if table.any():
             rows = [np.minimum(table[k * width : (k + 1) * width], 65535).astype(np.uint16).tobytes() for k in range(_SLICES)]
@@ -171,8 +176,7 @@ def _postings(n: int, rule: Rule, boundary: int, rank, buckets: int):
 
 
 def _lists(rule: Rule):
-    """From a bucket's postings to lists of two sets or more. Heavy lists are cut into overlapping bands of sizes: two sets that
-    may link share a band. Light groups become stars around their smallest set, which links with every set that links at all."""
+    """From a bucket's postings to lists of two sets or more. Long lists are cut into tiles, one for each two parts. Light groups become stars around their smallest set, which links with every set that links at all."""
 
     def several(group: np.ndarray) -> np.ndarray:
         _, inverse, count = np.unique(group, return_inverse=True, return_counts=True)
@@ -196,26 +200,124 @@ def _lists(rule: Rule):
         hub = np.repeat(first, np.diff(np.concatenate([first, [len(lh)]])))
         joined = rule.holds(overlap, ls, ls[hub]) & (lk != lk[hub])
         hh, hk, hs = h[~light], key[~light], size[~light]
-        band = np.floor(np.log(np.maximum(hs, 1)) / np.log(100 / rule.percent) - 1e-9).astype(np.int64)
-        token = np.concatenate([mix64(hh + (band + s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) for s in (0, 1)])
-        hk, hs = np.tile(hk, 2), np.tile(hs, 2)
-        if len(token):
-            many = several(token)
-            token, hk, hs = token[many], hk[many], hs[many]
-        kinds = pa.array(np.concatenate([np.zeros(len(token), bool), np.ones(int(joined.sum()), bool)]))
-        return pa.table({"light": kinds, "token": np.concatenate([token, lk[hub][joined]]), "key": np.concatenate([hk, lk[joined]]), "size": np.concatenate([hs, ls[joined]]).astype(np.int32)})
+        first = np.flatnonzero(np.concatenate([[True], hh[1:] != hh[:-1]])) if len(hh) else np.zeros(0, np.int64)
+        length = np.diff(np.concatenate([first, [len(hh)]]))
+        parts = np.repeat(-(-length // TILE), length)
+        row = np.repeat(np.arange(len(hh)), parts)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+        salt = (mix64(hk.view(np.uint64)) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64)[row]
+        low, high = np.minimum(salt, other), np.maximum(salt, other)
+        token = mix64(hh[row] + ((low << 32) | high).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        side = np.where(low == high, 2, (salt == high).astype(np.int64))
+        n, m = len(token), int(joined.sum())
+        return pa.table({
+            "light": np.arange(n + m) >= n, "token": np.concatenate([token, lk[hub][joined]]), "side": np.concatenate([side, np.full(m, 2)]).astype(np.int32),
+            "key": np.concatenate([hk[row], lk[joined]]), "size": np.concatenate([hs[row], ls[joined]]).astype(np.int32),
+        })
 
     return run
 
 
-def _sets(n: int):
+def _few_apart(a: np.ndarray, b: np.ndarray, size: np.ndarray, sketch: np.ndarray, rule: Rule) -> np.ndarray:
+    """Which of the pairs (a, b) of rows sizes and sketches leave possible."""
+    total = size[a] + size[b]
+    most = total - 2 * -(-rule.percent * total // (100 + rule.percent))
+    possible = (most >= 0) & (np.abs(size[a] - size[b]) <= most)
+    at = np.flatnonzero(possible)
+    for k in range(0, len(at), 50_000):
+        part = at[k : k + 50_000]
+        apart = np.bitwise_count(sketch[a[part]] ^ sketch[b[part]]).sum(axis=1, dtype=np.int64)
+        possible[part] = apart <= most[part]
+    return possible
+
+
+def _scan_bucket(rule: Rule, everything: bool):
+    """Scans the lists of a bucket: rows (0, a, b) are pairs to compare, (1, key, 0) sets with any possible partner, (2, token, 0)
+    lists with more possible pairs than were given."""
+
+    def run(table: pa.Table) -> pa.Table:
+        token, key, comp = (table[c].to_numpy() for c in ("token", "key", "comp"))
+        size, side = table["size"].to_numpy().astype(np.int64), table["side"].to_numpy()
+        sketch = unpacked(table["sketch"], "u8")[0].reshape(-1, SKETCH // 64)
+        order = np.lexsort((key, token))
+        cut = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
+        length = np.diff(np.concatenate([cut, [len(order)]]))
+        out_a, out_b, out_t = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        opened, alive = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def consider(a: np.ndarray, b: np.ndarray) -> None:
+            use = comp[a] != comp[b]
+            a, b = a[use], b[use]
+            use = _few_apart(a, b, size, sketch, rule)
+            out_a.append(a[use])
+            out_b.append(b[use])
+
+        short = length <= SHORT
+        for n in np.unique(length[short]):
+            at = cut[short & (length == n)]
+            i, j = np.triu_indices(int(n), 1)
+            for k in range(0, len(at), max(1, 200_000 // max(1, len(i)))):
+                base = at[k : k + max(1, 200_000 // max(1, len(i)))][:, None]
+                a, b = order[(base + i).reshape(-1)], order[(base + j).reshape(-1)]
+                use = (side[a] == 2) | (side[a] != side[b])
+                consider(a[use], b[use])
+        for begin, n in zip(cut[~short], length[~short], strict=True):
+            own = order[begin : begin + n]
+            alive.append(key[own])
+            opened.append(token[own[:1]])
+            left, right = own[side[own] != 1], own[side[own] != 0]
+            if not everything:
+                hubs = own[:16]
+                pairs = ((np.repeat(h, len(x)), x) for h in hubs for x in (left if side[h] == 1 else right,))
+            else:
+                kinds, counts = np.unique(comp[own], return_counts=True)
+                odd = own[comp[own] != kinds[counts.argmax()]]
+                pairs = ((np.repeat(x, len(y)), y) for x in odd for y in (left if side[x] == 1 else right,))
+            for a, b in pairs:
+                consider(a, b)
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        if everything:
+            chosen_a, chosen_b = a, b
+        else:
+            # Of a set's possible partners in a list, the one with the smallest key.
+            x, y = np.concatenate([a, b]), np.concatenate([b, a])
+            order = np.lexsort((key[y], x))
+            x, y = x[order], y[order]
+            first = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+            chosen_a, chosen_b = x[first], y[first]
+            # A list of which not all possible pairs were given stays open.
+            given = np.unique(np.minimum(chosen_a, chosen_b) * len(token) + np.maximum(chosen_a, chosen_b)) // max(1, len(token))
+            per, told = np.unique(token[a], return_counts=True)
+            gave, times = np.unique(token[given], return_counts=True)
+            have = np.zeros(len(per), np.int64)
+            have[np.searchsorted(per, gave)] = times
+            opened.append(per[told > have])
+            alive.append(np.concatenate([key[a], key[b]]))
+        low, high = np.minimum(key[chosen_a], key[chosen_b]), np.maximum(key[chosen_a], key[chosen_b])
+        both = np.unique(np.stack([low, high], axis=1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
+        keys, tokens = np.unique(np.concatenate(alive)), np.unique(np.concatenate(opened))
+        kind = np.repeat(np.array([0, 1, 2], np.int32), [len(both), len(keys), len(tokens)])
+        return pa.table({"kind": kind, "a": np.concatenate([both[:, 0], keys, tokens]), "b": np.concatenate([both[:, 1], np.zeros(len(keys) + len(tokens), np.int64)])})
+
+    return run
+
+
+def _sets(n: int, slots):
+    """Whole sets of the rows whose identifier's slot is marked."""
+
     def run(batches):
+        marked = slots.value
         for batch in batches:
+            use = marked[batch.column(2).to_numpy()]
+            batch = batch.filter(pa.array(use))
+            if not batch.num_rows:
+                continue
             data, offsets = text_buffers(batch.column(1))
             for a, b in slices(offsets):
                 doc, h = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
                 at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b - a))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))], names=["key", "members"])
+                _, key = _set_keys(doc, h, b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(key), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))], names=["doc_id", "set_key", "members"])
 
     return run
 
@@ -237,11 +339,12 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str =
     identifier is no smallest one unless it is alone. An empty table gives an empty result; other columns aren't read.
     """
     rule, spark = Rule(percent), docs.sparkSession
+    modest_batches(spark)
     buckets = buckets or bucket_count(docs, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     kind = dict(rows.dtypes)["doc_id"]
     told = stored(rows.mapInArrow(_sketch(n), f"doc_id {kind}, n long, key long, slice int, counts binary"), "sets")
-    narrow = told.filter("slice is null").select("doc_id", "n", "key")
+    narrow = told.filter("slice is null").select("doc_id", "n", "key", F.col("counts").alias("sketch"))
     ranks = np.zeros(COUNTERS, np.uint8)
     width = COUNTERS // _SLICES
     for r in told.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect():  # a fixed number of rows of fixed size
@@ -252,16 +355,12 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str =
     sizes = {r[0]: r[1] for r in narrow.filter("n > 0").groupBy(F.least("n", F.lit(64)).alias("n")).agg(F.count(F.lit(1))).collect()}  # at most 64 rows
     boundary = light_boundary(sizes, rule)
     packs = rows.select("body").mapInArrow(_postings(n, rule, boundary, rank, buckets), "bucket int, h binary, key binary, size binary")
-    lists = stored(packs.groupBy("bucket").applyInArrow(_lists(rule), "light boolean, token long, key long, size int"), "lists")
-    postings = lists.filter("not light").select("token", "key", "size")
+    lists = stored(packs.groupBy("bucket").applyInArrow(_lists(rule), "light boolean, token long, side int, key long, size int"), "lists")
     links = lists.filter("light").select(F.col("token").alias("a"), F.col("key").alias("b"))
     classes = narrow.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"))
-    listed = postings.select("key").distinct()
-    # One document of each listed class gives the whole set.
-    chosen = narrow.join(listed, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id")).alias("one")).select("key", F.col("one.doc_id").alias("one_id"))
-    given = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("one_id"))).select("key", "body").dropDuplicates(["key"])
-    sets = stored(given.mapInArrow(_sets(n), "key long, members array<long>"), "members")
-    found = _scan(postings, sets, rule, links)
+    sketches = narrow.filter("n > 0").groupBy("key").agg(F.first("sketch").alias("sketch"))
+    listed = lists.filter("not light").select("token", "side", "key", "size", unsigned_mod("token", buckets).alias("bucket")).join(sketches, "key")
+    found = _scan(rows, narrow.select("doc_id", "key"), listed, rule, links, n)
     comp = components(found)
     roots = comp.join(classes, comp["node"] == classes["key"]).groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = comp.join(roots, "component").select(F.col("node").alias("key"), "component_id")
@@ -269,36 +368,39 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str =
     return narrow.join(alone, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _scan(postings: DataFrame, sets: DataFrame, rule: Rule, links: DataFrame) -> DataFrame:
-    """All links found in the lists, enough of them to connect what is connected."""
-    n = postings.count()
-    if not n:
-        return links
-    state = postings.withColumn("comp", F.col("key"))
-    tested = None
-    for k in range(HUB_ROUNDS + 1):
-        per = state.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-        cross = per.groupBy("token").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-        open_lists = stored(cross.select("token", ((F.col("t") * F.col("t") - F.col("q")) / 2).alias("pairs")), "open")
-        pairs = open_lists.agg(F.sum("pairs")).first()[0] or 0
-        if not pairs:
-            break
-        left = state.join(open_lists.select("token"), "token", "left_semi")
-        last = k == HUB_ROUNDS or (k > 0 and pairs <= max(PAIRS_PER_POSTING * n, 200_000))
-        if last:
-            other = left.select("token", F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"))
-            paired = left.withColumnRenamed("key", "a").join(other, "token").filter("a < b and comp <> comp_b")
-        else:
-            hubs = left.groupBy("token").agg(F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("o"), F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"))).alias("hub")).select("token", "hub.*").drop("o")
-            paired = left.withColumnRenamed("key", "a").join(hubs, "token").filter("comp <> comp_b")
-        fits = paired.filter((F.least("size", "size_b") * 100 >= F.greatest("size", "size_b") * rule.percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _members(rows: DataFrame, narrow: DataFrame, alive: DataFrame, n: int) -> DataFrame:
+    """key, members: the whole set of each key in `alive`, from one of its documents.
+
+    The identifiers' slots, a table of fixed size, keep most other documents out before anything is shuffled.
+    """
+    spark = rows.sparkSession
+    chosen = stored(narrow.join(alive, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id")).alias("one")).select("key", F.col("one.doc_id").alias("one_id")), "chosen")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(COUNTERS)).cast("int")
+    marked = np.zeros(COUNTERS, bool)
+    marked[chosen.select(slot("one_id").alias("s")).distinct().toArrow()["s"].to_numpy()] = True  # at most COUNTERS numbers
+    given = rows.select("doc_id", "body", slot("doc_id").alias("slot")).mapInArrow(_sets(n, spark.sparkContext.broadcast(marked)), f"doc_id {dict(rows.dtypes)['doc_id']}, set_key long, members array<long>")
+    same = F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("set_key") == F.col("key"))
+    return stored(given.join(chosen, same).select("key", "members"), "members")
+
+
+def _scan(rows: DataFrame, narrow: DataFrame, listed: DataFrame, rule: Rule, links: DataFrame, n: int) -> DataFrame:
+    """Links found in the lists, enough of them to connect what is connected."""
+    state = listed.withColumn("comp", F.col("key"))
+    sets = tested = None
+    for k in range(PARTNER_ROUNDS + 1):
+        last = k == PARTNER_ROUNDS
+        said = stored(state.groupBy("bucket").applyInArrow(_scan_bucket(rule, last), "kind int, a long, b long"), "scan")
+        pairs = said.filter("kind = 0").select("a", "b").distinct()
+        if sets is None:
+            sets = _members(rows, narrow, said.filter("kind = 1").select(F.col("a").alias("key")).distinct(), n)
+            listed = stored(listed.join(said.filter("kind = 2").select(F.col("a").alias("token")), "token", "left_semi"), "open")
         if tested is not None:
-            fits = fits.join(tested, ["a", "b"], "left_anti")
-        fits = stored(fits, "pairs")
-        tested = fits if tested is None else tested.unionByName(fits)
-        links = links.unionByName(stored(_verified(fits, sets, rule), "verified"))
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = links.unionByName(stored(_verified(pairs, sets, rule), "verified"))
         if last:
             break
         comp = components(links).select(F.col("node").alias("key"), F.col("component").alias("to"))
-        state = stored(left.drop("comp").join(comp, "key", "left").withColumn("comp", F.coalesce("to", "key")).drop("to"), "state")
+        state = listed.join(comp, "key", "left").withColumn("comp", F.coalesce("to", "key")).drop("to")
     return links
