@@ -30,7 +30,7 @@ def occurrences(df: DataFrame, ids: Sequence[str], text: str, terms: DataFrame)
     at = chars.select(*ids, F.posexplode(windows).alias("start", "window"))
     ascii_term = F.col("term").rlike("^[\\x00-\\x7f]+$")
     keyed = terms.withColumn("loose", ascii_term & ~F.col("exact")).withColumn("key", F.when(ascii_term, F.lower("term")).otherwise(F.col("term"))).withColumn("len", F.length("term"))
-    firsts = keyed.groupBy(F.substring("key", 1, 1).alias("first")).agg(F.collect_set("len").alias("lens"))
+    firsts = keyed.groupBy(F.lower(F.substring("key", 1, 1)).alias("first")).agg(F.collect_set("len").alias("lens"))
     seen = at.join(small(firsts), F.lower(F.substring("window", BEFORE + 1, 1)) == F.col("first")).select(*ids, "start", "window", F.explode("lens").alias("scan_len"))
     piece = F.substring("window", F.lit(BEFORE + 1), F.col("scan_len"))
     probed = seen.withColumn("piece", piece).withColumn("probe", F.when(F.col("piece").rlike("^[\\x00-\\x7f]+$"), F.lower("piece")).otherwise(F.col("piece")))

@@ -69,7 +69,10 @@ def prepared(frames: DataFrame) -> DataFrame:
 
 
 def live_reads(frames: DataFrame) -> DataFrame:
-    """The accepted reads of a stream of frames (session_id, frame_no, frame_ms, sharpness, text), in append mode."""
+    """The accepted reads of a stream of frames (session_id, frame_no, frame_ms, sharpness, text), in append mode.
+
+    The idle timer runs on processing time, so the query keeps making (empty) batches; stop it when its source is done.
+    """
     return prepared(frames).groupBy("session_id").transformWithStateInPandas(Live(), outputStructType=_OUT, outputMode="Append", timeMode="ProcessingTime")
 
 
