@@ -200,6 +200,14 @@ def _lists(rule: Rule):
         hub = np.repeat(first, np.diff(np.concatenate([first, [len(lh)]])))
         joined = rule.holds(overlap, ls, ls[hub]) & (lk != lk[hub])
         hh, hk, hs = h[~light], key[~light], size[~light]
+        # In order of size a set has a partner of a fitting size in its list only if its neighbour is one.
+        order = np.lexsort((hk, hs, hh))
+        hh, hk, hs = hh[order], hk[order], hs[order]
+        fits = (hh[1:] == hh[:-1]) & (hs[:-1] * 100 >= rule.percent * hs[1:])
+        use = np.zeros(len(hh), bool)
+        use[1:] |= fits
+        use[:-1] |= fits
+        hh, hk, hs = hh[use], hk[use], hs[use]
         first = np.flatnonzero(np.concatenate([[True], hh[1:] != hh[:-1]])) if len(hh) else np.zeros(0, np.int64)
         length = np.diff(np.concatenate([first, [len(hh)]]))
         parts = np.repeat(-(-length // TILE), length)
