@@ -5,8 +5,10 @@ two of them that meet in a subset are judged by their sizes alone. Large (heavy)
 rarest shingles (as many as a partner can't miss all of), and the lists are scanned. The boundary between the two is
 chosen by cost from the sizes of all sets.
 
-A scan rejects pairs by sizes and by a sketch: for SKETCH cells whether each holds an odd number of members, which differs
-in no more cells than the sets differ in members. It doesn't spell out all pairs that are left. First each set is paired with one partner of a list; what
+A list keeps a set only if it has a partner there of a fitting size, the smaller of the two with the shingle among so few
+first ones that the overlap can still be reached. A scan rejects pairs by sizes and by a sketch: for each of some cells
+whether it holds an odd number of members, which differs in no more cells than the sets differ in members. Sketches are as
+wide as a set's size needs; the wider of two is folded. A scan doesn't spell out all pairs that are left. First each set is paired with one partner of a list; what
 whole sets confirm as links makes components, and later scans only look at pairs of different components. The last one
 takes all of those, so no link between components is lost. Lists of more than TILE sets are cut into tiles.
 """
@@ -26,7 +28,7 @@ from labelsieve.llm.components import components
 #: Counters of the shingle frequency table; its size is fixed, and it only orders shingles.
 COUNTERS = 1 << 22
 _SLICES = 64
-#: Cells of a set's sketch, sets of one side of a tile, and the list length up to which all pairs are looked at at once.
+#: Most cells of a set's sketch, sets of one side of a tile, and the list length up to which all pairs are looked at at once.
 SKETCH, TILE, SHORT = 1024, 2000, 64
 #: Scans that pair each set of a list with one partner, before the one that takes all pairs between components.
 PARTNER_ROUNDS = 2
@@ -62,7 +64,39 @@ def _set_keys(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return size, mix64((total[at[1:]] - total[at[:-1]]) ^ size.astype(np.uint64)).view(np.int64)
 
 
-def _sketch(n: int):
+class Rule:
+    """Link when percent / 100 * union <= intersection, in whole numbers."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def least_size(self, size):
+        """Smallest partner of a set, and least overlap with any."""
+        return -(-self.percent * size // 100)
+
+    def missing(self, size):
+        """Most members of a set that a partner may lack."""
+        return size - self.least_size(size)
+
+    def apart(self, total):
+        """Most members in which two linked sets of `total` members together differ."""
+        return total - 2 * -(-self.percent * total // (100 + self.percent))
+
+    def cells(self, size: np.ndarray) -> np.ndarray:
+        """Width of a set's sketch: a power of two, four times what a partner of the same size may differ in, 64 to SKETCH."""
+        need = np.clip(4 * self.apart(2 * size), 64, SKETCH)
+        return (1 << np.ceil(np.log2(need)).astype(np.int64)).astype(np.int64)
+
+    def holds(self, overlap, a, b):
+        return 100 * overlap >= self.percent * (a + b - overlap)
+
+
+def _fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """Rows of single bits to packed sketches of fewer cells: neighbouring cells are added."""
+    return np.packbits(np.bitwise_xor.reduce(bits.reshape(len(bits), width, -1), axis=2), axis=1)
+
+
+def _sketch(n: int, rule: Rule):
     """Narrow rows of all texts, and the task's share of the frequency table in slices."""
     width = COUNTERS // _SLICES
 
@@ -76,8 +110,13 @@ def _sketch(n: int):
                 table += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
                 ids = batch.column(0).slice(a, b - a)
                 cells = np.bincount(doc * SKETCH + (h >> np.uint64(54)).astype(np.int64), minlength=(b - a) * SKETCH)
-                body = pa.py_buffer(np.packbits((cells & 1).astype(np.uint8)))
-                sketch = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((np.arange(b - a + 1) * (SKETCH // 8)).astype(np.int32)), body])
+                parity, cell = (cells & 1).astype(np.uint8).reshape(-1, SKETCH), rule.cells(size)
+                at = np.concatenate([[0], np.cumsum(cell // 8)])
+                body = np.zeros(at[-1], np.uint8)
+                for w in np.unique(cell):
+                    own = np.flatnonzero(cell == w)
+                    body[at[own][:, None] + np.arange(w // 8)] = _fold(parity[own], w)
+                sketch = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(body)])
                 yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(key), pa.nulls(b - a, pa.int32()), sketch], names=["doc_id", "n", "key", "slice", "counts"])
         kind = ids.type if table.any() else pa.int64()
         if table.any():
@@ -94,24 +133,6 @@ def _add_slices(table: pa.Table) -> pa.Table:
     return pa.table({"slice": table["slice"].slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
 
-class Rule:
-    """Link when percent / 100 * union <= intersection, in whole numbers."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-
-    def least_size(self, size):
-        """Smallest partner of a set, and least overlap with any."""
-        return -(-self.percent * size // 100)
-
-    def missing(self, size):
-        """Most members of a set that a partner may lack."""
-        return size - self.least_size(size)
-
-    def holds(self, overlap, a, b):
-        return 100 * overlap >= self.percent * (a + b - overlap)
-
-
 def light_boundary(sizes: dict[int, int], rule: Rule, list_cost: float = 8.0) -> int:
     """Largest light size: the one with the least cost of subsets below and of postings and list scans above."""
 
@@ -153,7 +174,9 @@ def _postings(n: int, rule: Rule, boundary: int, rank, buckets: int):
                 at = np.cumsum(size) - size
                 prefix = np.where(size >= least, rule.missing(size) + 1, 0)
                 take = np.arange(len(h)) - at[doc] < prefix[doc]  # doc is the same in either order
-                hs, ks, ss = [h[order][take] & ~np.uint64(1)], [key[doc][take]], [size[doc][take]]
+                # Marked in the lowest bit: early enough for the smaller set of a pair.
+                early = np.arange(len(h)) - at[doc] <= rule.apart(2 * size)[doc] // 2
+                hs, ks, ss = [h[order][take] & ~np.uint64(1)], [key[doc][take]], [(size[doc] << 1 | early)[take]]
                 for i in np.flatnonzero((size > 0) & (size <= boundary)):
                     own = h[at[i] : at[i] + size[i]]
                     for d in range(int(rule.missing(size[i])) + 1):
@@ -199,15 +222,17 @@ def _lists(rule: Rule):
         first = np.flatnonzero(np.concatenate([[True], lh[1:] != lh[:-1]])) if len(lh) else np.zeros(0, np.int64)
         hub = np.repeat(first, np.diff(np.concatenate([first, [len(lh)]])))
         joined = rule.holds(overlap, ls, ls[hub]) & (lk != lk[hub])
-        hh, hk, hs = h[~light], key[~light], size[~light]
-        # In order of size a set has a partner of a fitting size in its list only if its neighbour is one.
+        hh, hk, hs, early = h[~light], key[~light], size[~light] >> 1, (size[~light] & 1) > 0
+        # In order of size the partner that fits best is the next one or the last early one before.
         order = np.lexsort((hk, hs, hh))
-        hh, hk, hs = hh[order], hk[order], hs[order]
-        fits = (hh[1:] == hh[:-1]) & (hs[:-1] * 100 >= rule.percent * hs[1:])
-        use = np.zeros(len(hh), bool)
-        use[1:] |= fits
-        use[:-1] |= fits
-        hh, hk, hs = hh[use], hk[use], hs[use]
+        hh, hk, hs, early = hh[order], hk[order], hs[order], early[order]
+        if len(hh):
+            fits = np.zeros(len(hh), bool)
+            fits[:-1] = early[:-1] & (hh[1:] == hh[:-1]) & (hs[:-1] * 100 >= rule.percent * hs[1:])
+            before = np.full(len(hh), -1)
+            before[1:] = np.maximum.accumulate(np.where(early, np.arange(len(hh)), -1))[:-1]
+            use = fits | ((before >= 0) & (hh[before] == hh) & (hs[before] * 100 >= rule.percent * hs))
+            hh, hk, hs = hh[use], hk[use], hs[use]
         first = np.flatnonzero(np.concatenate([[True], hh[1:] != hh[:-1]])) if len(hh) else np.zeros(0, np.int64)
         length = np.diff(np.concatenate([first, [len(hh)]]))
         parts = np.repeat(-(-length // TILE), length)
@@ -226,16 +251,29 @@ def _lists(rule: Rule):
     return run
 
 
-def _few_apart(a: np.ndarray, b: np.ndarray, size: np.ndarray, sketch: np.ndarray, rule: Rule) -> np.ndarray:
+def _narrowed(sketch: np.ndarray, width: np.ndarray, rows: np.ndarray, to: int) -> np.ndarray:
+    """Sketches of some rows, all `to` cells wide."""
+    out = sketch[rows, : to // 64]
+    for w in np.unique(width[rows]):
+        if w > to:
+            at = np.flatnonzero(width[rows] == w)
+            bits = np.unpackbits(np.ascontiguousarray(sketch[rows[at], : w // 64]).view(np.uint8), axis=1)
+            out[at] = _fold(bits, to).view(np.uint64)
+    return out
+
+
+def _few_apart(a: np.ndarray, b: np.ndarray, size: np.ndarray, sketch: np.ndarray, width: np.ndarray, rule: Rule) -> np.ndarray:
     """Which of the pairs (a, b) of rows sizes and sketches leave possible."""
-    total = size[a] + size[b]
-    most = total - 2 * -(-rule.percent * total // (100 + rule.percent))
+    most = rule.apart(size[a] + size[b])
     possible = (most >= 0) & (np.abs(size[a] - size[b]) <= most)
     at = np.flatnonzero(possible)
-    for k in range(0, len(at), 50_000):
-        part = at[k : k + 50_000]
-        apart = np.bitwise_count(sketch[a[part]] ^ sketch[b[part]]).sum(axis=1, dtype=np.int64)
-        possible[part] = apart <= most[part]
+    least = np.minimum(width[a[at]], width[b[at]])
+    for w in np.unique(least):
+        own = at[least == w]
+        for k in range(0, len(own), 50_000):
+            part = own[k : k + 50_000]
+            apart = np.bitwise_count(_narrowed(sketch, width, a[part], w) ^ _narrowed(sketch, width, b[part], w)).sum(axis=1, dtype=np.int64)
+            possible[part] = apart <= most[part]
     return possible
 
 
@@ -246,7 +284,9 @@ def _scan_bucket(rule: Rule, everything: bool):
     def run(table: pa.Table) -> pa.Table:
         token, key, comp = (table[c].to_numpy() for c in ("token", "key", "comp"))
         size, side = table["size"].to_numpy().astype(np.int64), table["side"].to_numpy()
-        sketch = unpacked(table["sketch"], "u8")[0].reshape(-1, SKETCH // 64)
+        cells, longs = unpacked(table["sketch"], "u8")
+        width, sketch = longs * 64, np.zeros((len(longs), SKETCH // 64), np.uint64)
+        sketch[np.arange(SKETCH // 64) < longs[:, None]] = cells
         order = np.lexsort((key, token))
         cut = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
         length = np.diff(np.concatenate([cut, [len(order)]]))
@@ -256,7 +296,7 @@ def _scan_bucket(rule: Rule, everything: bool):
         def consider(a: np.ndarray, b: np.ndarray) -> None:
             use = comp[a] != comp[b]
             a, b = a[use], b[use]
-            use = _few_apart(a, b, size, sketch, rule)
+            use = _few_apart(a, b, size, sketch, width, rule)
             out_a.append(a[use])
             out_b.append(b[use])
 
@@ -351,7 +391,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str =
     buckets = buckets or bucket_count(docs, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     kind = dict(rows.dtypes)["doc_id"]
-    told = stored(rows.mapInArrow(_sketch(n), f"doc_id {kind}, n long, key long, slice int, counts binary"), "sets")
+    told = stored(rows.mapInArrow(_sketch(n, rule), f"doc_id {kind}, n long, key long, slice int, counts binary"), "sets")
     narrow = told.filter("slice is null").select("doc_id", "n", "key", F.col("counts").alias("sketch"))
     ranks = np.zeros(COUNTERS, np.uint8)
     width = COUNTERS // _SLICES
@@ -367,8 +407,8 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str =
     links = lists.filter("light").select(F.col("token").alias("a"), F.col("key").alias("b"))
     classes = narrow.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"))
     sketches = narrow.filter("n > 0").groupBy("key").agg(F.first("sketch").alias("sketch"))
-    listed = lists.filter("not light").select("token", "side", "key", "size", unsigned_mod("token", buckets).alias("bucket")).join(sketches, "key")
-    found = _scan(rows, narrow.select("doc_id", "key"), listed, rule, links, n)
+    listed = lists.filter("not light").select("token", "side", "key", "size", unsigned_mod("token", buckets).alias("bucket"))
+    found = _scan(rows, narrow.select("doc_id", "key"), listed, sketches, rule, links, n)
     comp = components(found)
     roots = comp.join(classes, comp["node"] == classes["key"]).groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = comp.join(roots, "component").select(F.col("node").alias("key"), "component_id")
@@ -391,9 +431,9 @@ def _members(rows: DataFrame, narrow: DataFrame, alive: DataFrame, n: int) -> Da
     return stored(given.join(chosen, same).select("key", "members"), "members")
 
 
-def _scan(rows: DataFrame, narrow: DataFrame, listed: DataFrame, rule: Rule, links: DataFrame, n: int) -> DataFrame:
-    """Links found in the lists, enough of them to connect what is connected."""
-    state = listed.withColumn("comp", F.col("key"))
+def _scan(rows: DataFrame, narrow: DataFrame, listed: DataFrame, sketches: DataFrame, rule: Rule, links: DataFrame, n: int) -> DataFrame:
+    """Links found in the lists, enough of them to connect what is connected. Lists get their sketches just before a scan."""
+    state = listed.join(sketches, "key").withColumn("comp", F.col("key"))
     sets = tested = None
     for k in range(PARTNER_ROUNDS + 1):
         last = k == PARTNER_ROUNDS
@@ -410,5 +450,5 @@ def _scan(rows: DataFrame, narrow: DataFrame, listed: DataFrame, rule: Rule, lin
         if last:
             break
         comp = components(links).select(F.col("node").alias("key"), F.col("component").alias("to"))
-        state = listed.join(comp, "key", "left").withColumn("comp", F.coalesce("to", "key")).drop("to")
+        state = listed.join(sketches, "key").join(comp, "key", "left").withColumn("comp", F.coalesce("to", "key")).drop("to")
     return links

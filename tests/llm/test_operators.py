@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,3 +339,36 @@ def test_queries_are_whole(spark):
     n = spark.read.parquet(f"{d}/documents.parquet").count()
     for name in ("op1_substring", "op3_quality", "op4_bpe", "op5_sharding", "op6_exact_dedup", "op10_mixing"):
         assert q.queries()[name](spark, d).count() == n
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_lists_keep_every_link(percent):
+    """Random sets with near copies of all sizes: no linking pair lacks a list that keeps both, or is rejected by its sketches."""
+    rule, rng = jaccard.Rule(percent), np.random.default_rng(percent)
+    sets = []
+    for size in [30, 45, 78, 85, 150, 310, 330, 700, 1300, 2600]:
+        own = rng.integers(0, 2**63, size)
+        for drop, add in [(0, 0), (size // 12, 0), (0, size // 11), (size // 20, size // 20), (size // 9, 0), (0, size // 5)]:
+            sets.append(np.unique(np.concatenate([own[drop:], rng.integers(0, 2**63, add)])).astype(np.uint64))
+    size, key = np.array([len(s) for s in sets]), np.arange(len(sets))
+    packed_h, packed_k, packed_s = [], [], []
+    for i, s in enumerate(sets):
+        for at, h in enumerate(s[: rule.missing(len(s)) + 1]):
+            packed_h.append(int(h) & ~1)
+            packed_k.append(i)
+            packed_s.append(len(s) << 1 | (at <= rule.apart(2 * len(s)) // 2))
+    table = pa.table({"h": [np.array(packed_h, np.uint64).tobytes()], "key": [np.array(packed_k, np.int64).tobytes()], "size": [np.array(packed_s, np.uint32).tobytes()]})
+    lists = jaccard._lists(rule)(table).to_pandas()
+    together = {(a, b) for _, g in lists.groupby("token") for a in g["key"] for b in g["key"]}
+    width = rule.cells(size)
+    sketch = np.zeros((len(sets), jaccard.SKETCH // 64), np.uint64)
+    for i, s in enumerate(sets):
+        parity = (np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=jaccard.SKETCH) & 1).astype(np.uint8)
+        sketch[i, : width[i] // 64] = jaccard._fold(parity[None], width[i]).view(np.uint64)
+    links = [(i, j) for i in key for j in key if i < j and rule.holds(len(np.intersect1d(sets[i], sets[j])), size[i], size[j])]
+    assert len(links) > 20 and any(width[i] != width[j] for i, j in links)
+    assert set(links) <= together
+    a, b = np.array(links).T
+    assert jaccard._few_apart(a, b, size, sketch, width, rule).all()
+    a, b = np.array([(i, j) for i in key for j in key if i < j and not len(np.intersect1d(sets[i], sets[j]))]).T
+    assert jaccard._few_apart(a, b, size, sketch, width, rule).mean() < 0.01
