@@ -277,9 +277,9 @@ def _few_apart(a: np.ndarray, b: np.ndarray, size: np.ndarray, sketch: np.ndarra
     return possible
 
 
-def _scan_bucket(rule: Rule, everything: bool):
+def _scan_bucket(rule: Rule, everything: bool, first_scan: bool):
     """Scans the lists of a bucket: rows (0, a, b) are pairs to compare, (1, key, 0) sets with any possible partner, (2, token, 0)
-    lists with more possible pairs than were given."""
+    lists with more possible pairs than were given. Only the first scan's rows of the last two kinds are used; others give none."""
 
     def run(table: pa.Table) -> pa.Table:
         token, key, comp = (table[c].to_numpy() for c in ("token", "key", "comp"))
@@ -344,6 +344,8 @@ def _scan_bucket(rule: Rule, everything: bool):
         low, high = np.minimum(key[chosen_a], key[chosen_b]), np.maximum(key[chosen_a], key[chosen_b])
         both = np.unique(np.stack([low, high], axis=1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
         keys, tokens = np.unique(np.concatenate(alive)), np.unique(np.concatenate(opened))
+        if not first_scan:
+            keys, tokens = keys[:0], tokens[:0]
         kind = np.repeat(np.array([0, 1, 2], np.int32), [len(both), len(keys), len(tokens)])
         return pa.table({"kind": kind, "a": np.concatenate([both[:, 0], keys, tokens]), "b": np.concatenate([both[:, 1], np.zeros(len(keys) + len(tokens), np.int64)])})
 
@@ -437,7 +439,7 @@ def _scan(rows: DataFrame, narrow: DataFrame, listed: DataFrame, sketches: DataF
     sets = tested = None
     for k in range(PARTNER_ROUNDS + 1):
         last = k == PARTNER_ROUNDS
-        said = stored(state.groupBy("bucket").applyInArrow(_scan_bucket(rule, last), "kind int, a long, b long"), "scan")
+        said = stored(state.groupBy("bucket").applyInArrow(_scan_bucket(rule, last, k == 0), "kind int, a long, b long"), "scan")
         pairs = said.filter("kind = 0").select("a", "b").distinct()
         if sets is None:
             sets = _members(rows, narrow, said.filter("kind = 1").select(F.col("a").alias("key")).distinct(), n)
