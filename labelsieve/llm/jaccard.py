@@ -83,8 +83,8 @@ class Rule:
         return total - 2 * -(-self.percent * total // (100 + self.percent))
 
     def cells(self, size: np.ndarray) -> np.ndarray:
-        """Width of a set's sketch: a power of two, four times what a partner of the same size may differ in, 64 to SKETCH."""
-        need = np.clip(4 * self.apart(2 * size), 64, SKETCH)
+        """Width of a set's sketch: a power of two, 16 times what a partner of the same size may differ in, 64 to SKETCH."""
+        need = np.clip(16 * self.apart(2 * size), 64, SKETCH)
         return (1 << np.ceil(np.log2(need)).astype(np.int64)).astype(np.int64)
 
     def holds(self, overlap, a, b):
