@@ -1,16 +1,24 @@
-"""Scoring with a probabilistic suffix tree in two layers.
-
-Lower layer, sent to all tasks: words above HOT_SHARE of all training tokens are symbols of their own, and so is the
-end of a text; any other word is an escape and then, with equal odds, spelled in bytes with a space behind it, or one of the rare
-words and a symbol for all unknown ones at even chances (the base, too, has one symbol for unknown words). The tree keeps a context
-(up to `DEPTH` bytes of the lower-cased text, across words) if it makes up at least `LEAST_SHARE` of the spelled bytes
-and its next-byte distribution diverges from that of its suffix by at least `LEAST_DIVERGENCE`. Distributions are
-smoothed towards the suffix's by the number of different successors, and each byte is scored in the longest retained
-suffix. HOT_SHARE and LEAST_SHARE bound this layer: 1 / HOT_SHARE words and DEPTH / LEAST_SHARE contexts.
-
-Upper layer, which grows with the corpus and stays distributed: the word before, if it isn't frequent, is a longer
-context. All its occurrences meet in one packed bucket, in which its successors are counted. It is retained unless
-leaving each occurrence out shows that it predicts no better than the lower layer, and then smoothed towards that.
+"""Scoring with a probabilistic suffix tree over words, whose rare words are spelled by one over bytes.
+
+Frequent contexts, sent to all tasks: words above HOT_SHARE of all training tokens are symbols of their own, and so are the
+end of a text, which also stands before its first word, and the escape to any other word. A context of up to `CONTEXT`
+symbols is retained if it makes up at least HOT_SHARE of the tokens and the distribution of its next symbol diverges from
+that of its longest retained suffix by at least `LEAST_DIVERGENCE`; each token, hot or not, is scored in the longest
+retained suffix of what is before it. Distributions are smoothed towards the suffix's by the number of different
+successors; successors below HOT_SHARE are left to that smoothing with the mass they have. Counts of longer runs are taken
+only where the runs one shorter, at both ends, are frequent, and are summed in each task before they are sent. HOT_SHARE
+bounds this part: 1 / HOT_SHARE runs of each length.
+
+Spelling: with equal odds, a word behind the escape is spelled in bytes with a space behind it, or one of the rare words and
+a symbol for all unknown ones at even chances (the base, too, has one symbol for unknown words). The byte tree keeps a
+context (up to `DEPTH` bytes of the lower-cased text, across words) if it makes up at least `LEAST_SHARE` of the spelled
+bytes and its next-byte distribution diverges from that of its suffix by at least `LEAST_DIVERGENCE`; each byte is scored
+in the longest retained suffix. There are at most DEPTH / LEAST_SHARE contexts.
+
+Rare contexts, which grow with the corpus and stay distributed: the word before, if it isn't frequent, and otherwise the
+shortest run of 2 to CONTEXT + 1 words before that isn't. As it is rare, all its occurrences meet in one packed bucket, in
+which its successors are counted. It is retained unless leaving each occurrence out shows that it predicts no better than
+the other parts, and then smoothed towards those.
 
 The unigram base needs the count of every word; those of rare words are found in the same buckets.
 """
@@ -22,20 +30,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelsieve.llm.common import NO_ID, bucket_count, id_crc32, lowered, packed, slices, stored, text_buffers, unpacked, unsigned_mod, word_hashes, words
+from labelsieve.llm.common import NO_ID, bucket_count, id_crc32, lowered, mix64, packed, slices, stored, text_buffers, unpacked, unsigned_mod, word_hashes, words
 
 DEPTH = 6
 LEAST_SHARE = 5e-5
 LEAST_DIVERGENCE = 0.01
 HOT_SHARE = 2e-6
-#: Words seen this often in training, or above HOT_SHARE if that is more, are no contexts for the next word.
+#: Symbols of the longest frequent context.
+CONTEXT = 3
+#: Words seen this often in training, or above HOT_SHARE if that is more, are no rare contexts by themselves.
 FREQUENT = 50
-#: Weight of the lower layer against the occurrences of a word context.
+#: Weight of the other parts against the occurrences of a rare context.
 SMOOTHING = 5.0
 #: Different hashes that a task gathers before it sends them.
 _GATHERED = 1_500_000
 _SEGMENT = 256
 _END = 0x0A
+#: Symbols of words: the escape, the end of a text, then hot words in the order of their hashes; fewer than 2^_BITS.
+_ESCAPE, _STOP, _FIRST, _BITS = 0, 1, 2, 20
+#: Buckets of occurrences for each bucket of texts.
+_SPREAD = 4
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word_offsets: np.ndarray, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +101,7 @@ class _Gather:
     def rest(self):
         if self.parts:
             h, c = _merge(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
-            batch = packed((h % np.uint64(self.buckets)).astype(np.int32), {"h": h, "n": c})
+            batch = packed((mix64(h) % np.uint64(self.buckets)).astype(np.int32), {"h": h, "n": c})
             if batch is not None:
                 yield batch
         self.parts, self.n = [], 0
@@ -227,6 +242,114 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
+def _found(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each of the values is among the sorted known ones, -1 if it isn't."""
+    if not len(known):
+        return np.full(len(values), -1, np.int64)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at, -1)
+
+
+def _sequence(h: np.ndarray, word_at: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of all texts with the end before and behind each, every symbol's place in its text, and where each word is."""
+    n = np.diff(word_at)
+    begin = np.concatenate([[0], np.cumsum(n + 2)])
+    at = np.arange(len(h)) + 2 * np.repeat(np.arange(len(n)), n) + 1
+    seq = np.full(int(begin[-1]), _STOP, np.int64)
+    order = np.argsort(h, kind="stable")
+    found = np.empty(len(h), np.int64)
+    found[order] = _found(h[order], hot)
+    seq[at] = np.where(found >= 0, found + _FIRST, _ESCAPE)
+    return seq, np.arange(len(seq)) - np.repeat(begin[:-1], n + 2), at
+
+
+def _runs(keys: list[np.ndarray], seq: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """For each length from 1: which frequent run of so many symbols ends at each place, -1 for none.
+
+    A run's key is the number of the run without its last symbol, followed by that symbol.
+    """
+    out = [seq]
+    for m, known in enumerate(keys, 2):
+        shorter, found = out[-1], np.full(len(seq), -1, np.int64)
+        use = np.flatnonzero((place[1:] >= m - 1) & (shorter[:-1] >= 0) & (shorter[1:] >= 0)) + 1
+        found[use] = _found((shorter[use - 1] << _BITS) | seq[use], known)
+        out.append(found)
+    return out
+
+
+def _count_runs(hot: np.ndarray, keys: list[np.ndarray], buckets: int):
+    """Counts of the runs one symbol longer than the last of `keys`, where both runs one shorter are frequent."""
+    size = len(keys) + 2
+
+    def run(batches):
+        held = _Gather(buckets)
+        for batch in batches:
+            for _, _, own, starts, ends, word_at in _chunks(batch, 0):
+                seq, place, _ = _sequence(word_hashes(own, starts, ends), word_at, hot)
+                last = _runs(keys, seq, place)[-1]
+                use = np.flatnonzero((place[1:] >= size - 1) & (last[:-1] >= 0) & (last[1:] >= 0)) + 1
+                yield from held.add(*_unique(((last[use - 1] << _BITS) | seq[use]).view(np.uint64)))
+        yield from held.rest()
+
+    return run
+
+
+def _frequent_rows(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        h, n = _merge(unpacked(table["h"], "u8")[0], unpacked(table["n"], "i8")[0])
+        return pa.table({"gram": h[n >= least].astype(np.int64), "n": n[n >= least]})
+
+    return run
+
+
+class Words:
+    """The frequent contexts: `weights[d]` leaves that much to the suffix of a context of d + 1 symbols, and `values[d]` is what it adds for a run of d + 2."""
+
+    def __init__(self, single: np.ndarray, keys: list[np.ndarray], counts: list[np.ndarray]):
+        """single: counts of the symbols; keys and counts: the frequent runs of 2, 3, ... symbols, by key."""
+        self.keys, self.weights, self.values = keys, [], []
+        smoothed = single.astype(np.float64)
+        smoothed[:_FIRST] += 1
+        self.single = smoothed / smoothed.sum()
+        total, before, suffix = single.astype(np.float64), self.single, None
+        for d, (key, n) in enumerate(zip(keys, counts, strict=True)):
+            context, last = key >> _BITS, key & ((1 << _BITS) - 1)
+            # The same run without its first symbol is frequent as well.
+            suffix = last if d == 0 else _found((suffix[context] << _BITS) | last, keys[d - 1])
+            p, n = before[suffix], n.astype(np.float64)
+            size = len(total)
+            listed, kinds = np.bincount(context, n, minlength=size), np.bincount(context, minlength=size)
+            share, rest = n / total[context], 1 - np.bincount(context, p, minlength=size)
+            left = np.maximum(total - listed, 0) / np.maximum(total, 1)
+            gain = np.bincount(context, share * np.log(share / p), minlength=size) + left * np.log(np.maximum(left, 1e-12) / np.maximum(rest, 1e-12))
+            kept = (kinds > 0) & (gain >= LEAST_DIVERGENCE)
+            whole = np.maximum(total, listed) + kinds
+            self.weights.append(np.where(kept, (whole - listed) / np.maximum(whole, 1), 1.0))
+            self.values.append(np.where(kept[context], n / whole[context], 0.0))
+            total, before = n, self.values[-1] + self.weights[-1][context] * p
+
+    def probabilities(self, runs: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+        """Of each symbol in the longest retained suffix of what is before it; not for the ends before texts."""
+        p = self.single[runs[0]]
+        for d, (weight, value) in enumerate(zip(self.weights, self.values, strict=True)):
+            use = np.flatnonzero((place[1:] >= 1) & (runs[d][:-1] >= 0)) + 1
+            p[use] *= weight[runs[d][use - 1]]
+            hit = np.flatnonzero(runs[d + 1] >= 0)
+            p[hit] += value[runs[d + 1][hit]]
+        return p
+
+
+def learn_words(texts: DataFrame, text: str, hot: np.ndarray, single: np.ndarray, buckets: int) -> tuple:
+    """What Words is built from."""
+    least, keys, counts = max(2.0, HOT_SHARE * float(single.sum())), [], []
+    for _ in range(CONTEXT):
+        packs = texts.select(text).mapInArrow(_count_runs(hot, keys, buckets), "bucket int, h binary, n binary")
+        # At most 1 / HOT_SHARE runs.
+        found = packs.groupBy("bucket").applyInArrow(_frequent_rows(least), "gram long, n long").toPandas().sort_values("gram")
+        keys, counts = [*keys, found["gram"].to_numpy(np.int64)], [*counts, found["n"].to_numpy(np.int64)]
+    return single, keys, counts
+
+
 _DELTA = ("id", "tokens", "known", "log", "score")
 _KINDS = ("i8", "i8", "i8", "f8", "f8")
 _SENT = "bucket int, h binary, id binary, next binary, local binary, " + ", ".join(f"d_{c} binary" for c in _DELTA)
@@ -241,51 +364,56 @@ def _padded(batch: pa.RecordBatch | None, names: list[str]) -> pa.RecordBatch |
     return pa.RecordBatch.from_arrays([batch["bucket"], *[batch[c] if c in batch.schema.names else nothing for c in names]], names=["bucket", *names])
 
 
-def _occurrences(model, hot: np.ndarray, hot_counts: np.ndarray, end_count: int, tokens: int, rare_kinds: int, buckets: int):
-    """From texts to two kinds of packed rows: a text's sums so far, by its own bucket, and each occurrence of a word that
-    isn't frequent with its successor and that one's log10 probability in the lower layer, by the word's bucket."""
+def _occurrences(model, common, hot: np.ndarray, hot_counts: np.ndarray, end_count: int, tokens: int, rare_kinds: int, buckets: int):
+    """From texts to two kinds of packed rows: a text's sums so far, by its own bucket, and each occurrence of a rare context
+    with its successor and that one's log10 probability in the other parts, by the context's bucket."""
     names = ["h", "id", "next", "local", *[f"d_{c}" for c in _DELTA]]
 
     def run(batches):
-        tree = Tree(*model.value)
-        logs, whole = np.log10(hot_counts + 0.5), np.log10(hot_counts / (tokens + 2))
-        escape = np.log10((tokens - end_count - hot_counts.sum() + 1) / (tokens + 2))
-        last = np.log10((end_count + 1) / (tokens + 2))
-        frequent = hot_counts >= max(FREQUENT, HOT_SHARE * tokens)
+        tree, contexts = Tree(*model.value), Words(*common.value)
+        logs = np.log10(hot_counts + 0.5)
+        frequent = np.concatenate([[False, True], hot_counts >= max(FREQUENT, HOT_SHARE * tokens)])
         for batch in batches:
             ids, taught = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
             for a, b, own, starts, ends, word_at in _chunks(batch, 1):
                 n = np.diff(word_at)
                 doc = np.repeat(np.arange(b - a), n)
                 h = word_hashes(own, starts, ends)
-                order = np.argsort(h, kind="stable")
-                at = np.empty(len(h), np.int64)
-                at[order] = np.searchsorted(hot, h[order])
-                at = np.minimum(at, max(len(hot) - 1, 0))
-                is_hot = hot[at] == h if len(hot) else np.zeros(len(h), bool)
+                seq, place, at = _sequence(h, word_at, hot)
+                runs = _runs(contexts.keys, seq, place)
+                is_hot = seq[at] >= _FIRST
                 row, begin, _ = symbols(own, starts, ends, word_at, ~is_hot)
                 byte_logs = np.concatenate([[0], np.cumsum(tree.logs(row))])
                 target = np.cumsum(ends - starts + 1) - (ends - starts + 1) + (DEPTH + 1) * doc + DEPTH
                 spelling = byte_logs[target + (ends - starts) + 1] - byte_logs[target]
-                local = escape + np.log10(0.5 * 10.0**spelling + 0.5 / (rare_kinds + 1))
-                local[is_hot] = whole[at[is_hot]]
-                score = last + np.bincount(doc, local, minlength=b - a)
-                base = np.log10(end_count + 0.5) + np.bincount(doc[is_hot], logs[at[is_hot]], minlength=b - a)
+                local = np.log10(contexts.probabilities(runs, place))
+                local[at[~is_hot]] += np.log10(0.5 * 10.0 ** spelling[~is_hot] + 0.5 / (rare_kinds + 1))
+                stops = word_at[1:] + 2 * np.arange(b - a) + 1
+                score = local[stops] + np.bincount(doc, local[at], minlength=b - a)
+                base = np.log10(end_count + 0.5) + np.bincount(doc[is_hot], logs[seq[at[is_hot]] - _FIRST], minlength=b - a)
                 known = int(end_count > 0) + np.bincount(doc[is_hot], minlength=b - a)
                 own_ids = ids[a:b]
                 sums = dict(zip([f"d_{c}" for c in _DELTA], (own_ids, n + 1, known, base, score), strict=True))
                 yield _padded(packed((own_ids.view(np.uint64) % np.uint64(buckets)).astype(np.int32), sums), names)
                 if not len(h):
                     continue
-                use = np.ones(len(h), bool)
-                use[is_hot] = ~frequent[at[is_hot]]
-                follower, follower_log = np.append(h[1:], np.uint64(0)), np.concatenate([local[1:], [0.0]])
-                final = word_at[1:][n > 0] - 1
-                follower[final], follower_log[final] = np.uint64(1), last
-                mark = (follower >> np.uint64(20)).astype(np.uint32) & _NEXT
+                all_hashes = np.ones(len(seq), np.uint64)
+                all_hashes[at] = h
+                context, use = h.copy(), ~frequent[seq[at]]
+                # Words that still lack a rare context, and the hashes of the runs that end with them.
+                open_ = np.flatnonzero(~use)
+                grown = h[open_]
+                for m in range(2, len(runs) + 1):
+                    more = place[at[open_]] >= m - 1
+                    open_, grown = open_[more], grown[more]
+                    grown = mix64(grown * _STEP + all_hashes[at[open_] - (m - 1)])
+                    rare = runs[m - 1][at[open_]] < 0
+                    context[open_[rare]], use[open_[rare]] = grown[rare], True
+                    open_, grown = open_[~rare], grown[~rare]
+                mark = (all_hashes[at + 1] >> np.uint64(20)).astype(np.uint32) & _NEXT
                 mark |= np.where(is_hot, _HOT, np.uint32(0)) | np.where(taught[a:b][doc], _TRAIN, np.uint32(0))
-                sent = {"h": h[use], "id": own_ids[doc[use]], "next": mark[use], "local": follower_log[use].astype(np.float32)}
-                out = _padded(packed((h[use] % np.uint64(buckets)).astype(np.int32), sent), names)
+                sent = {"h": context[use], "id": own_ids[doc[use]], "next": mark[use], "local": local[at[use] + 1].astype(np.float32)}
+                out = _padded(packed((context[use] % np.uint64(_SPREAD * buckets)).astype(np.int32), sent), names)
                 if out is not None:
                     yield out
 
@@ -293,7 +421,7 @@ def _occurrences(model, hot: np.ndarray, hot_counts: np.ndarray, end_count: int,
 
 
 def _met(h: np.ndarray, ids: np.ndarray, mark: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, ...]:
-    """What the occurrences of a bucket's words add to each text: known words, base log and the upper layer's gain."""
+    """What the occurrences of a bucket's contexts add to each text: known words, base log and the rare contexts' gain."""
     order = np.lexsort((mark & _NEXT, h))
     h, ids, mark, local = h[order], ids[order], mark[order], local[order].astype(np.float64)
     word = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
@@ -383,8 +511,10 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tra
     order = np.argsort(hot)
     hot, hot_counts = hot[order], hot_counts[order]
     model = spark.sparkContext.broadcast(learn(taught, "body", hot, buckets))
+    single = np.concatenate([[tokens - ends - hot_counts.sum(), ends], hot_counts])
+    common = spark.sparkContext.broadcast(learn_words(taught, "body", hot, single, buckets))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(str(NO_ID))), body).alias("id"), body.alias("body"), F.coalesce(chosen, F.lit(False)).alias("taught"))
-    sent = keyed.select("id", "body", "taught").mapInArrow(_occurrences(model, hot, hot_counts, ends, tokens, kinds - int(ends > 0) - len(hot), buckets), _SENT)
+    sent = keyed.select("id", "body", "taught").mapInArrow(_occurrences(model, common, hot, hot_counts, ends, tokens, kinds - int(ends > 0) - len(hot), buckets), _SENT)
     sums = sent.groupBy("bucket").applyInArrow(_deltas(buckets), "bucket int, " + ", ".join(f"{c} binary" for c in _DELTA))
     rows = keyed.select("doc_id", "id", unsigned_mod("id", buckets).alias("bucket"))
     lost = float(np.log10(tokens + 0.5 * (kinds + 1)))

@@ -257,6 +257,41 @@ def test_lm(docs, plain, empty):
     assert all(r["n_known"] == 0 for r in lm.score_texts(docs, train=F.lit(False)).collect())
 
 
+def test_lm_frequent_words_have_contexts(spark):
+    """Three frequent words, of which the next one follows from the two before but from neither alone."""
+    rng = random.Random(5)
+
+    def said():
+        w = [rng.randrange(3), rng.randrange(3)]
+        while len(w) < 200:
+            w.append((w[-1] + w[-2]) % 3)
+        return " ".join("abc"[x] for x in w)
+
+    docs = spark.createDataFrame([(k, said()) for k in range(60)], "doc_id long, text string")
+    held_out = [r for r in lm.score_texts(docs, train=F.col("doc_id") % 5 != 1).collect() if r["doc_id"] % 5 == 1]
+    n = sum(r["n_tokens"] for r in held_out)
+    assert sum(r["base_score"] for r in held_out) / n < -0.45
+    assert sum(r["score"] for r in held_out) / n > -0.1
+
+
+def test_words_are_distributions():
+    rng = np.random.default_rng(3)
+    seq = np.concatenate([np.r_[1, np.where(rng.random(30) < 0.7, 2 + np.arange(30) % 4, rng.integers(0, 6, 30)), 1] for _ in range(80)])
+    seq[(np.arange(len(seq)) % 32 % 31 > 0) & (seq == 1)] = 0
+    place, keys, counts = np.arange(len(seq)) % 32, [], []
+    for m in range(2, 2 + lm.CONTEXT):
+        last = lm._runs(keys, seq, place)[-1]
+        use = np.flatnonzero((place[1:] >= m - 1) & (last[:-1] >= 0) & (last[1:] >= 0)) + 1
+        key, n = np.unique((last[use - 1] << lm._BITS) | seq[use], return_counts=True)
+        keys, counts = [*keys, key[n >= 3]], [*counts, n[n >= 3]]
+    words = lm.Words(np.bincount(seq[place > 0], minlength=6), keys, counts)
+    assert all(len(k) for k in keys) and all((w < 1).any() for w in words.weights)
+    for before in ([1], [1, 2], [1, 2, 3], [1, 0, 4, 5], [1, 5, 2, 3, 4], [1, 3, 3, 3]):
+        rows = [np.array([*before, s]) for s in range(6)]
+        p = [words.probabilities(lm._runs(keys, r, np.arange(len(r))), np.arange(len(r)))[-1] for r in rows]
+        assert np.isclose(sum(p), 1)
+
+
 def test_tree_states_are_longest_suffixes():
     contexts = [(1, ord("a")), (2, (ord("a") << 8) | ord("b")), (3, (ord("x") << 16) | (ord("a") << 8) | ord("b"))]
     tree = lm.Tree(np.ones(256), contexts, np.array([97, 98, 99]), np.array([10.0, 20.0, 30.0]), np.array([0, 1, 2]))
