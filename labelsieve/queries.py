@@ -41,6 +41,11 @@ def text_functions(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def translate_links(s: SparkSession, d: str) -> DataFrame:
+    """Both links of each whole label."""
+    return fx.labels(s, d).select("label_id", tx.translate_url("text").alias("urls")).select("label_id", F.col("urls")[0].alias("baidu"), F.col("urls")[1].alias("google"))
+
+
 def ocr_post(s: SparkSession, d: str) -> DataFrame:
     return fx.labels(s, d).select("label_id", tx.ocr_post_process("text").alias("text"))
 
@@ -190,7 +195,7 @@ def session_end(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: list[Query] = [
-    normalize, text_functions, ocr_post, scan_dictionary_hits, scan_latin, find_phrases_all, flagged, segments, segment_pieces, codes, screen, verdict_report, dictionary_gaps, top_flagged,
+    normalize, text_functions, translate_links, ocr_post, scan_dictionary_hits, scan_latin, find_phrases_all, flagged, segments, segment_pieces, codes, screen, verdict_report, dictionary_gaps, top_flagged,
     web_lists, pack, stitch, combined, reading_order, photo_texts, box_order, read_score, sideways_angle, text_confidence, choose_read, read_merge, latest_history, delete_history,
     history_preview, lookup_many, live_intake, live_buffer, session_end,
 ]
@@ -218,6 +223,7 @@ ORACLE: dict[str, str] = {
         regexp_replace(text, '[\\s　]+', '', 'g') AS squashed, regexp_matches(text, '(?i)酒精度|%\\s*vol|vol\\s*%|ABV|酒精含量') AS alcoholic, len(regexp_extract_all(text, '[一-鿿]')) >= 6 AS usable,
         'https://fanyi.baidu.com/#zh/en/' || url_encode(substr(text, 1, 12)) AS url,
         CASE WHEN length(text) > 20 THEN '…' ELSE '' END || replace(substr(text, 7, least(36, length(text)) - 6), chr(10), ' ') || CASE WHEN length(text) > 36 THEN '…' ELSE '' END AS snippet, 15 AS snippet_offset FROM labels""",
+    "translate_links": f"""WITH {fx.LABELS_SQL} SELECT label_id, 'https://fanyi.baidu.com/#zh/en/' || url_encode(text) AS baidu, 'https://translate.google.com/?sl=zh-CN&tl=en&text=' || url_encode(text) || '&op=translate' AS google FROM labels""",
     "ocr_post": f"""WITH {fx.LABELS_SQL} SELECT label_id, regexp_replace(regexp_replace(t, '([一-鿿㐀-䶿豈-﫿、-〿＀-￯]) ([一-鿿㐀-䶿豈-﫿、-〿＀-￯])', '\\1\\2', 'g'), '([一-鿿㐀-䶿豈-﫿、-〿＀-￯]) ([一-鿿㐀-䶿豈-﫿、-〿＀-￯])', '\\1\\2', 'g') AS text FROM half""",
     "scan_dictionary_hits": f"WITH {fx.LABELS_SQL}, {_HITS} SELECT label_id, term, count(*) AS n FROM hits GROUP BY ALL",
     "scan_latin": f"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[0-9_]', '-', 'g'), '(?i:\\b({'|'.join(fx.LATIN)})\\b)')) AS w FROM documents)

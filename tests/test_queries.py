@@ -1,8 +1,11 @@
 """Registered queries against their SQL on the smallest tables."""
 
+from urllib.parse import unquote
+
 import duckdb
 import pytest
 
+from labelsieve import fixtures
 from labelsieve import queries as q
 
 D = "/root/testdata/sf0.001"
@@ -35,3 +38,12 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_links_carry_whole_labels(spark):
+    texts = {r["label_id"]: r["text"] for r in fixtures.labels(spark, D).collect()}
+    got = q.queries()["translate_links"](spark, D).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert unquote(r["baidu"]) == "https://fanyi.baidu.com/#zh/en/" + texts[r["label_id"]]
+        assert unquote(r["google"]) == "https://translate.google.com/?sl=zh-CN&tl=en&text=" + texts[r["label_id"]] + "&op=translate"
