@@ -191,7 +191,8 @@ def live_frames(s: SparkSession, d: str) -> DataFrame:
 
 
 def session_end(s: SparkSession, d: str) -> DataFrame:
-    return live.session_end(live.live_buffer(live.live_intake(live_frames(s, d))))
+    out = live.session_end(live.live_buffer(live.live_intake(live_frames(s, d))), lexicon(s))
+    return out.select("pack_id", "text", F.col("verdict.level").alias("level"), F.transform("findings", lambda f: f["term"]).alias("terms"))
 
 
 QUERIES: list[Query] = [

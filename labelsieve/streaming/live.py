@@ -11,16 +11,20 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from labelsieve.functions.text import squash_ws, trim
 from labelsieve.plans.packs import combined_text, pack_verdict
-from labelsieve.sources.tables import Lexicon, Settings
+from labelsieve.sources.tables import Lexicon, Settings, stored
 
 #: Milliseconds between accepted frames, least sharpness, its share of the session's best, texts kept, idle time.
 GAP_MS, LEAST_SHARP, SHARP_SHARE, KEPT, IDLE_MS = 1200, 25.0, 0.45, 24, 10 * 60 * 1000
 
-_OUT = "session_id long, seq long, frame_ms long, text string, kept boolean, ended boolean"
+_OUT = "session_id long, seq long, frame_ms long, text string, kept boolean, ended boolean, buffer array<string>"
+_COLUMNS = ["session_id", "seq", "frame_ms", "text", "kept", "ended", "buffer"]
 
 
 class Live(StatefulProcessor):
-    """State of one session: last accepted time, best sharpness, number of reads, buffer of the last texts."""
+    """State of one session: last accepted time, best sharpness, number of reads, buffer of the last texts.
+
+    A row per accepted read; the last one of a batch, and the one that ends a session, carry the whole buffer.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -43,20 +47,22 @@ class Live(StatefulProcessor):
             new = len(text) >= 6 and squashed not in {s for _, s in held}
             if new:
                 held = [*held, (text, squashed)][-KEPT:]
-            out.append((key[0], seq, ms, text, new, False))
+            out.append([key[0], seq, ms, text, new, False, None])
+        if out:
+            out[-1][-1] = [t for t, _ in held]
         self.session.update((int(last), float(best), int(seq)))
         self.texts.put(held) if held else self.texts.clear()
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
         self.handle.registerTimer(int(timers.getCurrentProcessingTimeInMs()) + IDLE_MS)
-        yield pd.DataFrame(out, columns=["session_id", "seq", "frame_ms", "text", "kept", "ended"])
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        """An idle session ends: one last row, and its state goes."""
-        state = self.session.get()
+        """An idle session ends: one last row with its buffer, and its state goes."""
+        state, held = self.session.get(), [t[0] for t in self.texts.get()]
         self.session.clear()
         self.texts.clear()
-        yield pd.DataFrame([(key[0], state[2] if state else 0, 0, "", False, True)], columns=["session_id", "seq", "frame_ms", "text", "kept", "ended"])
+        yield pd.DataFrame([(key[0], state[2] if state else 0, 0, "", False, True, held)], columns=_COLUMNS)
 
     def close(self) -> None:
         pass
@@ -110,9 +116,9 @@ def live_buffer(intake: DataFrame) -> DataFrame:
 
 
 def buffer_photos(buffers: DataFrame) -> DataFrame:
-    """The buffered texts as the photos of a pack per session."""
+    """The buffered texts as the photos of a pack per session, numbered from 1."""
     rows = buffers.select(F.col("session_id").alias("pack_id"), F.posexplode("buffer").alias("photo_no", "x"))
-    return rows.select("pack_id", F.col("photo_no").cast("int").alias("photo_no"), F.col("x.text").alias("text"), F.lit(None).cast("int").alias("ocr_confidence"))
+    return rows.select("pack_id", (F.col("photo_no") + 1).cast("int").alias("photo_no"), F.col("x.text").alias("text"), F.lit(None).cast("int").alias("ocr_confidence"))
 
 
 def live_top(verdicts: DataFrame, n: int = 12) -> DataFrame:
@@ -120,16 +126,24 @@ def live_top(verdicts: DataFrame, n: int = 12) -> DataFrame:
     return verdicts.select("pack_id", F.col("verdict.title").alias("title"), F.col("section.found").alias("found"), "joins", F.slice("findings", 1, n).alias("findings"), "positives")
 
 
-def session_end(buffers: DataFrame) -> DataFrame:
-    """Combined text of a finished session."""
-    return combined_text(buffer_photos(buffers), "frame")
+def session_end(buffers: DataFrame, lexicon: Lexicon, settings: Settings | None = None) -> DataFrame:
+    """What a finished session leaves: pack_id, its combined text, and the columns of its final verdict."""
+    photos = buffer_photos(buffers)
+    return combined_text(photos, "frame").join(pack_verdict(photos, lexicon, settings), "pack_id")
 
 
 def live_verdict(reads: DataFrame, lexicon: Lexicon, emit: Callable[[DataFrame, int], None], settings: Settings | None = None):
-    """Start a query that screens each batch's sessions anew and hands the verdicts to `emit`."""
+    """Start a query that screens the whole buffer of each session with an accepted read in a batch, or that ends in it.
+
+    `emit` gets the columns of session_end and `ended`, which marks final verdicts, and the batch's number; it isn't called
+    for a batch without any such session. A session that has buffered nothing has no verdict.
+    """
 
     def each(batch: DataFrame, no: int) -> None:
-        kept = batch.filter("kept").select(F.col("session_id").alias("pack_id"), F.col("seq").cast("int").alias("photo_no"), "text", F.lit(None).cast("int").alias("ocr_confidence"))
-        emit(pack_verdict(kept, lexicon, settings), no)
+        told = batch.filter(F.size("buffer") > 0).groupBy("session_id").agg(F.max_by(F.struct("buffer", "ended"), F.struct("ended", "seq")).alias("last"))
+        # The batch is read once: what follows goes over the buffers several times.
+        last = stored(told.select("session_id", F.transform("last.buffer", lambda t: F.struct(t.alias("text"))).alias("buffer"), "last.ended"), "buffers")
+        if not last.isEmpty():
+            emit(session_end(last, lexicon, settings).join(last.select(F.col("session_id").alias("pack_id"), "ended"), "pack_id"), no)
 
     return reads.writeStream.outputMode("append").foreachBatch(each)

@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,71 @@ def test_live(spark, tmp_path):
         query.stop()
     counts = {r["session_id"]: r["n"] for r in spark.sql("select session_id, count(*) n from reads group by session_id").collect()}
     assert counts == {s: len(w[0]) for s, w in want.items()}
+
+
+def test_live_verdict_over_batches(spark, tmp_path, monkeypatch):
+    """One read of each session a batch: every verdict is over all the session's texts up to then."""
+    monkeypatch.setattr(live, "pack_verdict", lambda photos, lexicon, settings: photos.groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct("photo_no", "text"))).alias("seen")))
+    texts = {1: ["配料:水、猪肉、白砂糖、小麦粉", "白砂糖、小麦粉、植物油、食用盐"], 2: ["配料:水、食用盐", "净含量:100克 地址"]}
+    schema = "session_id long, frame_no long, frame_ms long, sharpness double, text string"
+    for k in range(2):
+        spark.createDataFrame([(s, k, 2000 * k, 50.0, t[k]) for s, t in texts.items()], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "frames"))
+        time.sleep(1.1)
+    got = []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "frames"))
+    query = live.live_verdict(live.live_reads(stream), None, lambda df, no: got.append(df.collect())).option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        for _ in range(240):
+            if len(got) >= 2 or query.exception():
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    for k, rows in enumerate(got[:2], 1):
+        assert {r["pack_id"]: [tuple(x) for x in r["seen"]] for r in rows} == {s: list(enumerate(t[:k], 1)) for s, t in texts.items()}
+        assert not any(r["ended"] for r in rows)
+    assert len(got) >= 2 and {r["pack_id"]: r["text"] for r in got[1]} == {s: f"{t[0]}\n\n[frame 2]\n{t[1]}" for s, t in texts.items()}
+
+
+def test_live_session_ends_with_its_buffer():
+    class Kept:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        put = update
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Kept()
+
+        def getListState(self, name, schema):
+            kept = Kept()
+            kept.value = []
+            return kept
+
+        def listTimers(self):
+            return []
+
+        def registerTimer(self, ms):
+            pass
+
+    class Timers:
+        def getCurrentProcessingTimeInMs(self):
+            return 0
+
+    session = live.Live()
+    session.init(Handle())
+    for k, text in enumerate(["配料:水、猪肉", "水、猪肉、食用盐"]):
+        frames = pd.DataFrame([(k, 2000 * k, 50.0, text, text)], columns=["frame_no", "frame_ms", "sharpness", "text", "squashed"])
+        rows = pd.concat(session.handleInputRows((7,), iter([frames]), Timers()))
+    assert rows["buffer"].tolist() == [["配料:水、猪肉", "水、猪肉、食用盐"]]
+    last = pd.concat(session.handleExpiredTimer((7,), Timers(), None))
+    assert last["ended"].tolist() == [True] and last["buffer"].tolist() == [["配料:水、猪肉", "水、猪肉、食用盐"]]
