@@ -5,7 +5,7 @@ two of them that meet in a subset are judged by their sizes alone. Large (heavy)
 rarest shingles (as many as a partner can't miss all of), and the lists are scanned. The boundary between the two is
 chosen by cost from the sizes of all sets.
 
-A list keeps a set only if it has a partner there of a fitting size, the smaller of the two with the shingle among so few
+Of lists that hold the same sets one is scanned. A list keeps a set only if it has a partner there of a fitting size, the smaller of the two with the shingle among so few
 first ones that the overlap can still be reached. A scan rejects pairs by sizes and by a sketch: for each of some cells
 whether it holds an odd number of members, which differs in no more cells than the sets differ in members. Sketches are as
 wide as a set's size needs; the wider of two is folded. A scan doesn't spell out all pairs that are left. First each set is paired with one partner of a list; what
@@ -235,6 +235,12 @@ def _lists(rule: Rule):
             hh, hk, hs = hh[use], hk[use], hs[use]
         first = np.flatnonzero(np.concatenate([[True], hh[1:] != hh[:-1]])) if len(hh) else np.zeros(0, np.int64)
         length = np.diff(np.concatenate([first, [len(hh)]]))
+        # Near copies share many shingles: lists of the same sets get the same name, and one of them is enough.
+        named = mix64(np.add.reduceat(mix64(hk.view(np.uint64)), first) + length.astype(np.uint64)) if len(hh) else np.zeros(0, np.uint64)
+        new = np.zeros(len(named), bool)
+        new[np.unique(named, return_index=True)[1]] = True
+        keep = np.repeat(new, length)
+        hk, hs, hh, length = hk[keep], hs[keep], np.repeat(named, length)[keep], length[new]
         parts = np.repeat(-(-length // TILE), length)
         row = np.repeat(np.arange(len(hh)), parts)
         other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -405,17 +411,18 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str =
     sizes = {r[0]: r[1] for r in narrow.filter("n > 0").groupBy(F.least("n", F.lit(64)).alias("n")).agg(F.count(F.lit(1))).collect()}  # at most 64 rows
     boundary = light_boundary(sizes, rule)
     packs = rows.select("body").mapInArrow(_postings(n, rule, boundary, rank, buckets), "bucket int, h binary, key binary, size binary")
-    lists = stored(packs.groupBy("bucket").applyInArrow(_lists(rule), "light boolean, token long, side int, key long, size int"), "lists")
+    lists = stored(packs.groupBy("bucket").applyInArrow(_lists(rule), "light boolean, token long, side int, key long, size int").distinct(), "lists")
     links = lists.filter("light").select(F.col("token").alias("a"), F.col("key").alias("b"))
-    classes = narrow.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"))
+    classes = narrow.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     sketches = narrow.filter("n > 0").groupBy("key").agg(F.first("sketch").alias("sketch"))
     listed = lists.filter("not light").select("token", "side", "key", "size", unsigned_mod("token", buckets).alias("bucket"))
     found = _scan(rows, narrow.select("doc_id", "key"), listed, sketches, rule, links, n)
     comp = components(found)
     roots = comp.join(classes, comp["node"] == classes["key"]).groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = comp.join(roots, "component").select(F.col("node").alias("key"), "component_id")
-    alone = classes.join(named, "key", "left").select("key", F.coalesce("component_id", "least_id").alias("component_id"))
-    return narrow.join(alone, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # A set that is alone and has no link needs no look-up.
+    shared = classes.join(named, "key", "left").filter("copies > 1 OR component_id IS NOT NULL").select("key", F.coalesce("component_id", "least_id").alias("component_id"))
+    return narrow.join(shared, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _members(rows: DataFrame, narrow: DataFrame, alive: DataFrame, n: int) -> DataFrame:
