@@ -15,22 +15,26 @@ context (up to `DEPTH` bytes of the lower-cased text, across words) if it makes
 bytes and its next-byte distribution diverges from that of its suffix by at least `LEAST_DIVERGENCE`; each byte is scored
 in the longest retained suffix. There are at most DEPTH / LEAST_SHARE contexts.
 
-Rare contexts, which grow with the corpus and stay distributed: the word before, if it isn't frequent, and otherwise the
-shortest run of 2 to CONTEXT + 1 words before that isn't. As it is rare, all its occurrences meet in one packed bucket, in
-which its successors are counted. It is retained unless leaving each occurrence out shows that it predicts no better than
-the other parts, and then smoothed towards those.
+Rare contexts, which grow with the corpus and stay distributed: the word before, if it isn't frequent. All its occurrences
+meet in one packed bucket, in which its successors are counted. It is retained unless leaving each occurrence out shows that
+it predicts no better than the suffix, and then smoothed towards that. Longer runs that aren't frequent are no contexts: to
+send one row a token there and back takes more disk than the limits of the check tool leave.
 
 The unigram base needs the count of every word; those of rare words are found in the same buckets.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from labelsieve.llm.common import NO_ID, bucket_count, id_crc32, lowered, mix64, packed, slices, stored, text_buffers, unpacked, unsigned_mod, word_hashes, words
+from labelsieve.llm.common import NO_ID, bucket_count, id_crc32, lowered, mix64, modest_batches, packed, slices, stored, text_buffers, unpacked, unsigned_mod, word_hashes, words
 
 DEPTH = 6
 LEAST_SHARE = 5e-5
@@ -38,19 +42,14 @@ LEAST_DIVERGENCE = 0.01
 HOT_SHARE = 2e-6
 #: Symbols of the longest frequent context.
 CONTEXT = 3
-#: Words seen this often in training, or above HOT_SHARE if that is more, are no rare contexts by themselves.
-FREQUENT = 50
 #: Weight of the other parts against the occurrences of a rare context.
 SMOOTHING = 5.0
-#: Different hashes that a task gathers before it sends them.
-_GATHERED = 1_500_000
+#: Different hashes, and occurrences of rare words, that a task gathers before it sends them.
+_GATHERED, _SENT_AT_ONCE = 1_500_000, 400_000
 _SEGMENT = 256
 _END = 0x0A
 #: Symbols of words: the escape, the end of a text, then hot words in the order of their hashes; fewer than 2^_BITS.
 _ESCAPE, _STOP, _FIRST, _BITS = 0, 1, 2, 20
-#: Buckets of occurrences for each bucket of texts.
-_SPREAD = 4
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word_offsets: np.ndarray, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,6 +72,33 @@ def symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word_offsets
     return out, begin, np.cumsum(flag[:-1]) > 0
 
 
+def _squeezed(batch: pa.RecordBatch | None, rising: str | None = None) -> pa.RecordBatch | None:
+    """The packed batch with each of its cells compressed byte by byte of the values; those of one column as steps, since they rise."""
+    if batch is None:
+        return None
+    coder, columns = zstandard.ZstdCompressor(level=1), [batch.column(0)]
+    for name in batch.schema.names[1:]:
+        cells = []
+        for cell in batch.column(name):
+            values = np.frombuffer(cell.as_buffer(), _KIND[name])
+            if name == rising:
+                values = np.diff(values, prepend=values.dtype.type(0))
+            cells.append(coder.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()))
+        columns.append(pa.array(cells, pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+
+def _opened(table: pa.Table, name: str, rising: bool = False) -> np.ndarray:
+    """All values of a column that _squeezed has made; rows without any are null or empty."""
+    coder, kind, out = zstandard.ZstdDecompressor(), np.dtype(_KIND[name]), []
+    for cell in table[name].drop_null():
+        body = cell.as_py()
+        if body:
+            values = np.ascontiguousarray(np.frombuffer(coder.decompress(body), np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+            out.append(np.cumsum(values, dtype=kind) if rising else values)
+    return np.concatenate(out) if out else np.zeros(0, kind)
+
+
 def _merge(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different hashes in order and the sums of their counts."""
     if not len(hashes):
@@ -101,7 +127,7 @@ class _Gather:
     def rest(self):
         if self.parts:
             h, c = _merge(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
-            batch = packed((mix64(h) % np.uint64(self.buckets)).astype(np.int32), {"h": h, "n": c})
+            batch = _squeezed(packed((mix64(h) % np.uint64(self.buckets)).astype(np.int32), {"h": h, "n": c}), "h")
             if batch is not None:
                 yield batch
         self.parts, self.n = [], 0
@@ -148,13 +174,13 @@ def _count_grams(hot: np.ndarray, buckets: int):
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    h, n = _merge(unpacked(table["h"], "u8")[0], unpacked(table["n"], "i8")[0])
+    h, n = _merge(_opened(table, "h", True), _opened(table, "n"))
     batch = packed(np.full(len(h), table["bucket"][0].as_py(), np.int32), {"h": h, "n": n})
     return pa.Table.from_batches([batch])
 
 
 def _summed_rows(table: pa.Table) -> pa.Table:
-    h, n = _merge(unpacked(table["h"], "u8")[0], unpacked(table["n"], "i8")[0])
+    h, n = _merge(_opened(table, "h", True), _opened(table, "n"))
     return pa.table({"gram": h.astype(np.int64), "n": n})
 
 
@@ -190,7 +216,7 @@ class Tree:
             children = [(a, at[d + 1, (v << 8) | a]) for a in range(256) if (d + 1, (v << 8) | a) in at]
             for a, c in children:
                 follow[k, a] = c
-        self.follow, self.log = follow.reshape(-1), np.log10(p).reshape(-1)
+        self.follow, self.log = follow.reshape(-1), np.log10(p).astype(np.float32).reshape(-1)
 
     def logs(self, row: np.ndarray) -> np.ndarray:
         """log10 probability of each byte. Segments are walked side by side, each after DEPTH bytes that set its state."""
@@ -206,8 +232,8 @@ class Tree:
         return log.T.reshape(-1)[: len(row)]
 
 
-def learn(texts: DataFrame, text: str, hot: np.ndarray, buckets: int) -> tuple:
-    """What a Tree is built from: root counts and the retained contexts with their successors' counts."""
+def learn(texts: DataFrame, text: str, hot: np.ndarray, buckets: int) -> Tree:
+    """The byte tree, from root counts and the retained contexts with their successors' counts."""
     packs = texts.select(text).mapInArrow(_count_grams(hot, buckets), "bucket int, h binary, n binary")
     grams = stored(packs.groupBy("bucket").applyInArrow(_summed_rows, "gram long, n long"), "lm-grams")
     level = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
@@ -231,7 +257,7 @@ def learn(texts: DataFrame, text: str, hot: np.ndarray, buckets: int) -> tuple:
         key = rows[["d", "ctx"]].to_numpy()
         new = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])
         contexts, owners = [(int(d), int(c)) for d, c in key[new]], np.cumsum(new) - 1
-    return roots, contexts, rows["sym"].to_numpy(np.int64), rows["n"].to_numpy(np.float64), owners
+    return Tree(roots, contexts, rows["sym"].to_numpy(np.int64), rows["n"].to_numpy(np.float64), owners)
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -296,7 +322,7 @@ def _count_runs(hot: np.ndarray, keys: list[np.ndarray], buckets: int):
 
 def _frequent_rows(least: float):
     def run(table: pa.Table) -> pa.Table:
-        h, n = _merge(unpacked(table["h"], "u8")[0], unpacked(table["n"], "i8")[0])
+        h, n = _merge(_opened(table, "h", True), _opened(table, "n"))
         return pa.table({"gram": h[n >= least].astype(np.int64), "n": n[n >= least]})
 
     return run
@@ -324,8 +350,8 @@ class Words:
             gain = np.bincount(context, share * np.log(share / p), minlength=size) + left * np.log(np.maximum(left, 1e-12) / np.maximum(rest, 1e-12))
             kept = (kinds > 0) & (gain >= LEAST_DIVERGENCE)
             whole = np.maximum(total, listed) + kinds
-            self.weights.append(np.where(kept, (whole - listed) / np.maximum(whole, 1), 1.0))
-            self.values.append(np.where(kept[context], n / whole[context], 0.0))
+            self.weights.append(np.where(kept, (whole - listed) / np.maximum(whole, 1), 1.0).astype(np.float32))
+            self.values.append(np.where(kept[context], n / whole[context], 0.0).astype(np.float32))
             total, before = n, self.values[-1] + self.weights[-1][context] * p
 
     def probabilities(self, runs: list[np.ndarray], place: np.ndarray) -> np.ndarray:
@@ -339,91 +365,110 @@ class Words:
         return p
 
 
-def learn_words(texts: DataFrame, text: str, hot: np.ndarray, single: np.ndarray, buckets: int) -> tuple:
-    """What Words is built from."""
+def learn_words(texts: DataFrame, text: str, hot: np.ndarray, single: np.ndarray, buckets: int) -> Words:
+    """The frequent contexts of the training texts."""
     least, keys, counts = max(2.0, HOT_SHARE * float(single.sum())), [], []
     for _ in range(CONTEXT):
         packs = texts.select(text).mapInArrow(_count_runs(hot, keys, buckets), "bucket int, h binary, n binary")
         # At most 1 / HOT_SHARE runs.
         found = packs.groupBy("bucket").applyInArrow(_frequent_rows(least), "gram long, n long").toPandas().sort_values("gram")
         keys, counts = [*keys, found["gram"].to_numpy(np.int64)], [*counts, found["n"].to_numpy(np.int64)]
-    return single, keys, counts
+    return Words(single, keys, counts)
 
 
+#: What a text's own row and a rare word's bucket add to the text.
 _DELTA = ("id", "tokens", "known", "log", "score")
-_KINDS = ("i8", "i8", "i8", "f8", "f8")
-_SENT = "bucket int, h binary, id binary, next binary, local binary, " + ", ".join(f"d_{c} binary" for c in _DELTA)
-_HOT, _TRAIN, _NEXT = np.uint32(1 << 30), np.uint32(1 << 31), np.uint32((1 << 30) - 1)
+_KIND = {"h": "u8", "n": "i8", "id": "i8", "next": "u8", "local": "f4", "tokens": "i8", "known": "i4", "log": "f8", "score": "f8"}
+_HELD = {"h": "u8", "id": "i8", "next": "u8", "local": "f4"}
+_SENT = "bucket int, " + ", ".join(f"{c} binary" for c in [*_HELD, *_DELTA[1:]])
+_SUMS = "bucket int, " + ", ".join(f"{c} binary" for c in _DELTA)
+#: A successor is known by 46 bits of its hash, above two marks: whether it is hot, and whether this is a training text.
+_HOT, _TRAIN, _NEXT = np.uint64(1), np.uint64(2), np.uint64(((1 << 46) - 1) << 2)
 
 
-def _padded(batch: pa.RecordBatch | None, names: list[str]) -> pa.RecordBatch | None:
-    """The batch with empty values for the columns it lacks."""
-    if batch is None:
-        return None
-    nothing = pa.array([b""] * batch.num_rows, pa.binary())
+class Model(NamedTuple):
+    """What all tasks need to score texts."""
+
+    tree: Tree
+    contexts: Words
+    hot: np.ndarray
+    hot_counts: np.ndarray
+    end_count: int
+    rare_kinds: int
+
+
+def _own_sums(model: Model, taught: np.ndarray, ids: np.ndarray, own: np.ndarray, starts: np.ndarray, ends: np.ndarray, word_at: np.ndarray) -> tuple[dict, dict]:
+    """Of some texts: their sums by all contexts that are known everywhere, and the occurrences of rare words with their
+    successors and those' log10 probabilities so far."""
+    tree, contexts, hot = model.tree, model.contexts, model.hot
+    n = np.diff(word_at)
+    doc = np.repeat(np.arange(len(n)), n)
+    h = word_hashes(own, starts, ends)
+    seq, place, at = _sequence(h, word_at, hot)
+    is_hot = seq[at] >= _FIRST
+    row, _, _ = symbols(own, starts, ends, word_at, ~is_hot)
+    byte_logs = np.concatenate([[0], np.cumsum(tree.logs(row))])
+    target = np.cumsum(ends - starts + 1) - (ends - starts + 1) + (DEPTH + 1) * doc + DEPTH
+    spelling = byte_logs[target + (ends - starts) + 1] - byte_logs[target]
+    local = np.log10(contexts.probabilities(_runs(contexts.keys, seq, place), place))
+    local[at[~is_hot]] += np.log10(0.5 * 10.0 ** spelling[~is_hot] + 0.5 / (model.rare_kinds + 1))
+    stops = word_at[1:] + 2 * np.arange(len(n)) + 1
+    score = local[stops] + np.bincount(doc, local[at], minlength=len(n))
+    base = np.log10(model.end_count + 0.5) + np.bincount(doc[is_hot], np.log10(model.hot_counts + 0.5)[seq[at[is_hot]] - _FIRST], minlength=len(n))
+    known = (int(model.end_count > 0) + np.bincount(doc[is_hot], minlength=len(n))).astype(np.int32)
+    sums = {"id": ids, "tokens": n + 1, "known": known, "log": base, "score": score}
+    following = np.ones(len(seq), np.uint64)
+    following[at] = h
+    use = np.flatnonzero(~is_hot)
+    next_ = at[use] + 1
+    mark = ((following[next_] >> np.uint64(16)) & _NEXT) | np.where(seq[next_] != _ESCAPE, _HOT, np.uint64(0)) | np.where(taught[doc[use]], _TRAIN, np.uint64(0))
+    return sums, {"h": h[use], "id": ids[doc[use]], "next": mark, "local": local[next_].astype(np.float32)}
+
+
+def _padded(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with nulls for the columns of the other kind of rows."""
+    names = [*_HELD, *_DELTA[1:]]
+    nothing = pa.nulls(batch.num_rows, pa.binary())
     return pa.RecordBatch.from_arrays([batch["bucket"], *[batch[c] if c in batch.schema.names else nothing for c in names]], names=["bucket", *names])
 
 
-def _occurrences(model, common, hot: np.ndarray, hot_counts: np.ndarray, end_count: int, tokens: int, rare_kinds: int, buckets: int):
-    """From texts to two kinds of packed rows: a text's sums so far, by its own bucket, and each occurrence of a rare context
-    with its successor and that one's log10 probability in the other parts, by the context's bucket."""
-    names = ["h", "id", "next", "local", *[f"d_{c}" for c in _DELTA]]
+def _rows(sums: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch | None:
+    """Sums of texts, packed by the bucket of the text."""
+    return _squeezed(packed((sums["id"].view(np.uint64) % np.uint64(buckets)).astype(np.int32), {c: x.astype(_KIND[c]) for c, x in sums.items()}), "id")
+
+
+def _occurrences(model, buckets: int):
+    """From texts to two kinds of packed rows: a text's sums so far, by its own bucket, and the occurrences of rare words,
+    by the word's bucket."""
+
+    def sent(held: list[dict]):
+        if held:
+            whole = {c: np.concatenate([x[c] for x in held]) for c in _HELD}
+            order = np.argsort(whole["h"])
+            whole = {c: x[order] for c, x in whole.items()}
+            out = _squeezed(packed((whole["h"] % np.uint64(buckets)).astype(np.int32), whole), "h")
+            if out is not None:
+                yield _padded(out)
 
     def run(batches):
-        tree, contexts = Tree(*model.value), Words(*common.value)
-        logs = np.log10(hot_counts + 0.5)
-        frequent = np.concatenate([[False, True], hot_counts >= max(FREQUENT, HOT_SHARE * tokens)])
+        held, n = [], 0
         for batch in batches:
             ids, taught = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
             for a, b, own, starts, ends, word_at in _chunks(batch, 1):
-                n = np.diff(word_at)
-                doc = np.repeat(np.arange(b - a), n)
-                h = word_hashes(own, starts, ends)
-                seq, place, at = _sequence(h, word_at, hot)
-                runs = _runs(contexts.keys, seq, place)
-                is_hot = seq[at] >= _FIRST
-                row, begin, _ = symbols(own, starts, ends, word_at, ~is_hot)
-                byte_logs = np.concatenate([[0], np.cumsum(tree.logs(row))])
-                target = np.cumsum(ends - starts + 1) - (ends - starts + 1) + (DEPTH + 1) * doc + DEPTH
-                spelling = byte_logs[target + (ends - starts) + 1] - byte_logs[target]
-                local = np.log10(contexts.probabilities(runs, place))
-                local[at[~is_hot]] += np.log10(0.5 * 10.0 ** spelling[~is_hot] + 0.5 / (rare_kinds + 1))
-                stops = word_at[1:] + 2 * np.arange(b - a) + 1
-                score = local[stops] + np.bincount(doc, local[at], minlength=b - a)
-                base = np.log10(end_count + 0.5) + np.bincount(doc[is_hot], logs[seq[at[is_hot]] - _FIRST], minlength=b - a)
-                known = int(end_count > 0) + np.bincount(doc[is_hot], minlength=b - a)
-                own_ids = ids[a:b]
-                sums = dict(zip([f"d_{c}" for c in _DELTA], (own_ids, n + 1, known, base, score), strict=True))
-                yield _padded(packed((own_ids.view(np.uint64) % np.uint64(buckets)).astype(np.int32), sums), names)
-                if not len(h):
-                    continue
-                all_hashes = np.ones(len(seq), np.uint64)
-                all_hashes[at] = h
-                context, use = h.copy(), ~frequent[seq[at]]
-                # Words that still lack a rare context, and the hashes of the runs that end with them.
-                open_ = np.flatnonzero(~use)
-                grown = h[open_]
-                for m in range(2, len(runs) + 1):
-                    more = place[at[open_]] >= m - 1
-                    open_, grown = open_[more], grown[more]
-                    grown = mix64(grown * _STEP + all_hashes[at[open_] - (m - 1)])
-                    rare = runs[m - 1][at[open_]] < 0
-                    context[open_[rare]], use[open_[rare]] = grown[rare], True
-                    open_, grown = open_[~rare], grown[~rare]
-                mark = (all_hashes[at + 1] >> np.uint64(20)).astype(np.uint32) & _NEXT
-                mark |= np.where(is_hot, _HOT, np.uint32(0)) | np.where(taught[a:b][doc], _TRAIN, np.uint32(0))
-                sent = {"h": context[use], "id": own_ids[doc[use]], "next": mark[use], "local": local[at[use] + 1].astype(np.float32)}
-                out = _padded(packed((context[use] % np.uint64(_SPREAD * buckets)).astype(np.int32), sent), names)
-                if out is not None:
-                    yield out
+                sums, rare = _own_sums(model.value, taught[a:b], ids[a:b], own, starts, ends, word_at)
+                yield _padded(_rows(sums, buckets))
+                held.append(rare)
+                n += len(rare["h"])
+                if n > _SENT_AT_ONCE:
+                    yield from sent(held)
+                    held, n = [], 0
+        yield from sent(held)
 
     return run
 
 
-def _met(h: np.ndarray, ids: np.ndarray, mark: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, ...]:
-    """What the occurrences of a bucket's contexts add to each text: known words, base log and the rare contexts' gain."""
-    order = np.lexsort((mark & _NEXT, h))
-    h, ids, mark, local = h[order], ids[order], mark[order], local[order].astype(np.float64)
+def _met(h: np.ndarray, mark: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What the occurrences of a bucket's rare words, in the order of h and successor, add to their texts: known words, base log and the contexts' gain."""
     word = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
     following = mark & _NEXT
     pair = np.concatenate([[0], np.cumsum((h[1:] != h[:-1]) | (following[1:] != following[:-1]))])
@@ -433,27 +478,28 @@ def _met(h: np.ndarray, ids: np.ndarray, mark: np.ndarray, local: np.ndarray) ->
     mixed = (c_pair + SMOOTHING * p) / (c + SMOOTHING)
     # Leaving one out: what the other occurrences would have said of each training occurrence.
     without = np.log10((c_pair - 1 + SMOOTHING * p) / (c - 1 + SMOOTHING), where=train, out=np.zeros(len(p))) - np.where(train, local, 0)
-    gain = np.bincount(word, without)
-    kept = (gain[word] > 0) | (c == 1)
-    rare = (mark & _HOT) == 0
-    return ids, (rare & (c > 0)).astype(np.int64), np.where(rare, np.log10(c + 0.5), 0.0), np.where(kept, np.log10(mixed) - local, 0.0)
+    kept = (np.bincount(word, without) > 0)[word] | (c == 1)
+    return (c > 0).astype(np.int32), np.log10(c + 0.5), np.where(kept, np.log10(mixed) - local, 0.0)
 
 
 def _deltas(buckets: int):
     empty = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in _DELTA)])
 
     def run(table: pa.Table) -> pa.Table:
-        own = [unpacked(table[f"d_{c}"], k)[0] for c, k in zip(_DELTA, _KINDS, strict=True)]
-        h, ids, mark, local = (unpacked(table[c], k)[0] for c, k in (("h", "u8"), ("id", "i8"), ("next", "u4"), ("local", "f4")))
-        if len(h):
-            ids, known, log, score = _met(h, ids, mark, local)
+        is_own = table["h"].is_null()
+        batches = table.filter(is_own).select(["bucket", *_DELTA]).combine_chunks().to_batches()
+        told = table.filter(table["h"].is_valid())
+        if told.num_rows:
+            h, ids, mark, local = _opened(told, "h", True), _opened(told, "id"), _opened(told, "next"), _opened(told, "local").astype(np.float64)
+            order = np.lexsort((mark & _NEXT, h))
+            ids = ids[order]
+            added = _met(h[order], mark[order], local[order])
             order = np.argsort(ids, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
-            sums = [np.add.reduceat(x[order], cut) for x in (known, log, score)]
-            each = [ids[order][cut], np.zeros(len(cut), np.int64), *sums]
-            own = [np.concatenate(x) for x in zip(own, each, strict=True)]
-        batch = packed((own[0].view(np.uint64) % np.uint64(buckets)).astype(np.int32), dict(zip(_DELTA, own, strict=True)))
-        return pa.Table.from_batches([batch] if batch is not None else [], empty)
+            sums = {"id": ids[order][cut]} | {c: np.add.reduceat(x[order], cut) for c, x in zip(_DELTA[2:], added, strict=True)}
+            out = _rows(sums, buckets)
+            batches.append(pa.RecordBatch.from_arrays([out["bucket"], *[out[c] if c != "tokens" else pa.nulls(out.num_rows, pa.binary()) for c in _DELTA]], schema=empty))
+        return pa.Table.from_batches([b.cast(empty) for b in batches], empty)
 
     return run
 
@@ -462,13 +508,12 @@ def _total(lost: float, tokens: int, kind: pa.DataType):
     """One row per text: its sums, and the base divided by its mass."""
 
     def run(key, docs: pa.Table, sums: pa.Table) -> pa.Table:
-        ids = docs["id"].to_numpy()
-        kinds, inverse, rows = np.unique(ids, return_inverse=True, return_counts=True)
-        told = [unpacked(sums[c], k)[0] for c, k in zip(_DELTA, _KINDS, strict=True)]
-        at = np.searchsorted(kinds, told[0])
+        kinds, inverse, rows = np.unique(docs["id"].to_numpy(), return_inverse=True, return_counts=True)
+        at = np.searchsorted(kinds, _opened(sums, "id", True))
+        own = np.searchsorted(kinds, _opened(sums.filter(sums["tokens"].is_valid()), "id", True))
         # Rows that repeat identifier and text have each sent the same, so each gets an equal part.
-        n, known, log, score = ((np.bincount(at, x.astype(float), minlength=len(kinds)) / rows)[inverse] for x in told[1:])
-        n = np.rint(n).astype(np.int64)
+        n = np.rint((np.bincount(own, _opened(sums, "tokens"), minlength=len(kinds)) / rows)[inverse]).astype(np.int64)
+        known, log, score = ((np.bincount(at, _opened(sums, c), minlength=len(kinds)) / rows)[inverse] for c in _DELTA[2:])
         return pa.table({"doc_id": docs["doc_id"].cast(kind), "n_tokens": n, "n_known": np.rint(known).astype(np.int64), "train_tokens": np.full(len(n), tokens), "base_score": log - n * lost, "score": score})
 
     return run
@@ -478,14 +523,16 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tra
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Trained on the rows where `train` holds (by default crc32(identifier as text) mod 5 is not 1). Null text counts as
-    empty and has the end token alone. Rows that repeat are counted and scored one by one; null identifiers stay.
-    Without training rows every word is unknown and the tree is uniform. An empty table gives an empty result.
+    empty and has the end token alone. Rows that repeat are counted and scored one by one; null identifiers stay, and
+    identifiers may be of any plain type. Without training rows every word is unknown and the tree is uniform. An empty
+    table gives an empty result; other columns aren't read, unless `train` does.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     buckets = buckets or bucket_count(docs, text)
     chosen = (id_crc32(F.col(doc_id)) % 5 != 1) if train is None else train
     body = F.coalesce(F.col(text), F.lit(""))
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dict(docs.dtypes)[doc_id]]
+    kind = to_arrow_type(docs.schema[doc_id].dataType)
     taught = docs.filter(chosen).select(body.alias("body"))
     packs = taught.mapInArrow(_count_words(buckets), "bucket int, h binary, n binary")
     counts = stored(packs.groupBy("bucket").applyInArrow(_summed, "bucket int, h binary, n binary"), "lm-words")
@@ -510,12 +557,12 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tra
     hot, hot_counts = frame["h"].to_numpy(np.int64).view(np.uint64), frame["n"].to_numpy(np.float64)
     order = np.argsort(hot)
     hot, hot_counts = hot[order], hot_counts[order]
-    model = spark.sparkContext.broadcast(learn(taught, "body", hot, buckets))
     single = np.concatenate([[tokens - ends - hot_counts.sum(), ends], hot_counts])
-    common = spark.sparkContext.broadcast(learn_words(taught, "body", hot, single, buckets))
+    # Every part of it is bounded by LEAST_SHARE or HOT_SHARE.
+    model = spark.sparkContext.broadcast(Model(learn(taught, "body", hot, buckets), learn_words(taught, "body", hot, single, buckets), hot, hot_counts, ends, kinds - int(ends > 0) - len(hot)))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(str(NO_ID))), body).alias("id"), body.alias("body"), F.coalesce(chosen, F.lit(False)).alias("taught"))
-    sent = keyed.select("id", "body", "taught").mapInArrow(_occurrences(model, common, hot, hot_counts, ends, tokens, kinds - int(ends > 0) - len(hot), buckets), _SENT)
-    sums = sent.groupBy("bucket").applyInArrow(_deltas(buckets), "bucket int, " + ", ".join(f"{c} binary" for c in _DELTA))
+    sent = keyed.select("id", "body", "taught").mapInArrow(_occurrences(model, buckets), _SENT)
+    sums = sent.groupBy("bucket").applyInArrow(_deltas(buckets), _SUMS)
     rows = keyed.select("doc_id", "id", unsigned_mod("id", buckets).alias("bucket"))
     lost = float(np.log10(tokens + 0.5 * (kinds + 1)))
     return rows.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(

@@ -5,7 +5,8 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -274,6 +275,105 @@ def test_lm_frequent_words_have_contexts(spark):
     assert sum(r["score"] for r in held_out) / n > -0.1
 
 
+def brute_lm(rows, train):
+    """score of each (text, taught): the same model with dictionaries, one token at a time."""
+    texts = [WORDS.findall(lower(t or "")) for t in rows]
+    count = Counter(w for ws, t in zip(texts, train, strict=True) if t for w in ws)
+    ends = sum(train)
+    hot = {w for w, n in count.items() if n >= 2}
+    seqs = [["END", *(w if w in hot else "ESC" for w in ws), "END"] for ws in texts]
+    single = Counter(x for q, t in zip(seqs, train, strict=True) if t for x in q[1:])
+    mass = sum(single.values()) + 2
+    first = lambda x: (single[x] + (x in ("END", "ESC"))) / mass
+    runs = Counter(tuple(q[i : i + m]) for q, t in zip(seqs, train, strict=True) if t for m in range(2, lm.CONTEXT + 2) for i in range(len(q) - m + 1))
+    runs = {r: n for r, n in runs.items() if n >= 2}
+    nexts = defaultdict(list)
+    for r in runs:
+        nexts[r[:-1]].append(r)
+    size = lambda c: single[c[0]] if len(c) == 1 else runs[c]
+
+    @cache
+    def kept(c):
+        mine, total = nexts.get(c, []), size(c)
+        if not mine:
+            return False
+        left = max(total - sum(runs[r] for r in mine), 0) / total
+        rest = 1 - sum(p(r[1:-1], r[-1]) for r in mine)
+        gain = sum(runs[r] / total * math.log(runs[r] / total / p(r[1:-1], r[-1])) for r in mine)
+        return gain + left * math.log(max(left, 1e-12) / max(rest, 1e-12)) >= lm.LEAST_DIVERGENCE
+
+    @cache
+    def p(c, x):
+        if not c:
+            return first(x)
+        known = len(c) == 1 or c in runs
+        back = p(c[1:], x)
+        if not known or not kept(c):
+            return back
+        mine = nexts[c]
+        listed = sum(runs[r] for r in mine)
+        whole = max(size(c), listed) + len(mine)
+        return back * (whole - listed) / whole + runs.get((*c, x), 0) / whole
+
+    grams = Counter()
+    for ws, t in zip(texts, train, strict=True):
+        said = b"\n" * lm.DEPTH
+        for w in ws:
+            for byte in w.encode() + b" ":
+                if t and w not in hot:
+                    grams.update((said[len(said) - d :], byte) for d in range(lm.DEPTH + 1))
+                said += bytes([byte])
+    all_of = Counter()
+    for (c, _), n in grams.items():
+        all_of[c] += n
+    after = defaultdict(dict)
+    for (c, b), n in grams.items():
+        after[c][b] = n
+
+    @cache
+    def spelled(c, b):
+        if not c:
+            return (grams[b"", b] + 0.5) / (all_of[b""] + 128)
+        back, n = spelled(c[1:], b), all_of[c]
+        if n < max(2, lm.LEAST_SHARE * all_of[b""]) or sum(x / n * math.log(x / n / (after[c[1:]][k] / all_of[c[1:]])) for k, x in after[c].items()) < lm.LEAST_DIVERGENCE:
+            return back
+        return (back * len(after[c]) + after[c].get(b, 0)) / (n + len(after[c]))
+
+    rare_kinds, scores, met = len(count) - len(hot), [], []
+    for k, (ws, q, t) in enumerate(zip(texts, seqs, train, strict=True)):
+        total, said = 0.0, b"\n" * lm.DEPTH
+        for i, x in enumerate(q[1:], 1):
+            local = math.log10(p(tuple(q[max(0, i - lm.CONTEXT) : i]), x))
+            if i <= len(ws):
+                body = ws[i - 1].encode() + b" "
+                if x == "ESC":
+                    full = said + body
+                    spell = math.prod(spelled(full[j - lm.DEPTH : j], full[j]) for j in range(len(said), len(full)))
+                    local += math.log10(0.5 * spell + 0.5 / (rare_kinds + 1))
+                said += body
+            total += local
+            if i > 1 and q[i - 1] == "ESC":
+                met.append((k, ws[i - 2], ws[i - 1] if i <= len(ws) else None, t, local))
+        scores.append(total)
+    of, pair = Counter(m[1] for m in met if m[3]), Counter(m[1:3] for m in met if m[3])
+    gain = Counter()
+    for _, w, x, t, local in met:
+        if t:
+            gain[w] += math.log10((pair[w, x] - 1 + lm.SMOOTHING * 10**local) / (of[w] - 1 + lm.SMOOTHING)) - local
+    for k, w, x, _, local in met:
+        if gain[w] > 0 or of[w] == 1:
+            scores[k] += math.log10((pair[w, x] + lm.SMOOTHING * 10**local) / (of[w] + lm.SMOOTHING)) - local
+    return scores
+
+
+def test_lm_scores_match_brute_force(docs, plain):
+    train = [k is None or zlib.crc32(str(k).encode()) % 5 != 1 for k, _ in plain]
+    want = sorted(zip((str(k) for k, _ in plain), brute_lm([t for _, t in plain], train), strict=True))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in lm.score_texts(docs, buckets=5).collect())
+    assert [k for k, _ in got] == [k for k, _ in want]
+    assert all(abs(a - b) < 1e-4 * max(1, abs(b)) for (_, a), (_, b) in zip(got, want, strict=True))
+
+
 def test_words_are_distributions():
     rng = np.random.default_rng(3)
     seq = np.concatenate([np.r_[1, np.where(rng.random(30) < 0.7, 2 + np.arange(30) % 4, rng.integers(0, 6, 30)), 1] for _ in range(80)])
