@@ -3,7 +3,8 @@ r"""Chat formatting with a grammar round trip, with DataFrame functions only.
 A turn is `<s>[INST] role [/INST] text</s>`. The parser cuts at `</s>`, takes the role up to the first ` [/INST] `
 and the text behind it, rejects fields that hold a control string, and drops each backslash before another character.
 Every turn is rendered as it is and reparsed; only a turn that does not come back identical has its content escaped
-(backslashes doubled, one put behind the first character of each control string).
+(backslashes doubled, one put behind the first character of each control string). The whole conversation is reparsed as
+well; `proven` makes one that still differs an error.
 """
 
 from __future__ import annotations
@@ -81,8 +82,18 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     return whole.select("conv_id", "formatted", spans.alias("loss_spans"), (parsed(F.col("formatted")) == source).alias("round_trip"))
 
 
-def read_chats(formatted: DataFrame, learn: str = "assistant") -> DataFrame:
-    """The conversations read back from `formatted`: conv_id, turns, loss_texts (unescaped), formatted."""
-    back = formatted.withColumn("turns", parsed(F.col("formatted")))
-    texts = F.transform(F.filter("turns", lambda x: x["role"] == learn), lambda x: x["text"])
-    return back.select("conv_id", "turns", texts.alias("loss_texts"), "formatted")
+def proven(chats: DataFrame) -> DataFrame:
+    """The conversations of format_chats; one that isn't read back as it was is an error, never a silent loss."""
+    failed = F.raise_error(F.concat(F.lit("no round trip of conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    return chats.withColumn("formatted", F.when(F.coalesce("round_trip", F.lit(False)), F.col("formatted")).otherwise(failed))
+
+
+def loss_texts(formatted: Column, spans: Column) -> Column:
+    """What the loss mask covers, cut out of the formatted text by its spans and unescaped."""
+    return F.transform(spans, lambda s: unescaped(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+
+
+def read_chats(chats: DataFrame) -> DataFrame:
+    """The conversations read back from `formatted` and `loss_spans`: conv_id, turns, loss_texts (unescaped), formatted."""
+    text = F.col("formatted")
+    return chats.select("conv_id", parsed(text).alias("turns"), loss_texts(text, F.col("loss_spans")).alias("loss_texts"), "formatted")

@@ -42,9 +42,11 @@ def id_crc32(column: Column) -> Column:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a local one only where unset)."""
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir; unset, a local one on a local master, else an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="labelsieve-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -57,6 +59,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with underscores behind them until df has no such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send fewer rows at a time to Python than Spark's default: whole texts may be long, and a batch is held in memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

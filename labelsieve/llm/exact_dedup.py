@@ -16,8 +16,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from labelsieve.llm.common import SEPARATORS, stored
+from labelsieve.llm.common import SEPARATORS, stored, unused
 
 #: Leading characters of the normalised text in a splitter. The whole text's hash follows, so splitters stay small.
 SPLITTER_CHARS = 64
@@ -71,7 +72,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     keyed = rows.withColumn("lead", F.substring("norm", 1, SPLITTER_CHARS)).withColumn("h", F.xxhash64("norm"))
     order = ["lead", "h", "norm", F.col("doc_id").asc_nulls_last()]
     ranged = keyed.repartitionByRange("lead", "h", F.col("doc_id").asc_nulls_last()).sortWithinPartitions(*order)
-    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    arrow = to_arrow_type(rows.schema["doc_id"].dataType)
     schema = f"doc_id {kind}, run_keep {kind}, run_first boolean, run_rows bigint, sha string, part int, edge boolean"
     runs = stored(ranged.select("doc_id", "norm").mapInArrow(_runs(arrow), schema), "exact-runs")
     # First and last runs of partitions: at most two a partition, whatever the input.
@@ -85,10 +86,11 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all columns of `docs`."""
-    kept = exact_groups(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    """The rows that stay, with all columns of `docs`, whatever their names; nulls, ties and empty tables as in exact_groups."""
+    key, kept_id, kept_sha = unused(docs, "kept_key", "kept_id", "kept_sha")
+    kept = exact_groups(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SEPARATORS, " "), 256)
-    numbered = docs.withColumn("kept_key", sha)
-    joined = numbered.join(kept, F.col(doc_id).eqNullSafe(F.col("kept_id")) & (F.col("kept_key") == F.col("kept_sha")), "left_semi")
+    numbered = docs.withColumn(key, sha)
+    joined = numbered.join(kept, F.col(doc_id).eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_sha)), "left_semi")
     # Rows that repeat both identifier and text: one of them.
-    return joined.dropDuplicates([doc_id, "kept_key"]).select(*docs.columns)
+    return joined.dropDuplicates([doc_id, key]).select(*docs.columns)

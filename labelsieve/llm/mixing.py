@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelsieve.llm.common import count_words
+from labelsieve.llm.common import count_words, unused
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), max_rate: int = 3) -> DataFrame:
@@ -50,18 +50,23 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     """The documents with mix_source, mix_size, source_size, target and mix_copies.
 
     Null text is of size 0; a null source is a source of its own; a source without tokens gets rate 0; repeated rows
-    of one identifier get the same copies; an empty table gives an empty result. Other columns pass through.
+    of one identifier get the same copies; an empty table gives an empty result. Other columns pass through, but for those
+    named like the results, which are replaced. The table of sources is ordered in one task: its rows, one per source, must
+    fit there (millions do).
     """
+    key, out_size, out_target = unused(docs, "mix_key", "mix_source_size", "mix_target")
     sized = docs.withColumn("mix_source", F.col(source)).withColumn("mix_size", count_words(F.col(text)))
-    targets = source_targets(docs.select(F.col(source).alias("mix_source"), count_words(F.col(text)).alias("mix_size")), weights, max_rate).withColumnRenamed("mix_source", "mix_key")
+    targets = source_targets(docs.select(F.col(source).alias("mix_source"), count_words(F.col(text)).alias("mix_size")), weights, max_rate).toDF(key, out_size, out_target)
     # The join is left to Spark: it broadcasts the targets only where their measured size is under its threshold.
-    joined = sized.join(targets, F.col("mix_source").eqNullSafe(F.col("mix_key")), "left").drop("mix_key")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    joined = sized.join(targets, F.col("mix_source").eqNullSafe(F.col(key)), "left").drop(key)
+    rate = F.when(F.col(out_size) > 0, F.col(out_target) / F.col(out_size)).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    return joined.withColumn("mix_copies", (whole + (unit_hash(F.col(doc_id), seed) < rate - whole).cast("int")).cast("long"))
+    told = joined.withColumn("mix_copies", (whole + (unit_hash(F.col(doc_id), seed) < rate - whole).cast("int")).cast("long"))
+    return told.withColumn("source_size", F.col(out_size)).withColumn("target", F.col(out_target)).drop(out_size, out_target)
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (5, 2, 1), max_rate: int = 3, seed: str = "mix") -> DataFrame:
-    """The mix itself: each document as often as its plan says, with the columns of `docs`."""
-    plan = mix_plan(docs, doc_id, text, source, weights, max_rate, seed)
-    return plan.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    """The mix itself: each document as often as its plan says, with the columns of `docs`, whatever their names."""
+    rows = docs.select(F.col(doc_id).alias("mix_id"), F.col(text).alias("mix_text"), F.col(source).alias("mix_from"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"))
+    plan = mix_plan(rows, "mix_id", "mix_text", "mix_from", weights, max_rate, seed)
+    return plan.filter("mix_copies > 0").select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select("mix_row.*")

@@ -154,15 +154,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     At most about `rows` of them are used: beyond that an even share by the identifier's hash. Rows without a label or
     with a null identifier are left out; of repeated labels the least counts. Without both classes the score is
-    constant. Only the text enters the score.
+    constant. Only the text enters the score; other columns aren't read, and identifiers may be of any plain type.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (id_crc32(F.col(doc_id)) % 4 != 2))
     known = known.groupBy(F.col(doc_id).alias("known_id")).agg(F.min(F.col(label).cast("int")).alias("known_label"))
     share = min(1.0, rows / max(1, known.count()))
     sample = known.filter(F.pmod(F.xxhash64("known_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # The sample has a fixed bound, so it may be broadcast.
-    chosen = docs.join(F.broadcast(sample), F.col(doc_id) == F.col("known_id")).select("known_id", F.col(text), "known_label")
-    found = chosen.mapInArrow(_sample_statistics, "doc_id long, x array<float>, y int").orderBy("doc_id", "x").collect()
+    chosen = docs.select(F.col(doc_id).alias("known_id"), F.col(text).alias("body")).join(F.broadcast(sample), "known_id").select("known_id", "body", "known_label")
+    found = chosen.mapInArrow(_sample_statistics, f"doc_id {dict(chosen.dtypes)['known_id']}, x array<float>, y int").orderBy("doc_id", "x").collect()
     width = statistics(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
     x = np.array([r["x"] for r in found], np.float32).reshape(len(found), width)
     return grow(x, np.array([r["y"] for r in found], float))

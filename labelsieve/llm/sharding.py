@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 from labelsieve.llm.common import shared_path
 
-#: Blocks of an old shard; the block table has old shards times this many rows, whatever the input.
-BLOCKS = 1024
+#: Blocks of an old shard: at least BLOCKS, of about BLOCK_BYTES, at most MOST_BLOCKS, which bounds the block table.
+BLOCKS, MOST_BLOCKS, BLOCK_BYTES = 1024, 1 << 16, 64_000_000
+_OWN = ["shard", "shard_old", "shard_block", "shard_size", "shard_new", "shard_crc", "shard_from", "shard_until", "shard_at"]
 
 
 def cheapest_flow(supply: Sequence[int], capacity: Sequence[int]) -> list[list[int]]:
@@ -80,18 +81,28 @@ def _deal(sizes: dict[tuple[int, int], int], flow: list[list[int]]) -> list[tupl
     return out
 
 
+def _plain(docs: DataFrame, old_shard: Column, name: str) -> DataFrame:
+    """The documents with the old shard as column `name` (null is shard 0) and without columns named like the results."""
+    return docs.withColumn(name, F.coalesce(old_shard.cast("int"), F.lit(0))).drop(*[c for c in _OWN if c != name])
+
+
+def _blocks(docs: DataFrame, doc_id: str, text: str, blocks: int) -> DataFrame:
+    crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1
+    return docs.withColumns({"shard_size": size, "shard_crc": crc, "shard_block": F.pmod(F.xxhash64(F.col(doc_id), crc), F.lit(blocks)).cast("int")})
+
+
 def reshard(docs: DataFrame, old_shard: Column, old_shards: int = 8, new_shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[list[int]]]:
     """The documents with shard_old, shard_block, shard_size and shard_new, and the flow in bytes.
 
     A row's size is its text's UTF-8 bytes plus 1, null text none. New shards hold near equal bytes: a cut falls between
-    two rows, so a shard is off by at most the rows at its cuts. A null identifier is ordered first; rows that repeat
-    are rows of their own. An empty table gives an empty result. Other columns pass through.
+    two rows, so a shard is off by at most the rows at its cuts. A null identifier is ordered first, a null old shard is
+    shard 0; rows that repeat are rows of their own. An empty table gives an empty result. Other columns pass through, but
+    for those named like the results (`shard` or with `shard_` in front), which are replaced.
     """
-    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1
-    crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    base = docs.withColumn("shard_size", size).withColumn("shard_crc", crc).withColumn("shard_old", old_shard.cast("int"))
-    base = base.withColumn("shard_block", F.pmod(F.xxhash64(F.col(doc_id), "shard_crc"), F.lit(BLOCKS)).cast("int"))
-    sizes = {(r[0], r[1]): r[2] for r in base.groupBy("shard_old", "shard_block").agg(F.sum("shard_size")).collect()}  # at most old_shards * BLOCKS rows
+    total = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1)).first()[0] or 0
+    base = _blocks(_plain(docs, old_shard, "shard_old"), doc_id, text, min(MOST_BLOCKS, max(BLOCKS, int(total // old_shards // BLOCK_BYTES))))
+    sizes = {(r[0], r[1]): r[2] for r in base.groupBy("shard_old", "shard_block").agg(F.sum("shard_size")).collect()}  # at most old_shards * MOST_BLOCKS rows
     supply = [sum(v for (o, _), v in sizes.items() if o == k) for k in range(old_shards)]
     flow = cheapest_flow(supply, even_capacities(sum(supply), new_shards))
     deal = _deal(sizes, flow)
@@ -99,15 +110,15 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int = 8, new_shards:
     count: dict[tuple[int, int], int] = {}
     for o, b, *_ in deal:
         count[o, b] = count.get((o, b), 0) + 1
-    schema = "d_old int, d_block int, d_from long, d_to long, shard_new int"
-    whole = spark.createDataFrame([x for x in deal if count[x[0], x[1]] == 1], schema).drop("d_from", "d_to")
+    schema = "shard_old int, shard_block int, shard_from long, shard_until long, shard_new int"
+    place = ["shard_old", "shard_block"]
+    whole = spark.createDataFrame([x for x in deal if count[x[0], x[1]] == 1], schema).drop("shard_from", "shard_until")
     cut = spark.createDataFrame([x for x in deal if count[x[0], x[1]] > 1], schema)
-    at = (F.col("shard_old") == F.col("d_old")) & (F.col("shard_block") == F.col("d_block"))
-    # Both tables are bounded by shards and BLOCKS.
-    stay = base.join(F.broadcast(whole), at).drop("d_old", "d_block")
-    order = Window.partitionBy("shard_old", "shard_block").orderBy(doc_id, "shard_crc", "shard_size")
-    running = base.join(F.broadcast(cut.select("d_old", "d_block").distinct()), at, "left_semi").withColumn("shard_at", F.sum("shard_size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("shard_size"))
-    split = running.join(F.broadcast(cut), at & (F.col("shard_at") >= F.col("d_from")) & (F.col("shard_at") < F.col("d_to"))).drop("d_old", "d_block", "d_from", "d_to", "shard_at")
+    # Both tables are bounded by shards and MOST_BLOCKS.
+    stay = base.join(F.broadcast(whole), place)
+    order = Window.partitionBy(*place).orderBy(doc_id, "shard_crc", "shard_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = base.join(F.broadcast(cut.select(*place).distinct()), place, "left_semi").withColumn("shard_at", F.sum("shard_size").over(order) - F.col("shard_size"))
+    split = running.join(F.broadcast(cut), place).filter("shard_at >= shard_from AND shard_at < shard_until").drop("shard_from", "shard_until", "shard_at")
     return stay.unionByName(split).drop("shard_crc"), flow
 
 
@@ -116,18 +127,12 @@ def affected(flow: list[list[int]]) -> list[int]:
     return sorted({k for i, row in enumerate(flow) for j, x in enumerate(row) if x and i != j for k in (i, j)})
 
 
-def write_shards(dealt: DataFrame, path: str, shards: Sequence[int] | None = None) -> None:
-    """Write files by shard_new; with `shards`, only those (the affected ones), and the others' files stay as they are."""
-    rows = dealt if shards is None else dealt.filter(F.col("shard_new").isin([int(x) for x in shards]))
+def write_shards(dealt: DataFrame, path: str, shards: Sequence[int]) -> None:
+    """Write the files of the given new shards; no other's rows are written."""
+    rows = dealt.filter(F.col("shard_new").isin([int(x) for x in shards]))
     rows.withColumn("shard", F.col("shard_new")).drop("shard_new", "shard_size").write.mode("append").partitionBy("shard").parquet(path)
 
 
-def read_shards(docs: DataFrame, path: str) -> DataFrame:
-    """The written rows: the columns of `docs`, shard_old, shard_block and shard."""
-    kept = T.StructType([*docs.schema.fields, T.StructField("shard_old", T.IntegerType()), T.StructField("shard_block", T.IntegerType()), T.StructField("shard", T.IntegerType())])
-    return docs.sparkSession.read.schema(kept).parquet(path)
-
-
 def with_slots(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """slot: gapless number from 0 within a shard. Rows are numbered inside blocks, in parallel; a small table has where each block begins."""
     small = rows.groupBy("shard", "shard_old", "shard_block").agg(F.count(F.lit(1)).alias("block_rows"))
@@ -139,8 +144,22 @@ def with_slots(rows: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def reshard_files(docs: DataFrame, old_shard: Column, old_shards: int = 8, new_shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Deal, write to the shared folder and read back, text included."""
-    path = shared_path(docs.sparkSession, "shards")
-    dealt, _ = reshard(docs, old_shard, old_shards, new_shards, doc_id, text)
-    write_shards(dealt, path)
-    return read_shards(docs, path)
+    """Write the old shards as files, then write anew only the shards that the flow affects, and read the new layout.
+
+    The files of shards that neither give nor get bytes stay as they are and are read where they are. The result has the
+    columns of `docs`, shard_old, shard_block and shard; what `reshard` says of other cases holds here too.
+    """
+    spark, path = docs.sparkSession, shared_path(docs.sparkSession, "shards")
+    first = _plain(docs, old_shard, "shard")
+    first.write.partitionBy("shard").parquet(f"{path}/old")
+    fields = [f for f in first.schema.fields if f.name != "shard"]
+    number = lambda name: T.StructField(name, T.IntegerType())
+    old = spark.read.schema(T.StructType([*fields, number("shard")])).parquet(f"{path}/old")
+    dealt, flow = reshard(old, F.col("shard"), old_shards, new_shards, doc_id, text)
+    touched = affected(flow)
+    write_shards(dealt, f"{path}/new", touched)
+    written = spark.read.schema(T.StructType([*fields, number("shard_old"), number("shard_block"), number("shard")])).parquet(f"{path}/new")
+    untouched = old.filter(~F.col("shard").isin(touched)) if touched else old
+    # No block of an untouched shard is cut, so one number does for its rows' place.
+    kept = _blocks(untouched, doc_id, text, BLOCKS).withColumn("shard_old", F.col("shard"))
+    return written.unionByName(kept.select(*written.columns))

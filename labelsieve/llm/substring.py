@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from labelsieve.llm.common import NO_ID, bucket_count, gram_hashes, gram_positions, joined_words, packed, slices, text_buffers, unpacked, unsigned_mod, word_hashes, words
 
@@ -194,13 +195,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", te
     A word goes if any window of `window` words that covers it has the same words as a window that starts elsewhere, in
     the same text or another; windows are judged on the input. Words keep their case. Null, empty and short texts lose
     nothing. Rows that repeat, identifier included, are occurrences of their own and get equal results. Null identifiers
-    are kept. An empty table gives an empty result; other columns are not read.
+    are kept, and identifiers may be of any plain type. An empty table gives an empty result; other columns are not read.
     """
     buckets = buckets or bucket_count(docs, text)
     body = F.coalesce(F.col(text), F.lit(""))
     # A row is known by a hash of identifier and text, so that an identifier used twice does no harm.
     keyed = docs.select(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(str(NO_ID))), body).alias("id"), F.col(doc_id).alias("doc_id"), body.alias("body"))
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dict(keyed.dtypes)["doc_id"]]
+    kind = to_arrow_type(keyed.schema["doc_id"].dataType)
     hits = "bucket int, id binary, pos binary"
     anchors = keyed.select("id", "body").mapInArrow(_anchors(window, buckets), _PACKED)
     marked = anchors.groupBy("bucket").applyInArrow(_repeats(buckets, False), hits)

@@ -179,6 +179,21 @@ def test_sharding(spark, docs, plain, empty):
     assert sharding.reshard_files(empty, F.lit(0)).collect() == []
 
 
+def test_only_affected_files_are_rewritten(spark, tmp_path):
+    # Shards 0 and 1 are unequal, 2 and 3 are exact: only the first two may be written.
+    rows = [(k, "x" * 9, 0) for k in range(30)] + [(100 + k, "x" * 9, 1) for k in range(10)] + [(200 + k, "x" * 9, s) for k in range(20) for s in (2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at int")
+    dealt, flow = sharding.reshard(docs, F.col("at"), 4, 4)
+    assert sharding.affected(flow) == [0, 1]
+    sharding.write_shards(dealt, str(tmp_path / "new"), sharding.affected(flow))
+    assert sorted(p.name for p in (tmp_path / "new").glob("shard=*")) == ["shard=0", "shard=1"]
+    files = sharding.reshard_files(docs, F.col("at"), 4, 4)
+    named = {(r["shard"], "/new/" in r["f"]) for r in files.select("shard", F.input_file_name().alias("f")).collect()}
+    assert named == {(0, True), (1, True), (2, False), (3, False)}
+    assert sorted((r["doc_id"], r["at"]) for r in files.collect()) == sorted((k, s) for k, _, s in rows)
+    assert Counter(r["shard"] for r in files.collect()) == {0: 20, 1: 20, 2: 20, 3: 20}
+
+
 def test_cheapest_flow_moves_least():
     rng = random.Random(3)
     for _ in range(50):
@@ -432,6 +447,34 @@ def test_chat(spark):
         text, marked = spans[c]
         assert [re.sub(r"(?s)\\(.)", r"\1", text[s["start"] : s["start"] + s["length"]]) for s in marked] == back[c]["loss_texts"]
     assert chat.format_chats(table.limit(0)).collect() == []
+    # The loss follows the mask, not the roles: a shorter mask gives a shorter loss.
+    cut = out.withColumn("loss_spans", F.slice("loss_spans", 1, 1))
+    assert {r["conv_id"]: r["loss_texts"] for r in chat.read_chats(cut).collect()} == {c: r["loss_texts"][:1] for c, r in back.items()}
+    assert chat.read_chats(chat.proven(out)).count() == out.count()
+    with pytest.raises(Exception, match="no round trip"):
+        chat.proven(out.withColumn("round_trip", F.lit(False))).collect()
+
+
+OWN_NAMES = ["kept_key", "kept_id", "kept_sha", "mix_source", "mix_size", "mix_copies", "mix_key", "mix_row", "target", "source_size", "known_id", "known_label",
+    "shard", "shard_old", "shard_new", "shard_size", "d_old", "lead", "norm", "body", "doc", "sketch", "key", "bucket", "taught"]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_clashing_names_and_text_identifiers(spark, kind):
+    texts_ = ["a b c d e f", "a b c d e f", "long " * 1_000_000, None, "", "g h i j k l m n o p"]
+    rows = [(k if kind == "long" else f"id{k}", t, "s", *[7] * len(OWN_NAMES)) for k, t in enumerate(texts_)]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string, source string, " + ", ".join(f"{c} int" for c in OWN_NAMES))
+    labels = spark.createDataFrame([(r[0], k % 2) for k, r in enumerate(rows)], f"doc_id {kind}, quality int")
+    assert len(exact_dedup.without_copies(docs).collect()) == 4  # null and empty are equal, too
+    assert exact_dedup.without_copies(docs).columns == docs.columns
+    assert mixing.mixed(docs).columns == docs.columns
+    assert {r["mix_row"] for r in mixing.mixed(docs).collect()} == {7}
+    assert mixing.mix_plan(docs).count() == 6
+    assert sharding.reshard_files(docs, F.lit(0)).count() == 6
+    assert quality.train(docs, labels) is not None
+    assert substring.remove_repeats(docs).count() == 6
+    assert lm.score_texts(docs).count() == 6
+    assert jaccard.jaccard_groups(docs).select("component_id").distinct().count() == 5
 
 
 def targets(sizes):
