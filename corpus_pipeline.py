@@ -26,14 +26,15 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for white space the one with the smallest identifier stays."""
+    """Of texts equal but for white space the one with the smallest identifier stays; null text is empty, null identifiers come last."""
     return exact_dedup.without_copies(docs).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a Jaccard similarity of 0.8 or more, the smallest identifier stays.
 
-    Documents without words are linked with nothing and stay.
+    Documents without words are linked with nothing and stay. Rows are told apart by identifier: those that share one stay
+    or go together. An empty table gives an empty result; other columns aren't read.
     """
     groups = jaccard.jaccard_groups(docs, n=5, percent=80)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
@@ -41,12 +42,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate says."""
+    """Each document as often as its source's rate says; null text has no words, and null is a source of its own."""
     return mixing.mixed(docs).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document and the text they decode to, one row per copy in the mix."""
+    """Ids of each document and the text they decode to, one row per copy in the mix; null text is empty and has no ids."""
     coded = bpe.encode_docs(docs, public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 

@@ -66,7 +66,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, frame_no, frame_ms, sharpness, text from the events of each user."""
     e = table(spark, sf_dir, "events")
     text = F.concat(F.lit("配料:"), _pick(PIECES, F.col("event_id")), F.lit("、"), _pick(PIECES, F.col("event_id") * 7))
-    return e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_no"), F.floor(F.unix_micros("ts") / 30000000).cast("long").alias("frame_ms"), F.col("value").alias("sharpness"), text.alias("text"))
+    return e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_no"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 30000000).cast("long").alias("frame_ms"), F.col("value").alias("sharpness"), text.alias("text"))
 
 
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

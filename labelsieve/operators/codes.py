@@ -12,8 +12,8 @@ from labelsieve.operators.scan import occurrences
 from labelsieve.sources import fixed
 from labelsieve.sources.tables import phrases, small
 
-#: No run of 13 digits or more: it is no list of codes, and the pattern behind stays cheap.
-_LIST = r"(?i)^(?!.*\d{13})\s*(?:(?:INS|E)?\s*\d{3,4}[a-z]?\s*[,，、;；/和及]?\s*)+$"
+#: A list of codes. Digits in a row are codes of 3 or 4 if they are 3, 4, 6 or more; nothing is tried twice, so any length is cheap.
+_LIST = r"(?i)^\s*+(?:(?:(?:INS|E)\s*+)?+(?:\d{6,}+|\d{3,4}+(?!\d))(?:(?!INS)[a-z])?+\s*+[,，、;；/和及]?+\s*+)++$"
 
 
 def code_mentions(text: Column, marks: Column, parens: Column) -> Column:

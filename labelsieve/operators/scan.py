@@ -7,34 +7,82 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelsieve.sources.tables import compact, small
+from labelsieve.sources.tables import BROADCAST_ROWS
 
 #: Characters kept before and behind an occurrence.
 BEFORE, AFTER = 6, 10
+#: Places of the table of openings.
+OPENINGS = 1 << 16
 
 
-def occurrences(df: DataFrame, ids: Sequence[str], text: str, terms: DataFrame) -> DataFrame:
+def _code(char: Column) -> Column:
+    """Code point of a character's lower case; 0 for no character."""
+    return F.ascii(F.lower(char))
+
+
+class Terms:
+    """Terms made ready for any number of scans: keys, lengths by first character, the longest one, and the table of openings.
+
+    The table says what may open a term, by two characters (a term of one character by that alone, in the second half): 1
+    only at the start of a word, 2 anywhere. Its size is fixed. Up to BROADCAST_ROWS terms are read once and broadcast;
+    more stay distributed and are joined by shuffle.
+    """
+
+    def __init__(self, terms: DataFrame):
+        rows, spark = terms.limit(BROADCAST_ROWS + 1).toArrow(), terms.sparkSession
+        local = rows.num_rows <= BROADCAST_ROWS
+        ascii_term = F.col("term").rlike("^[\\x00-\\x7f]+$")
+        given = spark.createDataFrame(rows, terms.schema) if local else terms
+        keyed = given.withColumn("loose", ascii_term & ~F.col("exact")).withColumn("key", F.when(ascii_term, F.lower("term")).otherwise(F.col("term"))).withColumn("len", F.length("term"))
+        firsts = keyed.groupBy(F.lower(F.substring("key", 1, 1)).alias("first")).agg(F.collect_set("len").alias("lens"))
+        table = bytearray(2 * OPENINGS)
+        if local:
+            words = [(t, 1 if t.isascii() and not exact else 2) for t, exact in zip(rows["term"].to_pylist(), rows["exact"].to_pylist(), strict=True) if t]
+            self.longest = max((len(t) for t, _ in words), default=1)
+            code = lambda c: ord(c.lower()[0])
+            for t, mark in words:
+                at = (code(t[0]) * 31 + code(t[1])) % OPENINGS if len(t) > 1 else code(t[0]) % OPENINGS + OPENINGS
+                table[at] = max(table[at], mark)
+        else:
+            first, second = _code(F.substring("key", 1, 1)), _code(F.substring("key", 2, 1))
+            at = F.when(F.col("len") > 1, (first * 31 + second) % OPENINGS).otherwise(first % OPENINGS + OPENINGS)
+            for r in keyed.groupBy(at.alias("at")).agg(F.max(F.when(F.col("loose"), 1).otherwise(2)).alias("mark")).collect():  # at most 2 * OPENINGS rows
+                table[r["at"]] = r["mark"]
+            self.longest = keyed.agg(F.max("len")).first()[0] or 1
+        self.keyed, self.firsts = (F.broadcast(keyed), F.broadcast(firsts)) if local else (keyed, firsts)
+        self.openings = bytes(table)
+
+
+def occurrences(df: DataFrame, ids: Sequence[str], text: str, terms: DataFrame | Terms) -> DataFrame:
     """All occurrences of all terms: ids, start, len, kind, ord, term, the entry's fields, before, after.
 
-    Terms that are not `exact` and all ASCII match in any case and as whole words. Each position carries only a window as
-    wide as the longest term with its surroundings; the first character prunes it, the lengths of that character's terms
-    give the keys, and the keys meet the terms in an equi-join. Outside the text the window holds NUL.
+    Terms that are not `exact` and all ASCII match in any case and as whole words. Inside each text, positions are kept
+    whose two characters may open a term; only those become rows, each with a window as wide as the longest term and its
+    surroundings. The lengths of the first character's terms give the keys, and the keys meet the terms in an equi-join.
+    Outside the text the window holds NUL.
     """
-    terms = compact(terms)
-    longest = terms.agg(F.max(F.length("term"))).first()[0] or 1
+    ready = terms if isinstance(terms, Terms) else Terms(terms)
+    longest, keyed, table = ready.longest, ready.keyed, F.lit(ready.openings)
     width = BEFORE + longest + AFTER
     padded = F.concat(F.lit("\0" * BEFORE), F.coalesce(F.col(text), F.lit("")), F.lit("\0" * (longest + AFTER)))
     chars = df.select(*ids, F.split(padded, "").alias("scan_chars"))
     count = F.size("scan_chars") - (BEFORE + longest + AFTER)
-    windows = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice("scan_chars", i, width), "")))
-    at = chars.select(*ids, F.posexplode(windows).alias("start", "window"))
-    ascii_term = F.col("term").rlike("^[\\x00-\\x7f]+$")
-    keyed = terms.withColumn("loose", ascii_term & ~F.col("exact")).withColumn("key", F.when(ascii_term, F.lower("term")).otherwise(F.col("term"))).withColumn("len", F.length("term"))
+
+    def may_open(i: Column) -> Column:
+        char = lambda k: F.get("scan_chars", i + k)
+        first = _code(char(BEFORE - 1))
+        pair, single = F.substring(table, (first * 31 + _code(char(BEFORE))) % OPENINGS + 1, F.lit(1)), F.substring(table, first % OPENINGS + (OPENINGS + 1), F.lit(1))
+        inner = char(BEFORE - 2).rlike("[A-Za-z]")
+        return (pair == F.lit(b"\2")) | (single == F.lit(b"\2")) | (((pair == F.lit(b"\1")) | (single == F.lit(b"\1"))) & ~inner)
+
+    places = F.filter(F.sequence(F.lit(1), count), may_open)
+    windows = F.when(count > 0, F.transform(places, lambda i: F.struct((i - 1).alias("start"), F.array_join(F.slice("scan_chars", i, width), "").alias("window"))))
+    at = chars.select(*ids, F.explode(windows).alias("w")).select(*ids, "w.*")
     firsts = keyed.groupBy(F.lower(F.substring("key", 1, 1)).alias("first")).agg(F.collect_set("len").alias("lens"))
-    seen = at.join(small(firsts), F.lower(F.substring("window", BEFORE + 1, 1)) == F.col("first")).select(*ids, "start", "window", F.explode("lens").alias("scan_len"))
+    seen = at.join(ready.firsts, F.lower(F.substring("window", BEFORE + 1, 1)) == F.col("first")).select(*ids, "start", "window", F.explode("lens").alias("scan_len"))
     piece = F.substring("window", F.lit(BEFORE + 1), F.col("scan_len"))
     probed = seen.withColumn("piece", piece).withColumn("probe", F.when(F.col("piece").rlike("^[\\x00-\\x7f]+$"), F.lower("piece")).otherwise(F.col("piece")))
-    met = probed.join(small(keyed), (F.col("probe") == F.col("key")) & (F.col("scan_len") == F.col("len")))
+    met = probed.join(keyed, (F.col("probe") == F.col("key")) & (F.col("scan_len") == F.col("len")))
     after = F.substring("window", F.lit(BEFORE + 1) + F.col("scan_len"), F.lit(AFTER))
     before = F.substring("window", 1, BEFORE)
     whole = ~F.substring("window", BEFORE, 1).rlike("[A-Za-z]") & ~F.substring(after, 1, 1).rlike("[A-Za-z]")
@@ -65,8 +113,12 @@ def leftmost_longest(candidates: Column) -> Column:
     return F.aggregate(F.array_sort(candidates), start, step, lambda acc: acc["out"])
 
 
+def food_terms(dictionary: DataFrame) -> Terms:
+    """A dictionary's entries made ready for scans."""
+    return Terms(dictionary.select(F.lit("food").alias("kind"), "ord", "term", F.lit(False).alias("exact"), "status", "en", "py", "category", "note"))
+
+
 def scan_dictionary(df: DataFrame, ids: Sequence[str], text: str, dictionary: DataFrame) -> DataFrame:
     """Leftmost-longest matches: ids, start, end, and the entry's fields. Texts without a match give no rows."""
-    terms = dictionary.select(F.lit("food").alias("kind"), "ord", "term", F.lit(False).alias("exact"), "status", "en", "py", "category", "note")
-    hits = occurrences(df, ids, text, terms).groupBy(*ids).agg(F.collect_list(candidate()).alias("c")).select(*ids, F.explode(leftmost_longest(F.col("c"))).alias("h"))
+    hits = occurrences(df, ids, text, food_terms(dictionary)).groupBy(*ids).agg(F.collect_list(candidate()).alias("c")).select(*ids, F.explode(leftmost_longest(F.col("c"))).alias("h"))
     return hits.select(*ids, F.col("h.start").alias("start"), (F.col("h.start") - F.col("h.neg_len")).alias("end"), *[F.col(f"h.{c}").alias(c) for c in ("ord", "term", "status", "en", "py", "category", "note")])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelsieve.functions.text import HAN, SPACE, cjk_count, severity, trim
-from labelsieve.operators.scan import candidate, leftmost_longest, occurrences
+from labelsieve.operators.scan import Terms, candidate, food_terms, leftmost_longest, occurrences
 from labelsieve.sources import fixed
 
 #: Segments of a label at most; a feature of the view.
@@ -50,10 +50,10 @@ def piece_coverage(text: Column, hits: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(1.0), known.cast("double") / n)).otherwise((F.size(hits) > 0).cast("double"))
 
 
-def segment(df: DataFrame, ids: Sequence[str], text: str, dictionary: DataFrame) -> DataFrame:
+def segment(df: DataFrame, ids: Sequence[str], text: str, dictionary: DataFrame | Terms) -> DataFrame:
     """One row per segment: ids, seg_no, zh, en, status, coverage."""
     rows = df.select(*ids, F.posexplode(pieces(F.col(text))).alias("seg_no", "zh"))
-    terms = dictionary.select(F.lit("food").alias("kind"), "ord", "term", F.lit(False).alias("exact"), "status", "en", "py", "category", "note")
+    terms = dictionary if isinstance(dictionary, Terms) else food_terms(dictionary)
     keys = [*ids, "seg_no"]
     found = occurrences(rows, keys, "zh", terms).groupBy(*keys).agg(F.collect_list(candidate()).alias("c"))
     met = rows.join(found, keys, "left")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 _HAN = re.compile(f"[{chr(0x4E00)}-{chr(0x9FFF)}]")
 _SPACE = " \t\r\f\v" + chr(0xA0) + chr(0x3000) + chr(0xFEFF)
@@ -47,11 +50,33 @@ def stitch_lines(texts: list[str | None], rounds: int = 20) -> tuple[str, int]:
 
 
 def stitch_texts(photos: DataFrame) -> DataFrame:
-    """pack_id, text, joins. The photos of a pack meet in one task: they are few, and the chain is greedy over all of them."""
+    """pack_id, text, joins of every pack with a text of two photos or more, or of one.
 
-    def run(pack: pd.DataFrame) -> pd.DataFrame:
-        text, joins = stitch_lines(pack.sort_values("photo_no")["text"].tolist())
-        return pd.DataFrame({"pack_id": [pack["pack_id"].iloc[0]], "text": [text], "joins": [joins]})
+    The chain is greedy over all photos of a pack. Packs of one photo need none: their lines are cleaned by column functions.
+    The others are put side by side by a shuffle and a sort, and read batch by batch; a pack may go over several batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_id, held = None, []
+        for batch in batches:
+            out = []
+            for pack, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and pack != open_id:
+                    out.append((open_id, *stitch_lines(held)))
+                    held = []
+                open_id = pack
+                held.append(text)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (arrow, pa.string(), pa.int32()), strict=True)], names=["pack_id", "text", "joins"])
+        if held:
+            text, joins = stitch_lines(held)
+            yield pa.RecordBatch.from_arrays([pa.array([open_id], arrow), pa.array([text]), pa.array([joins], pa.int32())], names=["pack_id", "text", "joins"])
 
-    kind = dict(photos.dtypes)["pack_id"]
-    return photos.select("pack_id", "photo_no", "text").groupBy("pack_id").applyInPandas(run, f"pack_id {kind}, text string, joins int")
+    kind, arrow = dict(photos.dtypes)["pack_id"], to_arrow_type(photos.schema["pack_id"].dataType)
+    rows = photos.select("pack_id", "photo_no", "text")
+    counted = rows.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("pack_id")))
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(_SPACE))), lambda x: F.length(x) >= 2)
+    alone = counted.filter("of = 1").select("pack_id", F.array_join(lines, "\n").alias("text"), F.lit(0).alias("joins"))
+    # The window has put a pack's rows into one partition; the sort keeps them there.
+    several = counted.filter("of > 1").sortWithinPartitions("pack_id", "photo_no").select("pack_id", "text")
+    return several.mapInArrow(run, f"pack_id {kind}, text string, joins int").unionByName(alone)

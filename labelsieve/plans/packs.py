@@ -78,7 +78,8 @@ def pack_verdict(photos: DataFrame, lexicon: Lexicon, settings: Settings | None
     screened = screened.join(keyed.select("label_id", "pack_id", "photo_no"), "label_id").withColumn("score", photo_score(F.col("section"), F.col("quality"), F.col("findings")))
     screened = stored(screened, "photos")
     best = best_photo(screened)
-    joined = stitch_texts(photos.filter("text is not null")).filter("joins > 0")
+    # The chains are slow to make and read three times, so they are written once.
+    joined = stored(stitch_texts(photos.filter("text is not null")).filter("joins > 0"), "stitched")
     stitched = screen_labels(joined.select(F.col("pack_id").cast("string").alias("label_id"), "text"), lexicon, settings).withColumn("s_score", photo_score(F.col("section"), F.col("quality"), F.col("findings")))
     stitched = stitched.join(joined.select(F.col("pack_id").alias("s_pack"), "joins"), F.col("label_id") == F.col("s_pack").cast("string")).select("s_pack", "joins", "s_score", F.struct("kind", "section", "quality", "findings", "product").alias("s"))
     facts = screened.groupBy("pack_id").agg(
@@ -132,3 +133,8 @@ def unknown_chunks(screened: DataFrame) -> DataFrame:
 def top_flagged(screened: DataFrame) -> DataFrame:
     rows = screened.select("label_id", F.explode("findings").alias("f"))
     return rows.groupBy(F.col("f.term").alias("term"), F.col("f.status").alias("status")).agg(F.countDistinct("label_id").alias("labels"), F.sum("f.count").alias("hits"))
+
+
+def status_rollup(hits: DataFrame) -> DataFrame:
+    """Dictionary matches and labels with any by category and status, with totals."""
+    return hits.rollup("category", "status").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("label_id").alias("labels"))

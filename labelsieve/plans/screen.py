@@ -10,7 +10,7 @@ from labelsieve.operators import findings as fi
 from labelsieve.operators.codes import code_mentions, join_codes
 from labelsieve.operators.products import nonfood_product_guess, product_guess
 from labelsieve.operators.rules import apply_settings, declared_free, generic_rules, prev_match_guard
-from labelsieve.operators.scan import candidate, leftmost_longest, occurrences, scan_dictionary
+from labelsieve.operators.scan import Terms, candidate, food_terms, leftmost_longest, occurrences, scan_dictionary
 from labelsieve.operators.section import accepts_start, detect_kind, detect_name, find_section, known_share
 from labelsieve.operators.segments import coverage, segment, unreadable
 from labelsieve.operators.verdict import food_verdict, nonfood_verdict
@@ -29,7 +29,7 @@ def _with_options(labels: DataFrame, settings: Settings) -> DataFrame:
 def marked_labels(labels: DataFrame, lexicon: Lexicon, settings: Settings) -> DataFrame:
     """Labels with their normalised text and, by kind, the occurrences of everything that is sought."""
     base = _with_options(labels, settings).select("label_id", "text", *OPTIONS).withColumn("norm", normalize_text("text"))
-    seen = occurrences(base, ["label_id"], "norm", lexicon.terms())
+    seen = occurrences(base, ["label_id"], "norm", lexicon.ready("all", lambda: Terms(lexicon.terms())))
     of = lambda *kinds: F.col("kind").isin(*kinds)
     header = of("start", "start_nonfood") & accepts_start(F.col("term"), F.col("before"), F.col("after"))
     place = F.struct(F.col("start").alias("start"), (-F.col("len")).alias("neg_len"))
@@ -120,7 +120,7 @@ def screen_labels(labels: DataFrame, lexicon: Lexicon, settings: Settings | None
     nonfood, text, section = F.col("kind") == "nonfood", F.col("norm"), F.col("section")
     coded = join_codes(row.select("label_id", F.explode("mentions").alias("m")).select("label_id", "m.*"), lexicon.codes, ["label_id"])
     coded = coded.groupBy("label_id").agg(F.array_sort(F.collect_list(F.struct("group", "index", "no", "code", "name_zh", "name_en", "status", "note"))).alias("codes"))
-    segments = coverage(segment(row.select("label_id", F.col("section.text").alias("scope")), ["label_id"], "scope", lexicon.dictionary), ["label_id"])
+    segments = coverage(segment(row.select("label_id", F.col("section.text").alias("scope")), ["label_id"], "scope", lexicon.ready("food", lambda: food_terms(lexicon.dictionary))), ["label_id"])
     none_coded, none_segments = F.array().cast(coded.schema["codes"].dataType), F.array().cast(segments.schema["segments"].dataType)
     row = row.drop("mentions").join(coded, "label_id", "left").join(segments, "label_id", "left")
     row = row.withColumns({"codes": F.coalesce("codes", none_coded), "segments": F.coalesce("segments", none_segments), "cjk_chars": F.coalesce("cjk_chars", F.lit(0)), "coverage": F.coalesce("coverage", F.lit(0.0))})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from labelsieve import fixtures as fx
 from labelsieve.functions import text as tx
+from labelsieve.operators import findings as fi
 from labelsieve.operators import history as hi
 from labelsieve.operators import lines as ln
 from labelsieve.operators.codes import parse_codes
@@ -176,6 +177,42 @@ def lookup_many(s: SparkSession, d: str) -> DataFrame:
     return hi.lookup_many(queries, lexicon(s).dictionary).select("query_id", "term")
 
 
+def ordered_findings(s: SparkSession, d: str) -> DataFrame:
+    """Each label's dictionary matches as findings: one per term and status, gravest first."""
+    hits = scan_dictionary(_norm(s, d), ["label_id"], "norm", lexicon(s).dictionary)
+    one = fi.finding(*[F.col(c) for c in ("term", "en", "py", "status", "category", "note", "start")], "dict")
+    per = hits.groupBy("label_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", one.alias("f")))), lambda x: x["f"]).alias("f"))
+    judged = F.transform(fi.dedupe_findings(F.col("f")), lambda x: x.withField("severity", tx.severity(x["status"])))
+    rows = per.withColumn("f", fi.order_findings(judged))
+    return rows.select(
+        "label_id", fi.max_severity(F.col("f")).cast("int").alias("max_severity"), F.array_join(F.transform("f", lambda x: F.concat(x["term"], F.lit("*"), x["count"].cast("string"))), "|").alias("terms"),
+        fi.top_terms(F.col("f"), lambda x: x["severity"] > 0, 3).alias("top"),
+    )
+
+
+def status_rollup(s: SparkSession, d: str) -> DataFrame:
+    """Matches by category and status, with totals."""
+    return packs.status_rollup(scan_dictionary(_norm(s, d), ["label_id"], "norm", lexicon(s).dictionary))
+
+
+def marked_snippets(s: SparkSession, d: str) -> DataFrame:
+    snip = tx.snippet(F.col("text"), F.lit(20), F.lit(2))
+    return fx.labels(s, d).select("label_id", tx.mark_snippet(snip, F.lit("料")).alias("marked"))
+
+
+def glossary_page(s: SparkSession, d: str) -> DataFrame:
+    """A page of the parts in order."""
+    return hi.page(fx.table(s, d, "part").select(F.col("p_partkey").alias("ord"), "p_name"), 100, 50)
+
+
+def fallback_read(s: SparkSession, d: str) -> DataFrame:
+    """The best engine's read of each photo."""
+    engine = fx._pick(["basic", "phone", "server"], F.col("l_partkey") % 3)
+    reads = fx.ocr_lines(s, d).join(fx.table(s, d, "lineitem").select(F.col("l_orderkey").alias("photo_id"), engine.alias("engine")).distinct(), "photo_id")
+    texts = reads.groupBy("photo_id", "engine").agg(F.max("text").alias("text"), F.lit(50).alias("confidence"))
+    return ln.fallback_read(texts).select("photo_id", "engine", "text")
+
+
 def live_intake(s: SparkSession, d: str) -> DataFrame:
     got = live.live_intake(live_frames(s, d))
     return got.select("session_id", F.explode("accepted").alias("x")).select("session_id", F.col("x.frame_no").alias("frame_no"))
@@ -198,7 +235,7 @@ def session_end(s: SparkSession, d: str) -> DataFrame:
 QUERIES: list[Query] = [
     normalize, text_functions, translate_links, ocr_post, scan_dictionary_hits, scan_latin, find_phrases_all, flagged, segments, segment_pieces, codes, screen, verdict_report, dictionary_gaps, top_flagged,
     web_lists, pack, stitch, combined, reading_order, photo_texts, box_order, read_score, sideways_angle, text_confidence, choose_read, read_merge, latest_history, delete_history,
-    history_preview, lookup_many, live_intake, live_buffer, session_end,
+    history_preview, lookup_many, ordered_findings, status_rollup, marked_snippets, glossary_page, fallback_read, live_intake, live_buffer, session_end,
 ]
 
 
@@ -263,5 +300,47 @@ ORACLE["combined"] = f"""WITH parts AS (SELECT l_orderkey AS pack_id, l_linenumb
     SELECT pack_id, string_agg(CASE WHEN k = 1 THEN text ELSE chr(10) || chr(10) || '[photo ' || k || ']' || chr(10) || text END, '' ORDER BY k) AS text FROM n GROUP BY pack_id"""
 
 
+_STATUS = """CASE WHEN max(severity) > 0 THEN arg_min(status, (-severity, i)) ELSE coalesce(arg_min(status, i) FILTER (status <> 'ok'), 'ok') END"""
+ORACLE["segments"] = f"""WITH {fx.LABELS_SQL}, dict AS (SELECT * FROM (VALUES {_VALUES}) AS t(ord, term, status, en, py)),
+    p AS (SELECT label_id, list_filter(list_transform(regexp_split_to_array(norm, '[、，,;；。.·•/／|｜()（）\\[\\]【】<>《》「」『』:：\\n\\r\\t ]'), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^[\\d\\s.%,\\-+:/]+$')) AS p FROM norm),
+    q AS (SELECT label_id, CAST(unnest(range(0, len(p))) AS INT) AS seg_no, unnest(p) AS zh FROM p),
+    m AS (SELECT label_id, seg_no, unnest(regexp_extract_all(zh, '{_ALTERNATIVES}')) AS m, generate_subscripts(regexp_extract_all(zh, '{_ALTERNATIVES}'), 1) AS i FROM q),
+    h AS (SELECT label_id, seg_no, i, term, status, CASE status {_SEVERITY} END AS severity FROM m JOIN dict ON term = CASE WHEN lower(m) = 'halal' THEN 'HALAL' ELSE m END),
+    g AS (SELECT label_id, seg_no, {_STATUS} AS status, sum(len(regexp_extract_all(term, '[一-鿿]'))) AS known FROM h GROUP BY ALL)
+    SELECT q.label_id, q.seg_no, zh, coalesce(g.status, 'ok') AS status, CASE WHEN len(regexp_extract_all(zh, '[一-鿿]')) > 0 THEN least(1.0, CAST(coalesce(known, 0) AS DOUBLE) / len(regexp_extract_all(zh, '[一-鿿]'))) ELSE CAST(known IS NOT NULL AS INT) END::DOUBLE AS coverage
+    FROM q LEFT JOIN g ON q.label_id = g.label_id AND q.seg_no = g.seg_no"""
+ORACLE["ordered_findings"] = f"""WITH {fx.LABELS_SQL}, dict AS (SELECT * FROM (VALUES {_VALUES}) AS t(ord, term, status, en, py)),
+    m AS (SELECT label_id, unnest(regexp_extract_all(norm, '{_ALTERNATIVES}')) AS m, generate_subscripts(regexp_extract_all(norm, '{_ALTERNATIVES}'), 1) AS i FROM norm),
+    h AS (SELECT label_id, term, en, CASE status {_SEVERITY} END AS severity, min(i) AS i, count(*) AS n FROM m JOIN dict ON term = CASE WHEN lower(m) = 'halal' THEN 'HALAL' ELSE m END GROUP BY ALL)
+    SELECT label_id, CAST(max(severity) AS INT) AS max_severity, string_agg(term || '*' || n, '|' ORDER BY severity DESC, i) AS terms,
+    coalesce(array_to_string(list_slice(list(term || ' (' || en || ')' ORDER BY severity DESC, i) FILTER (severity > 0), 1, 3), ', '), '') AS top FROM h GROUP BY label_id"""
+_CATEGORIES = ", ".join(f"('{e[0]}', '{e[4]}')" for e in _ENTRIES)
+ORACLE["status_rollup"] = f"""WITH {fx.LABELS_SQL}, {_HITS}, c AS (SELECT * FROM (VALUES {_CATEGORIES}) AS t(term, category)), j AS (SELECT h.label_id, c.category, d.status FROM hits h JOIN dict d ON h.term = d.term JOIN c ON h.term = c.term)
+    SELECT category, status, count(*) AS hits, count(DISTINCT label_id) AS labels FROM j GROUP BY ROLLUP (category, status)"""
+ORACLE["marked_snippets"] = f"""WITH {fx.LABELS_SQL}, s AS (SELECT label_id, '…' || replace(substr(text, 7, least(36, length(text)) - 6), chr(10), ' ') || CASE WHEN length(text) > 36 THEN '…' ELSE '' END AS t FROM labels)
+    SELECT label_id, substr(t, 1, 15) || '<mark>' || substr(t, 16, 2) || '</mark>' || substr(t, 18) AS marked FROM s"""
+ORACLE["glossary_page"] = "SELECT p_partkey AS ord, p_name FROM part ORDER BY p_partkey LIMIT 100 OFFSET 50"
+ORACLE["fallback_read"] = f"""WITH {fx.LINES_SQL}, e AS (SELECT DISTINCT l_orderkey AS photo_id, ['basic', 'phone', 'server'][CAST(l_partkey % 3 AS INT) + 1] AS engine FROM lineitem),
+    r AS (SELECT photo_id, engine, max(text) AS text FROM lines JOIN e USING (photo_id) GROUP BY ALL)
+    SELECT photo_id, arg_max(engine, engine_rank) AS engine, arg_max(text, engine_rank) AS text FROM (SELECT *, CASE engine WHEN 'server' THEN 3 WHEN 'phone' THEN 2 ELSE 1 END AS engine_rank FROM r) GROUP BY photo_id"""
+ORACLE["choose_read"] = f"""WITH {fx.LINES_SQL}, s AS (SELECT photo_id, sum(CASE WHEN read_no = 0 THEN conf * length(text) END) AS s0, sum(CASE WHEN read_no = 1 THEN conf * length(text) END) AS s1 FROM lines GROUP BY photo_id),
+    a AS (SELECT photo_id, bool_or(regexp_matches(text, '{fixed.ANCHOR}')) AS anchor, sum(conf * length(text)) AS al, sum(CASE WHEN tall THEN conf * length(text) ELSE 0 END) AS ta FROM lines WHERE read_no = 0 GROUP BY photo_id),
+    c AS (SELECT s.photo_id, CASE WHEN s0 IS NULL OR coalesce(NOT anchor AND al > 0 AND ta >= 0.12 * al AND s1 >= CASE WHEN round(ta / al, 2) >= 0.2 THEN 1.0 ELSE 1.25 END * s0, false) THEN 1 ELSE 0 END AS read_no FROM s LEFT JOIN a ON s.photo_id = a.photo_id)
+    SELECT l.photo_id, l.read_no, count(*) AS lines FROM lines l JOIN c ON l.photo_id = c.photo_id AND l.read_no = c.read_no GROUP BY ALL"""
+_FRAMES = f"""WITH RECURSIVE f AS (SELECT user_id AS session_id, event_id AS frame_no, CAST(floor(epoch_us(ts) / 30000000) AS BIGINT) AS frame_ms, value AS sharpness,
+      '配料:' || {fx._list(fx.PIECES)}[CAST(event_id % {len(fx.PIECES)} AS INT) + 1] || '、' || {fx._list(fx.PIECES)}[CAST((event_id * 7) % {len(fx.PIECES)} AS INT) + 1] AS text FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY frame_ms, frame_no) AS k FROM f),
+    r AS (SELECT session_id, 0::BIGINT AS k, 0::BIGINT AS frame_no, -1200::BIGINT AS last, 0::DOUBLE AS best, false AS taken, '' AS text FROM (SELECT DISTINCT session_id FROM n)
+      UNION ALL SELECT n.session_id, n.k, n.frame_no, CASE WHEN n.frame_ms - r.last >= 1200 AND n.sharpness >= greatest(25, 0.45 * greatest(r.best, n.sharpness)) THEN n.frame_ms ELSE r.last END,
+        CASE WHEN n.frame_ms - r.last < 1200 THEN r.best ELSE greatest(r.best, n.sharpness) END, n.frame_ms - r.last >= 1200 AND n.sharpness >= greatest(25, 0.45 * greatest(r.best, n.sharpness)), n.text
+      FROM r JOIN n ON n.session_id = r.session_id AND n.k = r.k + 1)"""
+ORACLE["live_intake"] = f"{_FRAMES} SELECT session_id, frame_no FROM r WHERE taken"
+ORACLE["live_buffer"] = f"""{_FRAMES}, t AS (SELECT session_id, text, row_number() OVER (PARTITION BY session_id ORDER BY k) AS j FROM r WHERE taken),
+    b AS (SELECT session_id, 0::BIGINT AS j, []::VARCHAR[] AS held FROM (SELECT DISTINCT session_id FROM t)
+      UNION ALL SELECT t.session_id, t.j, CASE WHEN length(t.text) < 6 OR list_contains(b.held, t.text) THEN b.held ELSE list_slice(list_append(b.held, t.text), -24, -1) END FROM b JOIN t ON t.session_id = b.session_id AND t.j = b.j + 1),
+    z AS (SELECT session_id, arg_max(held, j) AS held FROM b GROUP BY session_id)
+    SELECT session_id, CAST(unnest(range(0, len(held))) AS INT) AS place, unnest(held) AS text FROM z"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

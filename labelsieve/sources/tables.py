@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -48,6 +49,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="labelsieve-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -55,12 +58,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def compact(df: DataFrame) -> DataFrame:
-    """A lexicon within the bound as one local table, so that the joins with it don't compute it again."""
-    rows = df.limit(BROADCAST_ROWS + 1).toArrow()
-    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= BROADCAST_ROWS else df
-
-
 def load_dictionary(entries: DataFrame) -> DataFrame:
     """Entries with defaults: no status means ok, other gaps are empty; rows without a term go; order by ord."""
     filled = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("en", "py", "category", "note")]
@@ -126,6 +123,13 @@ class Lexicon:
     products_nonfood: DataFrame
     detect_strong: list[str] = field(default_factory=list)
     detect_weak: list[str] = field(default_factory=list)
+    _ready: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def ready(self, name: str, make: Callable):
+        """What is made from the word tables once and used by every later scan."""
+        if name not in self._ready:
+            self._ready[name] = make()
+        return self._ready[name]
 
     def terms(self) -> DataFrame:
         """Everything that is sought in a label, in one table: one pass over the text finds all kinds."""

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelsieve.functions import text as tx
+from labelsieve.operators import codes, scan
 from labelsieve.operators import history as hi
 from labelsieve.operators import lines as ln
 from labelsieve.operators.scan import scan_dictionary
@@ -279,3 +280,22 @@ def test_live_session_ends_with_its_buffer():
     assert rows["buffer"].tolist() == [["配料:水、猪肉", "水、猪肉、食用盐"]]
     last = pd.concat(session.handleExpiredTimer((7,), Timers(), None))
     assert last["ended"].tolist() == [True] and last["buffer"].tolist() == [["配料:水、猪肉", "水、猪肉、食用盐"]]
+
+
+def test_code_lists_of_any_length(spark):
+    plain = re.compile(r"^\s*(?:(?:INS|E)?\s*\d{3,4}[a-z]?\s*[,，、;；/和及]?\s*)+$", re.I)
+    inner = ["471、1234567890123", "471、322", "12345", "471INS322", "471E322", "E471a/INS 407", "471b322", " 322 ，471 ", "47", "471I", "123456", "1234567", "471EINS407", "471,,322", "471x y"]
+    shown = spark.createDataFrame([(x,) for x in inner], "x string").select("x", F.col("x").rlike(codes._LIST).alias("hit")).collect()
+    assert {r["x"]: r["hit"] for r in shown} == {x: bool(plain.match(x)) for x in inner}
+    table = spark.createDataFrame([(1, "乳化剂(471、1234567890123)")], "label_id long, norm string")
+    assert "471" in {r["code"] for r in codes.parse_codes(table, ["label_id"], "norm", lexicon(spark).codes).collect()}
+
+
+def test_large_lexicons_scan_alike(spark, words, monkeypatch):
+    texts_ = ["配料:猪肉、halal、HALAL x", "the Halalx halal", "", None, "水鱿鱼肉松 L-肉碱", "é halal É猪"]
+    table = spark.createDataFrame(list(enumerate(texts_)), "label_id long, text string")
+    got = []
+    for bound in (scan.BROADCAST_ROWS, 3):
+        monkeypatch.setattr(scan, "BROADCAST_ROWS", bound)
+        got.append(sorted(tuple(r) for r in scan.occurrences(table, ["label_id"], "text", words.terms()).collect()))
+    assert got[0] == got[1] and len(got[0]) > 10

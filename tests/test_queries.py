@@ -34,6 +34,11 @@ def test_against_sql(spark, duck, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, found.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(set(q.queries()) - set(q.oracle_sql())))
+def test_queries_without_sql_run(spark, name):
+    assert q.queries()[name](spark, D).count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__
 
