@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Text that one step of a vectorised pass holds in memory; a longer single text is taken alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: Text that one bucket of a packed shuffle stands for, in bytes.
 BUCKET_BYTES = 8_000_000
 #: Null identifiers in packed keys.
@@ -150,14 +150,14 @@ _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, or of its inverse; kept for the next call."""
+    """base**0 .. base**(n-1) modulo 2**64, or of its inverse; kept for the next call unless a text longer than a chunk asked for them."""
     have = _powers.get((base, inverse))
     if have is None or len(have) < n:
         step = pow(base, -1, 2**64) if inverse else base
         have = np.full(max(n, 1 << 16), step, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if len(have) <= 4 * CHUNK_BYTES:
+        if len(have) <= CHUNK_BYTES + (1 << 16):
             _powers[base, inverse] = have
     return have[:n]
 

@@ -101,13 +101,14 @@ def _sketch(n: int, rule: Rule):
     width = COUNTERS // _SLICES
 
     def run(batches):
-        table = np.zeros(COUNTERS, np.int64)
+        table = np.zeros(COUNTERS, np.int32)
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for a, b in slices(offsets):
                 doc, h = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
                 size, key = _set_keys(doc, h, b - a)
-                table += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                cell, times = np.unique(h % np.uint64(COUNTERS), return_counts=True)
+                table[cell] += times.astype(np.int32)
                 ids = batch.column(0).slice(a, b - a)
                 cells = np.bincount(doc * SKETCH + (h >> np.uint64(54)).astype(np.int64), minlength=(b - a) * SKETCH)
                 parity, cell = (cells & 1).astype(np.uint8).reshape(-1, SKETCH), rule.cells(size)
