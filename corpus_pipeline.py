@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelsieve.llm import bpe, exact_dedup, jaccard, mixing, quality
-from labelsieve.llm.common import stored, table
+from labelsieve.llm.common import WORD, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,12 +33,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a Jaccard similarity of 0.8 or more, the smallest identifier stays.
 
-    Documents without words are linked with nothing and stay. Rows are told apart by identifier: those that share one stay
-    or go together. An empty table gives an empty result; other columns aren't read.
+    Rows are told apart by identifier and text: null identifiers come last, of rows that share an identifier the smaller
+    hash of the text stays, and of rows that repeat both one stays. Documents without words are linked with nothing, and
+    all of them stay. An empty table gives an empty result; other columns aren't read.
     """
-    groups = jaccard.jaccard_groups(docs, n=5, percent=80)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    row_key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"))
+    keyed = docs.select(*COLUMNS, row_key.alias("row_key"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("worded"))
+    worded = keyed.filter("worded")
+    groups = jaccard.jaccard_groups(worded, n=5, percent=80, doc_id="row_key")
+    kept = stored(groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_key")).agg(F.count(F.lit(1)).alias("times")), "kept")
+    # Only repeated rows are shuffled with their texts; after exact dedup there are none.
+    once = worded.join(kept.filter("times = 1"), F.col("row_key") == F.col("kept_key"), "left_semi")
+    again = worded.join(kept.filter("times > 1"), F.col("row_key") == F.col("kept_key"), "left_semi").dropDuplicates(["row_key"])
+    return once.unionByName(again).unionByName(keyed.filter("not worded")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
