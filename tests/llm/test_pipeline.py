@@ -47,3 +47,22 @@ def test_stages(spark):
     coded = cp.encode(spark, mixed, D)
     assert coded.count() == mixed.count()
     assert all(r["n_tokens"] == len(r["ids"]) for r in coded.collect())
+
+
+def test_near_copies_of_repeated_and_null_identifiers(spark):
+    long = " ".join(f"word{k}" for k in range(60))
+    near, other = long + " more", " ".join(f"other{k}" for k in range(40))
+    rows = [(7, long), (7, near), (7, long.upper()), (3, other), (3, other), (None, other + " end"), (None, "one alone"), (None, "two alone"), (5, ""), (5, ""), (6, None)]
+    docs = spark.createDataFrame([(k, t, "en", None, 1, 2) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row_key int")
+    kept = cp.drop_near_copies(spark, docs, D)
+    assert kept.columns == cp.COLUMNS
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    same = [t for k, t in got if k == 7]
+    assert len(same) == 1 and same[0] in (long, near, long.upper())
+    assert sorted(map(str, (x for x in got if x[0] != 7))) == sorted(map(str, [(3, other), (None, "one alone"), (None, "two alone"), (5, ""), (5, ""), (6, None)]))
+
+
+def test_stages_on_an_empty_table(spark):
+    empty = spark.read.parquet(f"{D}/documents.parquet").filter("false")
+    for name, stage in cp.STAGES[1:]:
+        assert stage(spark, empty, D).collect() == [], name
