@@ -38,7 +38,7 @@ def text_functions(s: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return fx.labels(s, d).select(
         "label_id", tx.has_chinese(t).alias("has_chinese"), tx.cjk_count(t).cast("long").alias("cjk_count"), tx.squash_ws(t).alias("squashed"), tx.is_alcoholic(t).alias("alcoholic"),
-        tx.ai_text_usable(t).alias("usable"), tx.translate_url(F.substring(t, 1, 12))[0].alias("url"), tx.snippet(t, F.lit(20), F.lit(2))["text"].alias("snippet"), tx.snippet(t, F.lit(20), F.lit(2))["offset"].alias("snippet_offset"),
+        tx.ai_text_usable(t).alias("usable"), tx.translate_url(t)[0].alias("url"), tx.snippet(t, F.lit(20), F.lit(2))["text"].alias("snippet"), tx.snippet(t, F.lit(20), F.lit(2))["offset"].alias("snippet_offset"),
     )
 
 
@@ -259,7 +259,7 @@ ORACLE: dict[str, str] = {
     "normalize": f"WITH {fx.LABELS_SQL} SELECT label_id, norm FROM norm",
     "text_functions": f"""WITH {fx.LABELS_SQL} SELECT label_id, regexp_matches(text, '[一-鿿]') AS has_chinese, CAST(len(regexp_extract_all(text, '[一-鿿]')) AS BIGINT) AS cjk_count,
         regexp_replace(text, '[\\s　]+', '', 'g') AS squashed, regexp_matches(text, '(?i)酒精度|%\\s*vol|vol\\s*%|ABV|酒精含量') AS alcoholic, len(regexp_extract_all(text, '[一-鿿]')) >= 6 AS usable,
-        'https://fanyi.baidu.com/#zh/en/' || url_encode(substr(text, 1, 12)) AS url,
+        'https://fanyi.baidu.com/#zh/en/' || url_encode(text) AS url,
         CASE WHEN length(text) > 20 THEN '…' ELSE '' END || replace(substr(text, 7, least(36, length(text)) - 6), chr(10), ' ') || CASE WHEN length(text) > 36 THEN '…' ELSE '' END AS snippet, 15 AS snippet_offset FROM labels""",
     "translate_links": f"""WITH {fx.LABELS_SQL} SELECT label_id, 'https://fanyi.baidu.com/#zh/en/' || url_encode(text) AS baidu, 'https://translate.google.com/?sl=zh-CN&tl=en&text=' || url_encode(text) || '&op=translate' AS google FROM labels""",
     "ocr_post": f"""WITH {fx.LABELS_SQL} SELECT label_id, regexp_replace(regexp_replace(t, '([一-鿿㐀-䶿豈-﫿、-〿＀-￯]) ([一-鿿㐀-䶿豈-﫿、-〿＀-￯])', '\\1\\2', 'g'), '([一-鿿㐀-䶿豈-﫿、-〿＀-￯]) ([一-鿿㐀-䶿豈-﫿、-〿＀-￯])', '\\1\\2', 'g') AS text FROM half""",
