@@ -146,6 +146,44 @@ def test_quality(spark, docs, empty):
     assert empty.select(quality.quality_score(constant, F.col("text"))).collect() == []
 
 
+def test_flat_trees_are_walked_like_nested_ones():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 30, (400, 6)).astype(np.float32)
+    y = ((x[:, 1] > 12) ^ (x[:, 4] > 20)).astype(float)
+    trees = quality.grow(x, y, trees=20)
+
+    def walk(t, node, row):
+        inner = trees.feature.shape[1]
+        if node >= inner:
+            return trees.value[t, node - inner]
+        return walk(t, 2 * node + (2 if row[trees.feature[t, node]] > trees.threshold[t, node] else 1), row)
+
+    want = [1 / (1 + math.exp(-(trees.base + sum(walk(t, 0, row) for t in range(20))))) for row in x]
+    assert np.allclose(trees.score(x), want)
+    assert ((trees.score(x) > 0.5) == (y > 0)).mean() > 0.95
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_a_split_is_the_best_of_all(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 9, (80, 5)).astype(np.float32)
+    y = (x[:, seed % 5] + rng.integers(0, 6, 80) > 7).astype(float)
+    tree = quality.grow(x, y, trees=1, depth=1)
+    p = 1 / (1 + math.exp(-tree.base))
+    g, h = p - y, np.full(80, p * (1 - p))
+
+    def gain(right):
+        if h[right].sum() < 1 or h[~right].sum() < 1:
+            return -1.0
+        return sum(g[k].sum() ** 2 / (h[k].sum() + 1) for k in (right, ~right)) - g.sum() ** 2 / (h.sum() + 1)
+
+    best = max(gain(x[:, k] > v) for k in range(5) for v in range(9))
+    right = x[:, tree.feature[0, 0]] > tree.threshold[0, 0]
+    assert math.isclose(gain(right), best)
+    for side, value in ((~right, tree.value[0, 0]), (right, tree.value[0, 1])):
+        assert math.isclose(value, -0.15 * g[side].sum() / (h[side].sum() + 1))
+
+
 def test_bpe(docs, plain, empty):
     from tokenizers import Tokenizer
 
