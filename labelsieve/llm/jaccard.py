@@ -433,10 +433,15 @@ def _members(rows: DataFrame, narrow: DataFrame, alive: DataFrame, n: int) -> Da
     """
     spark = rows.sparkSession
     chosen = stored(narrow.join(alive, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id")).alias("one")).select("key", F.col("one.doc_id").alias("one_id")), "chosen")
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(COUNTERS)).cast("int")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(COUNTERS))
+    number = (slot("one_id") + 1).cast("long")
+    # Bitmaps are put together by the cluster: a fixed number of rows of 4 KB, whatever the input.
+    parts = chosen.groupBy(F.bitmap_bucket_number(number).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
     marked = np.zeros(COUNTERS, bool)
-    marked[chosen.select(slot("one_id").alias("s")).distinct().toArrow()["s"].to_numpy()] = True  # at most COUNTERS numbers
-    given = rows.select("doc_id", "body", slot("doc_id").alias("slot")).mapInArrow(_sets(n, spark.sparkContext.broadcast(marked)), f"doc_id {dict(rows.dtypes)['doc_id']}, set_key long, members array<long>")
+    for r in parts.collect():
+        bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        marked[(r["part"] - 1) * len(bits) : r["part"] * len(bits)] = bits
+    given = rows.select("doc_id", "body", slot("doc_id").cast("int").alias("slot")).mapInArrow(_sets(n, spark.sparkContext.broadcast(marked)), f"doc_id {dict(rows.dtypes)['doc_id']}, set_key long, members array<long>")
     same = F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("set_key") == F.col("key"))
     return stored(given.join(chosen, same).select("key", "members"), "members")
 
