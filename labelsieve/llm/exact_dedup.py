@@ -22,6 +22,8 @@ from labelsieve.llm.common import SEPARATORS, stored, unused
 
 #: Leading characters of the normalised text in a splitter. The whole text's hash follows, so splitters stay small.
 SPLITTER_CHARS = 64
+#: Groups at partition ends that are broadcast; more of them are joined by a shuffle, each dealt over SALTS tasks.
+MOST_ENDS, SALTS = 100_000, 64
 
 
 def _runs(key_type: pa.DataType):
@@ -79,12 +81,23 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     ends = runs.filter("edge and run_first").groupBy("sha").agg(F.sum("run_rows").alias("all_rows"), F.min(F.struct("part", "run_keep")).alias("least"))
     ends = ends.select(F.col("sha").alias("edge_sha"), "all_rows", F.col("least.part").alias("least_part"), F.col("least.run_keep").alias("least_keep"))
     inner = runs.filter("not edge").select("doc_id", F.col("run_keep").alias("keep_id"), F.col("run_rows").alias("group_size"), F.col("run_first").alias("kept"), F.col("sha").alias("text_sha256"))
-    outer = runs.filter("edge").join(ends, F.col("sha") == F.col("edge_sha")).select(
+    ends = stored(ends, "exact-ends")
+    outer = _with_ends(runs.filter("edge"), ends).select(
         "doc_id", F.col("least_keep").alias("keep_id"), F.col("all_rows").alias("group_size"), (F.col("run_first") & (F.col("part") == F.col("least_part"))).alias("kept"), F.col("sha").alias("text_sha256")
     )
     return inner.unionByName(outer)
 
 
+def _with_ends(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows of the runs at partition ends with what is known of their groups. One group may hold most of these rows, so
+    they aren't dealt by group alone."""
+    if ends.count() <= MOST_ENDS:
+        return edges.join(F.broadcast(ends), F.col("sha") == F.col("edge_sha"))
+    salted = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = edges.withColumn("row_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, (F.col("sha") == F.col("edge_sha")) & (F.col("row_salt") == F.col("salt")))
+
+
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all columns of `docs`, whatever their names; nulls, ties and empty tables as in exact_groups."""
     key, kept_id, kept_sha = unused(docs, "kept_key", "kept_id", "kept_sha")

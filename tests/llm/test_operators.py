@@ -253,6 +253,12 @@ def test_exact_dedup(docs, plain, empty):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert sorted([(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got], key=str) == sorted([(k, keep[t], count[t], sha(t)) for k, t in norm], key=str)
     assert Counter(r["text_sha256"] for r in got if r["kept"]) == Counter({sha(t): 1 for t in count})
+    most = exact_dedup.MOST_ENDS
+    try:
+        exact_dedup.MOST_ENDS = -1  # the join of very many groups
+        assert sorted(exact_dedup.exact_groups(docs).collect(), key=str) == sorted(got, key=str)
+    finally:
+        exact_dedup.MOST_ENDS = most
     assert exact_dedup.without_copies(docs).count() == len(count)
     assert exact_dedup.without_copies(docs).columns == docs.columns
     assert exact_dedup.exact_groups(empty).collect() == []
