@@ -22,8 +22,9 @@ from labelsieve.llm.components import components
 #: Vectors of one side of a tile.
 TILE = 2000
 BLOCKS = 8
-#: A grid gets one more axis for each factor of this in the size of the largest label.
-PER_AXIS = 20_000
+#: A grid has one axis up to this size of the largest label, and one more for each further factor of PER_AXIS, as far as
+#: blocks have coordinates.
+ONE_AXIS, PER_AXIS = 20_000, 32
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -118,7 +119,8 @@ def _tile(cosine: float, axes: int):
         links = np.bincount(i, rows[j], minlength=len(cls)) + np.bincount(j, rows[i], minlength=len(cls))
         root = local_components(len(cls), i, j)
         hit = links > 0
-        return pa.table({"cls": cls[hit], "links": links[hit].astype(np.int64), "root": cls[root][hit]})
+        kind = table["cls"].type
+        return pa.table({"cls": pa.array(cls[hit], kind), "links": links[hit].astype(np.int64), "root": pa.array(cls[root][hit], kind)})
 
     return run
 
@@ -128,24 +130,28 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "ve
 
     Two vectors link when their labels are equal and not null, their sizes are equal and their cosine in double
     precision reaches `cosine`. A vector that is null, empty, zero, or holds null or non-finite components links with
-    nothing, is its own component and is kept. Rows that repeat are vectors of their own and link with each other. An
-    empty table gives an empty result; other columns aren't read.
+    nothing, is its own component and is kept. Rows that repeat are vectors of their own and link with each other.
+    Identifiers may be numbers or text, compared as such. An empty table gives an empty result; other columns aren't read.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vec).cast("array<double>").alias("vec"))
+    types = dict(vectors.dtypes)
+    key = "string" if types[vec_id] == "string" else "long"
+    # Single precision travels as it is, at half the size; it is widened where it is compared.
+    body = F.col(vec) if types[vec] == "array<float>" else F.col(vec).cast("array<double>")
+    rows = vectors.select(F.col(vec_id).cast(key).alias("vec_id"), F.col(label).cast("string").alias("label"), body.alias("vec"))
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     valid = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("vec") > 0) & fine, F.lit(False))
     keyed = rows.withColumn("k1", F.when(valid, F.xxhash64("label", "vec"))).withColumn("k2", F.when(valid, F.hash("vec", "label")))
     classes = keyed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("rows"), F.first("label").alias("label"), F.first("vec").alias("vec"))
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     axes = 1
-    while most > PER_AXIS**axes and axes < 3:
+    while most > ONE_AXIS * PER_AXIS ** (axes - 1):
         axes += 1
-    spread = classes.select("cls", "label", "vec", "rows").mapInArrow(_cells(cosine, axes), "cls long, label string, vec array<double>, rows long, dim int, block int, cell string")
+    spread = classes.select("cls", "label", "vec", "rows").mapInArrow(_cells(cosine, axes), f"cls {key}, label string, vec {dict(rows.dtypes)['vec']}, rows long, dim int, block int, cell string")
     place = ["label", "dim", "block", "cell"]
     full = spread.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts")).filter("parts > 1")
     salted = spread.join(full, place, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     tiled = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("low", F.least("salt", "other")).withColumn("high", F.greatest("salt", "other"))
-    found = tiled.groupBy(*place, "low", "high").applyInArrow(_tile(cosine, axes), "cls long, links long, root long")
+    found = tiled.groupBy(*place, "low", "high").applyInArrow(_tile(cosine, axes), f"cls {key}, links long, root {key}")
     found = stored(found, "vector-links")
     counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
@@ -153,4 +159,4 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "ve
     named = named.select("k1", "k2", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
     out = keyed.select("vec_id", "k1", "k2").join(named, ["k1", "k2"], "left")
     own = F.coalesce("component_id", "vec_id")
-    return out.select(F.col("vec_id").cast(dict(vectors.dtypes)[vec_id]).alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"))
+    return out.select(F.col("vec_id").cast(types[vec_id]).alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"))

@@ -291,13 +291,17 @@ def test_embeddings(spark):
                 parent[max(a, b)] = min(a, b)
     assert sum(links.values()) > 100
     want = [(k, links[k], find(k), find(k) == k) for k, *_ in data]
-    tile = embed.TILE
+    tile, one_axis = embed.TILE, embed.ONE_AXIS
     try:
-        for size in (tile, 7):
-            embed.TILE = size
+        for embed.TILE, embed.ONE_AXIS in ((tile, one_axis), (7, one_axis), (tile, 1)):
             assert sorted(tuple(r) for r in embed.embedding_groups(table).collect()) == want
     finally:
-        embed.TILE = tile
+        embed.TILE, embed.ONE_AXIS = tile, one_axis
+    # Text identifiers, single precision.
+    near = [("b", [1.0, 2.0, 3.0], 0), ("a", [1.0, 2.0, 3.05], 0), ("c", [3.0, -2.0, 1.0], 0), (None, [1.0, 2.0, 3.0], 0)]
+    few = spark.createDataFrame(near, "vec_id string, embedding array<float>, label int")
+    told = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed.embedding_groups(few).collect()}
+    assert told == {"a": (1, "a", True), "b": (1, "a", False), "c": (0, "c", True), None: (0, None, True)}
     assert embed.embedding_groups(table.limit(0)).collect() == []
 
 
