@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from labelsieve.llm import audit, bpe, chat, embed, exact_dedup, jaccard, lm, mixing, quality, sharding, substring
+from labelsieve.llm import audit, bpe, chat, embed, exact_dedup, jaccard, leaks, lm, mixing, quality, sharding, substring
 from labelsieve.llm.common import id_crc32, table
 
 
@@ -86,12 +86,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = leaks.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return told.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring, op2_jaccard, op3_quality, op4_bpe, op5_sharding, op6_exact_dedup, op7_embeddings, op8_lm, op9_chat, op10_mixing, op13_filter_audit]
+    found = [op1_substring, op2_jaccard, op3_quality, op4_bpe, op5_sharding, op6_exact_dedup, op7_embeddings, op8_lm, op9_chat, op10_mixing, op11_decontamination, op13_filter_audit]
     return {f.__name__: f for f in found}
 
 
@@ -135,6 +140,21 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u
 """
 
 
+#: A-Z to a-z, and words.
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents), b AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS phrase FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS k FROM b WHERE len(w) > 0)),
+n AS (SELECT DISTINCT n FROM i),
+p AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS phrase FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, n WHERE len(w) >= n)),
+h AS (SELECT doc_id, k, p.n, item_id FROM p JOIN i USING (phrase)),
+c AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS place FROM (SELECT DISTINCT doc_id, k, n FROM h)) GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
 OP13_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
@@ -164,4 +184,4 @@ FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op9_chat": OP9_SQL, "op10_mixing": OP10_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op9_chat": OP9_SQL, "op10_mixing": OP10_SQL, "op11_decontamination": OP11_SQL, "op13_filter_audit": OP13_SQL}
