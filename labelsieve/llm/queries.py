@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from labelsieve.llm import audit, bpe, chat, embed, exact_dedup, jaccard, leaks, lm, mixing, quality, sharding, substring
+from labelsieve.llm import align, audit, bpe, chat, embed, exact_dedup, jaccard, leaks, lm, mixing, quality, sharding, substring
 from labelsieve.llm.common import id_crc32, table
 
 
@@ -91,12 +91,17 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = align.aligned_docs(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return told.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring, op2_jaccard, op3_quality, op4_bpe, op5_sharding, op6_exact_dedup, op7_embeddings, op8_lm, op9_chat, op10_mixing, op11_decontamination, op13_filter_audit]
+    found = [op1_substring, op2_jaccard, op3_quality, op4_bpe, op5_sharding, op6_exact_dedup, op7_embeddings, op8_lm, op9_chat, op10_mixing, op11_decontamination, op12_alignment, op13_filter_audit]
     return {f.__name__: f for f in found}
 
 
