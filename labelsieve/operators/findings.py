@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelsieve.functions.text import severity, snippet, status_label
@@ -15,14 +15,24 @@ def finding(term, en, py, status, category, note, index, source: str) -> Column:
     return F.struct(*[(c if isinstance(c, Column) else F.lit(c)).alias(k) for k, c in cols.items()], index.cast("int").alias("index"), F.lit(source).alias("source"))
 
 
-def dedupe_findings(found: Column) -> Column:
-    """One finding for each term and status, the first in order, with the number of occurrences."""
+def dedupe_findings(df: DataFrame, found: str, into: str) -> DataFrame:
+    """df with one finding for each term and status of the array `found`, the first in order, with the number of occurrences.
 
-    def same(a: Column, b: Column) -> Column:
-        return (a["term"] == b["term"]) & (a["status"] == b["status"])
+    Entries are sorted by key, so equal ones stand together and a count is the distance to the next key's first place. The
+    steps are columns of their own, because an array inside a lambda is else computed for every element.
+    """
+    keyed = F.array_sort(F.transform(found, lambda x, i: F.struct(x["term"].alias("term"), x["status"].alias("status"), i.alias("i"), x.alias("x"))))
+    same = lambda a, b: a["term"].eqNullSafe(b["term"]) & a["status"].eqNullSafe(b["status"])
+    begins = F.filter(F.transform("dedupe_keyed", lambda y, k: F.when((k == 0) | ~same(y, F.get("dedupe_keyed", k - 1)), k)), lambda k: k.isNotNull())
+    out = df.withColumn("dedupe_keyed", keyed).withColumn("dedupe_begins", begins)
+    fields = ("term", "en", "py", "status", "category", "note", "index", "source")
 
-    firsts = F.filter(found, lambda x, i: ~F.exists(F.slice(found, F.lit(1), i), lambda y: same(x, y)))
-    return F.transform(firsts, lambda x: F.struct(x["term"].alias("term"), x["en"].alias("en"), x["py"].alias("py"), x["status"].alias("status"), x["category"].alias("category"), x["note"].alias("note"), x["index"].alias("index"), x["source"].alias("source"), F.size(F.filter(found, lambda y: same(x, y))).alias("count")))
+    def one(k: Column, n: Column) -> Column:
+        y, following = F.get("dedupe_keyed", k), F.coalesce(F.get("dedupe_begins", n + 1), F.size("dedupe_keyed"))
+        return F.struct(y["i"].alias("i"), F.struct(*[y["x"][c].alias(c) for c in fields], (following - k).alias("count")).alias("x"))
+
+    out = out.withColumn(into, F.transform(F.array_sort(F.transform("dedupe_begins", one)), lambda z: z["x"]))
+    return out.drop("dedupe_keyed", "dedupe_begins")
 
 
 def judged(found: Column, text: Column, section: Column) -> Column:
@@ -50,6 +60,15 @@ def split_elsewhere(found: Column, section: Column) -> tuple[Column, Column]:
     return F.filter(found, lambda x: drives_verdict(x, section["found"])), F.filter(found, lambda x: ~drives_verdict(x, section["found"]))
 
 
+def push_product(found: Column, aside: Column, extra: Column, wanted: Column) -> tuple[Column, Column]:
+    """Findings and those outside the list with a product name's finding: a known term and status is counted once more where it stands, else it joins the findings."""
+    same = lambda f: (f["term"] == extra["term"]) & (f["status"] == extra["status"])
+    counted = lambda all_: F.transform(all_, lambda f: f.withField("count", f["count"] + same(f).cast("int")))
+    known = F.exists(found, same) | F.exists(aside, same)
+    joined = F.when(known, counted(found)).otherwise(order_findings(F.concat(found, F.array(extra))))
+    return F.when(wanted, joined).otherwise(found), F.when(wanted, counted(aside)).otherwise(aside)
+
+
 def union_findings(*parts: Column) -> Column:
     """Dictionary, rule, code and product findings in that order."""
     return F.concat(*parts)

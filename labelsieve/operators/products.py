@@ -9,13 +9,10 @@ from labelsieve.functions.text import CJK
 from labelsieve.sources import fixed
 
 
-def _guess(mentions: Column, levels: dict[str, int], by_level: bool, first_only: bool) -> Column:
-    """Best of the product mentions: head match, longer name, graver level (food), dictionary order.
-
-    Only the first occurrence of a name counts. Struct (name, head, level, sev, en, typical, note, index) or null.
+def _guess(mentions: Column, levels: dict[str, int], by_level: bool) -> Column:
+    """Best of the product mentions: head match, longer name, graver level (food), dictionary order. Struct (name, head, level, sev, en, typical, note, index) or null.
     """
     named = F.create_map(*[F.lit(x) for p in levels.items() for x in p])
-    firsts = F.filter(mentions, lambda m: ~F.exists(mentions, lambda o: (o["ord"] == m["ord"]) & (o["start"] < m["start"]))) if first_only else mentions
 
     def ranked(m: Column) -> Column:
         sev = F.coalesce(named[m["status"]], F.lit(0))
@@ -25,12 +22,13 @@ def _guess(mentions: Column, levels: dict[str, int], by_level: bool, first_only:
         row = F.struct(m["term"].alias("name"), head.alias("head"), m["status"].alias("level"), sev.alias("sev"), m["en"].alias("en"), m["py"].alias("typical"), m["note"].alias("note"), m["start"].cast("int").alias("index"))
         return F.struct(order.alias("order"), row.alias("row"))
 
-    return F.array_max(F.transform(firsts, ranked))["row"]
+    return F.array_max(F.transform(mentions, ranked))["row"]
 
 
 def product_guess(mentions: Column) -> Column:
-    return _guess(mentions, fixed.PRODUCT_SEVERITY, True, True)
+    """mentions: the first occurrence of each name."""
+    return _guess(mentions, fixed.PRODUCT_SEVERITY, True)
 
 
 def nonfood_product_guess(mentions: Column) -> Column:
-    return _guess(mentions, fixed.PRODUCT_SEVERITY_NONFOOD, False, True)
+    return _guess(mentions, fixed.PRODUCT_SEVERITY_NONFOOD, False)

@@ -10,9 +10,9 @@ from labelsieve.operators import findings as fi
 from labelsieve.operators.codes import code_mentions, join_codes
 from labelsieve.operators.products import nonfood_product_guess, product_guess
 from labelsieve.operators.rules import apply_settings, declared_free, generic_rules, prev_match_guard
-from labelsieve.operators.scan import Terms, candidate, food_terms, leftmost_longest, occurrences, scan_dictionary
+from labelsieve.operators.scan import Terms, food_terms, leftmost_longest, scan_dictionary, with_occurrences
 from labelsieve.operators.section import accepts_start, detect_kind, detect_name, find_section, known_share
-from labelsieve.operators.segments import coverage, segment, unreadable
+from labelsieve.operators.segments import coverage, judged_segments, label_pieces, label_segments, segment, segments_coverage, unreadable
 from labelsieve.operators.verdict import food_verdict, nonfood_verdict
 from labelsieve.sources.tables import Lexicon, Settings, stored
 
@@ -26,25 +26,24 @@ def _with_options(labels: DataFrame, settings: Settings) -> DataFrame:
     return rows.withColumn("text", text if settings.max_chars is None else F.substring(text, 1, settings.max_chars))
 
 
+#: Array columns of occurrences that a screen needs: kinds, and which of them.
+SOUGHT = {
+    "food": (["food"], "all"), "food_hits": (["food"], "longest"), "nonfood_hits": (["nonfood"], "longest"), "product": (["product"], "first"), "product_nonfood": (["product_nonfood"], "all"),
+    "headers": (["start", "start_nonfood"], "all"), "ends": (["end"], "all"), "strong": (["strong"], "first"), "weak": (["weak"], "first"), "triggers": (["rule"], "all"), "code_marks": (["code"], "all"), "parens": (["paren"], "all"),
+}
+
+
 def marked_labels(labels: DataFrame, lexicon: Lexicon, settings: Settings) -> DataFrame:
-    """Labels with their normalised text and, by kind, the occurrences of everything that is sought."""
+    """Labels with their normalised text and, by kind, the occurrences of everything that is sought, in one pass and without a shuffle."""
     base = _with_options(labels, settings).select("label_id", "text", *OPTIONS).withColumn("norm", normalize_text("text"))
-    seen = occurrences(base, ["label_id"], "norm", lexicon.ready("all", lambda: Terms(lexicon.terms())))
-    of = lambda *kinds: F.col("kind").isin(*kinds)
-    header = of("start", "start_nonfood") & accepts_start(F.col("term"), F.col("before"), F.col("after"))
-    place = F.struct(F.col("start").alias("start"), (-F.col("len")).alias("neg_len"))
-    mention = F.struct("start", "term", "before", "after")
-    grouped = seen.groupBy("label_id").agg(
-        F.collect_list(F.when(of("food"), candidate())).alias("food"), F.collect_list(F.when(of("nonfood"), candidate())).alias("nonfood"),
-        F.collect_list(F.when(of("product"), candidate())).alias("product"), F.collect_list(F.when(of("product_nonfood"), candidate())).alias("product_nonfood"),
-        F.collect_list(F.when(header & of("start"), place)).alias("starts"), F.collect_list(F.when(header, place)).alias("starts_all"), F.collect_list(F.when(of("end"), F.col("start"))).alias("ends"),
-        F.size(F.collect_set(F.when(of("strong"), F.col("ord")))).alias("strong"), F.size(F.collect_set(F.when(of("weak"), F.col("ord")))).alias("weak"),
-        F.collect_list(F.when(of("rule"), mention)).alias("triggers"), F.collect_list(F.when(of("code"), mention)).alias("code_marks"), F.collect_list(F.when(of("paren"), F.struct("start"))).alias("parens"),
-    )
-    kinds = {f.name: f.dataType for f in grouped.schema.fields}
-    joined = base.join(grouped, "label_id", "left")
-    arrays = ["food", "nonfood", "product", "product_nonfood", "starts", "starts_all", "ends", "triggers", "code_marks", "parens"]
-    return joined.withColumns({c: F.coalesce(F.col(c), F.array().cast(kinds[c])) for c in arrays} | {c: F.coalesce(F.col(c), F.lit(0)) for c in ("strong", "weak")})
+    seen = with_occurrences(base, ["label_id"], "norm", lexicon.ready("all", lambda: Terms(lexicon.terms())), SOUGHT)
+    header = F.filter("headers", lambda h: accepts_start(h["term"], h["before"], h["after"]))
+    place = lambda all_: F.transform(all_, lambda h: F.struct(h["start"].alias("start"), h["neg_len"].alias("neg_len")))
+    marked = seen.withColumn("headers", header).withColumns({
+        "starts": place(F.filter("headers", lambda h: h["kind"] == "start")), "starts_all": place(F.col("headers")), "ends": F.transform("ends", lambda e: e["start"]),
+        "strong": F.size("strong"), "weak": F.size("weak"), "parens": F.transform("parens", lambda p: F.struct(p["start"].alias("start"))),
+    })
+    return marked.drop("headers")
 
 
 def _section(row: DataFrame) -> Column:
@@ -63,7 +62,7 @@ def sectioned(marked: DataFrame, lexicon: Lexicon) -> DataFrame:
     fragment = F.col("provisional.found") & (cjk_count(body) < 4) & (F.coalesce(known_share(body, leftmost_longest(inside)), F.lit(0.0)) < 0.8)
     whole = F.struct(F.lit(False).alias("found"), F.col("norm").alias("text"), F.lit(0).alias("start"), F.length("norm").alias("end"))
     row = row.withColumn("section", F.when(fragment, whole).otherwise(F.col("provisional"))).drop("provisional", "starts", "starts_all", "ends")
-    return row.withColumn("hits", leftmost_longest(F.when(F.col("kind") == "nonfood", F.col("nonfood")).otherwise(F.col("food")))).drop("food", "nonfood")
+    return row.withColumn("hits", F.when(F.col("kind") == "nonfood", F.col("nonfood_hits")).otherwise(F.col("food_hits"))).drop("food_hits", "nonfood_hits")
 
 
 def _roles(row: DataFrame, settings: Settings) -> DataFrame:
@@ -114,29 +113,32 @@ def screen_labels(labels: DataFrame, lexicon: Lexicon, settings: Settings | None
     row = row.withColumn("dict_found", F.transform(F.filter("roles", lambda x: x["role"] == "finding"), dict_finding))
     row = row.withColumn("ruled", generic_rules(text, rules, F.col("hits")))
     row = row.withColumn("rule_found", F.transform("ruled", lambda r: fi.finding(F.substring(text, r["start"] + 1, r["end"] - r["start"]), r["en"], "", r["status"], r["category"], r["note"], r["start"], "rule")))
+    row = _segmented(row, lexicon)
     said = F.when(nonfood, F.slice(code_mentions(text, F.col("code_marks"), F.col("parens")), 1, 0)).otherwise(code_mentions(text, F.col("code_marks"), F.col("parens")))
-    # Codes and segments build on the same rows, which are written once rather than scanned again.
+    # Codes build on the same rows, which are written once rather than scanned again.
     row = stored(row.withColumn("mentions", said).drop("roles", "ruled", "triggers", "code_marks", "parens", "hits", "strong", "weak"), "labels")
     nonfood, text, section = F.col("kind") == "nonfood", F.col("norm"), F.col("section")
     coded = join_codes(row.select("label_id", F.explode("mentions").alias("m")).select("label_id", "m.*"), lexicon.codes, ["label_id"])
     coded = coded.groupBy("label_id").agg(F.array_sort(F.collect_list(F.struct("group", "index", "no", "code", "name_zh", "name_en", "status", "note"))).alias("codes"))
-    segments = coverage(segment(row.select("label_id", F.col("section.text").alias("scope")), ["label_id"], "scope", lexicon.ready("food", lambda: food_terms(lexicon.dictionary))), ["label_id"])
-    none_coded, none_segments = F.array().cast(coded.schema["codes"].dataType), F.array().cast(segments.schema["segments"].dataType)
-    row = row.drop("mentions").join(coded, "label_id", "left").join(segments, "label_id", "left")
-    row = row.withColumns({"codes": F.coalesce("codes", none_coded), "segments": F.coalesce("segments", none_segments), "cjk_chars": F.coalesce("cjk_chars", F.lit(0)), "coverage": F.coalesce("coverage", F.lit(0.0))})
+    none_coded = F.array().cast(coded.schema["codes"].dataType)
+    row = row.drop("mentions").join(coded, "label_id", "left").withColumn("codes", F.coalesce("codes", none_coded))
+    covered, chars = segments_coverage(F.col("segments"))
+    row = row.withColumns({"coverage": covered, "cjk_chars": chars})
     code_found = F.transform(
         F.filter("codes", lambda c: c["status"] != "ok"),
         lambda c: fi.finding(F.concat(F.when(c["code"].rlike(r"^\d"), "INS ").otherwise(""), c["code"], F.when(c["name_zh"] != "", F.concat(F.lit(" "), c["name_zh"])).otherwise("")), c["name_en"], "", c["status"], "additive", c["note"], c["index"], "code"),
     )
     row = row.withColumn("code_found", code_found)
-    row = row.withColumn("all_found", fi.judged(fi.dedupe_findings(fi.union_findings(F.col("dict_found"), F.col("rule_found"), F.col("code_found"))), text, section))
+    row = fi.dedupe_findings(row.withColumn("each_found", fi.union_findings(F.col("dict_found"), F.col("rule_found"), F.col("code_found"))), "each_found", "all_found")
+    row = row.withColumn("all_found", fi.judged(F.col("all_found"), text, section))
     decide, aside = fi.split_elsewhere(F.col("all_found"), section)
     chinese = has_chinese(text)
     web = F.coalesce(F.col("web_source"), F.lit(""))
     guess = F.when((~section["found"] | (web != "")) & chinese, F.when(nonfood, nonfood_product_guess(F.col("product_nonfood"))).otherwise(product_guess(F.col("product"))))
     row = row.withColumns({"findings": fi.order_findings(decide), "elsewhere": fi.order_findings(aside), "chinese": chinese, "alcoholic": is_alcoholic(text), "guess": guess})
     row = row.withColumn("noise", unreadable(F.col("kind"), F.col("ocr_confidence"), section["found"], F.col("cjk_chars"), F.col("coverage")))
-    row = row.withColumn("findings", with_product(F.col("findings"), F.col("guess"), nonfood, text, section))
+    found, aside = with_product(F.col("findings"), F.col("elsewhere"), F.col("guess"), nonfood, text, section)
+    row = row.withColumns({"findings": found, "elsewhere": aside})
     noise = F.col("noise") & F.col("guess").isNull()
     marks = F.when(web != "", F.slice("positives", 1, 0)).otherwise(F.col("positives"))
     partial = F.coalesce(F.col("ai_read"), F.lit(False)) & text.rlike(r"(?i)\[?unreadable\]?")
@@ -146,12 +148,22 @@ def screen_labels(labels: DataFrame, lexicon: Lexicon, settings: Settings | None
     return row.select("label_id", "kind", detect_name(F.col("text"), section["found"], F.col("guess.name")).alias("name"), "section", F.col("guess").alias("product"), "alcoholic", quality.alias("quality"), verdict.alias("verdict"), "findings", "elsewhere", "positives", "codes", "segments", F.col("norm").alias("normalized"), F.col("chinese").alias("had_chinese"))
 
 
-def with_product(found: Column, product: Column, nonfood: Column, text: Column, section: Column) -> Column:
-    """A forbidden or probably forbidden product name is a finding too."""
-    own = fi.finding(product["name"], product["en"], "", product["level"], "product", product["note"], product["index"], "product")
-    extra = F.transform(fi.judged(fi.dedupe_findings(F.array(own)), text, section), lambda x: x.withField("in_section", F.lit(False)))
-    known = F.exists(found, lambda f: (f["term"] == product["name"]) & (f["status"] == product["level"]))
-    return F.when(~nonfood & (product["sev"] >= 5) & ~known, fi.order_findings(F.concat(found, extra))).otherwise(found)
+def _segmented(row: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """row with the segments of its list, from the occurrences that the scan has found; a lexicon that is joined scans the pieces."""
+    terms = lexicon.ready("food", lambda: food_terms(lexicon.dictionary))
+    if not terms.local:
+        found = coverage(segment(row.select("label_id", F.col("section.text").alias("scope")), ["label_id"], "scope", terms), ["label_id"]).select("label_id", "segments")
+        return row.drop("food").join(found, "label_id", "left").withColumn("segments", F.coalesce("segments", F.array().cast(found.schema["segments"].dataType)))
+    cut = label_pieces(terms)(F.col("norm"), F.col("section.start"), F.col("section.end"), F.transform("food", lambda h: h["start"]), F.transform("food", lambda h: -h["neg_len"]))
+    pieces = row.withColumn("cut", cut).withColumn("cut", label_segments(F.col("cut"), F.col("food")))
+    return pieces.withColumn("segments", judged_segments(F.col("cut"))).drop("cut", "food")
+
+
+def with_product(found: Column, aside: Column, product: Column, nonfood: Column, text: Column, section: Column) -> tuple[Column, Column]:
+    """A forbidden or probably forbidden product name is a finding too; one that is known already, in the list or outside it, is counted once more."""
+    own = fi.finding(product["name"], product["en"], "", product["level"], "product", product["note"], product["index"], "product").withField("count", F.lit(1))
+    extra = F.element_at(fi.judged(F.array(own), text, section), 1).withField("in_section", F.lit(False))
+    return fi.push_product(found, aside, extra, F.coalesce(~nonfood & (product["sev"] >= 5), F.lit(False)))
 
 
 def flagged_terms(labels: DataFrame, dictionary: DataFrame, id_col: str = "label_id", text: str = "text") -> DataFrame:

@@ -182,8 +182,8 @@ def ordered_findings(s: SparkSession, d: str) -> DataFrame:
     hits = scan_dictionary(_norm(s, d), ["label_id"], "norm", lexicon(s).dictionary)
     one = fi.finding(*[F.col(c) for c in ("term", "en", "py", "status", "category", "note", "start")], "dict")
     per = hits.groupBy("label_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", one.alias("f")))), lambda x: x["f"]).alias("f"))
-    judged = F.transform(fi.dedupe_findings(F.col("f")), lambda x: x.withField("severity", tx.severity(x["status"])))
-    rows = per.withColumn("f", fi.order_findings(judged))
+    judged = F.transform("f", lambda x: x.withField("severity", tx.severity(x["status"])))
+    rows = fi.dedupe_findings(per, "f", "f").withColumn("f", fi.order_findings(judged))
     return rows.select(
         "label_id", fi.max_severity(F.col("f")).cast("int").alias("max_severity"), F.array_join(F.transform("f", lambda x: F.concat(x["term"], F.lit("*"), x["count"].cast("string"))), "|").alias("terms"),
         fi.top_terms(F.col("f"), lambda x: x["severity"] > 0, 3).alias("top"),
