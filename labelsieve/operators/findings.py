@@ -60,13 +60,13 @@ def split_elsewhere(found: Column, section: Column) -> tuple[Column, Column]:
     return F.filter(found, lambda x: drives_verdict(x, section["found"])), F.filter(found, lambda x: ~drives_verdict(x, section["found"]))
 
 
-def push_product(found: Column, aside: Column, extra: Column, wanted: Column) -> tuple[Column, Column]:
-    """Findings and those outside the list with a product name's finding: a known term and status is counted once more where it stands, else it joins the findings."""
+def push_product(found: Column, aside: Column, extra: Column) -> tuple[Column, Column]:
+    """Findings and those outside the list with a product name's finding, or null: a known term and status is counted once more where it stands, else it joins the findings."""
     same = lambda f: (f["term"] == extra["term"]) & (f["status"] == extra["status"])
     counted = lambda all_: F.transform(all_, lambda f: f.withField("count", f["count"] + same(f).cast("int")))
     known = F.exists(found, same) | F.exists(aside, same)
     joined = F.when(known, counted(found)).otherwise(order_findings(F.concat(found, F.array(extra))))
-    return F.when(wanted, joined).otherwise(found), F.when(wanted, counted(aside)).otherwise(aside)
+    return F.when(extra.isNull(), found).otherwise(joined), F.when(extra.isNull(), aside).otherwise(counted(aside))
 
 
 def union_findings(*parts: Column) -> Column:

@@ -137,8 +137,7 @@ def screen_labels(labels: DataFrame, lexicon: Lexicon, settings: Settings | None
     guess = F.when((~section["found"] | (web != "")) & chinese, F.when(nonfood, nonfood_product_guess(F.col("product_nonfood"))).otherwise(product_guess(F.col("product"))))
     row = row.withColumns({"findings": fi.order_findings(decide), "elsewhere": fi.order_findings(aside), "chinese": chinese, "alcoholic": is_alcoholic(text), "guess": guess})
     row = row.withColumn("noise", unreadable(F.col("kind"), F.col("ocr_confidence"), section["found"], F.col("cjk_chars"), F.col("coverage")))
-    found, aside = with_product(F.col("findings"), F.col("elsewhere"), F.col("guess"), nonfood, text, section)
-    row = row.withColumns({"findings": found, "elsewhere": aside})
+    row = with_product(row, nonfood, text, section)
     noise = F.col("noise") & F.col("guess").isNull()
     marks = F.when(web != "", F.slice("positives", 1, 0)).otherwise(F.col("positives"))
     partial = F.coalesce(F.col("ai_read"), F.lit(False)) & text.rlike(r"(?i)\[?unreadable\]?")
@@ -159,11 +158,13 @@ def _segmented(row: DataFrame, lexicon: Lexicon) -> DataFrame:
     return pieces.withColumn("segments", judged_segments(F.col("cut"))).drop("cut", "food")
 
 
-def with_product(found: Column, aside: Column, product: Column, nonfood: Column, text: Column, section: Column) -> tuple[Column, Column]:
-    """A forbidden or probably forbidden product name is a finding too; one that is known already, in the list or outside it, is counted once more."""
+def with_product(row: DataFrame, nonfood: Column, text: Column, section: Column) -> DataFrame:
+    """A forbidden or probably forbidden product name (`guess`) is a finding too; one that is known already, in the list or outside it, is counted once more."""
+    product = F.col("guess")
     own = fi.finding(product["name"], product["en"], "", product["level"], "product", product["note"], product["index"], "product").withField("count", F.lit(1))
-    extra = F.element_at(fi.judged(F.array(own), text, section), 1).withField("in_section", F.lit(False))
-    return fi.push_product(found, aside, extra, F.coalesce(~nonfood & (product["sev"] >= 5), F.lit(False)))
+    extra = F.when(~nonfood & (product["sev"] >= 5), F.element_at(fi.judged(F.array(own), text, section), 1).withField("in_section", F.lit(False)))
+    found, aside = fi.push_product(F.col("findings"), F.col("elsewhere"), F.col("extra"))
+    return row.withColumn("extra", extra).withColumns({"findings": found, "elsewhere": aside}).drop("extra")
 
 
 def flagged_terms(labels: DataFrame, dictionary: DataFrame, id_col: str = "label_id", text: str = "text") -> DataFrame:
