@@ -214,13 +214,22 @@ def fallback_read(s: SparkSession, d: str) -> DataFrame:
 
 
 def live_intake(s: SparkSession, d: str) -> DataFrame:
-    got = live.live_intake(live_frames(s, d))
-    return got.select("session_id", F.explode("accepted").alias("x")).select("session_id", F.col("x.frame_no").alias("frame_no"))
+    return live.live_intake(live_frames(s, d)).filter("not ended").select("session_id", "frame_no")
+
+
+def live_versions(s: SparkSession, d: str) -> DataFrame:
+    """The buffer after every read."""
+    reads = live.live_intake(live_frames(s, d)).filter("not ended")
+    return reads.select("session_id", "seq", "version", "kept", F.array_join("buffer", "|").alias("texts"))
+
+
+def sharp_frames(s: SparkSession, d: str) -> DataFrame:
+    return live.sharp_frames(live_frames(s, d)).select("session_id", "frame_no")
 
 
 def live_buffer(s: SparkSession, d: str) -> DataFrame:
     got = live.live_buffer(live.live_intake(live_frames(s, d)))
-    return got.select("session_id", F.posexplode("buffer").alias("place", "x")).select("session_id", "place", F.col("x.text").alias("text"))
+    return got.select("session_id", F.posexplode("buffer").alias("place", "text"))
 
 
 def live_frames(s: SparkSession, d: str) -> DataFrame:
@@ -235,7 +244,7 @@ def session_end(s: SparkSession, d: str) -> DataFrame:
 QUERIES: list[Query] = [
     normalize, text_functions, translate_links, ocr_post, scan_dictionary_hits, scan_latin, find_phrases_all, flagged, segments, segment_pieces, codes, screen, verdict_report, dictionary_gaps, top_flagged,
     web_lists, pack, stitch, combined, reading_order, photo_texts, box_order, read_score, sideways_angle, text_confidence, choose_read, read_merge, latest_history, delete_history,
-    history_preview, lookup_many, ordered_findings, status_rollup, marked_snippets, glossary_page, fallback_read, live_intake, live_buffer, session_end,
+    history_preview, lookup_many, ordered_findings, status_rollup, marked_snippets, glossary_page, fallback_read, live_intake, live_versions, sharp_frames, live_buffer, session_end,
 ]
 
 
@@ -341,6 +350,14 @@ ORACLE["live_buffer"] = f"""{_FRAMES}, t AS (SELECT session_id, text, row_number
     z AS (SELECT session_id, arg_max(held, j) AS held FROM b GROUP BY session_id)
     SELECT session_id, CAST(unnest(range(0, len(held))) AS INT) AS place, unnest(held) AS text FROM z"""
 
+_VERSIONS = f"""{_FRAMES}, t AS (SELECT session_id, text, row_number() OVER (PARTITION BY session_id ORDER BY k) AS j FROM r WHERE taken),
+    b AS (SELECT session_id, 0::BIGINT AS j, 0::BIGINT AS version, false AS kept, []::VARCHAR[] AS held FROM (SELECT DISTINCT session_id FROM t)
+      UNION ALL SELECT t.session_id, t.j, b.version + CASE WHEN list_contains(b.held, t.text) THEN 0 ELSE 1 END, NOT list_contains(b.held, t.text),
+        CASE WHEN list_contains(b.held, t.text) THEN b.held ELSE list_slice(list_append(b.held, t.text), -24, -1) END FROM b JOIN t ON t.session_id = b.session_id AND t.j = b.j + 1)"""
+ORACLE["live_versions"] = f"{_VERSIONS} SELECT session_id, j AS seq, version, kept, array_to_string(held, '|') AS texts FROM b WHERE j > 0"
+ORACLE["sharp_frames"] = """SELECT session_id, frame_no FROM (SELECT user_id AS session_id, event_id AS frame_no, value,
+    max(value) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch_us(ts) / 30000000) AS BIGINT), event_id ROWS UNBOUNDED PRECEDING) AS best FROM events) WHERE value >= greatest(25, 0.45 * best)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -192,94 +192,98 @@ def by_hand(frames):
     return taken, held
 
 
-def test_live(spark, tmp_path):
-    rng = random.Random(8)
-    frames = [(s, k, k * rng.choice([300, 700, 900]), float(rng.randrange(10, 90)), f" 配料:水 第{rng.randrange(40)}号 ") for s in range(3) for k in range(120)]
-    df = spark.createDataFrame(frames, "session_id long, frame_no long, frame_ms long, sharpness double, text string")
-    want = {s: by_hand([f for f in frames if f[0] == s]) for s in range(3)}
-    intake = live.live_intake(df)
-    assert {r["session_id"]: [x["frame_no"] for x in r["accepted"]] for r in intake.collect()} == {s: w[0] for s, w in want.items()}
-    assert {r["session_id"]: [x["text"] for x in r["buffer"]] for r in live.live_buffer(intake).collect()} == {s: w[1] for s, w in want.items()}
-    df.coalesce(1).write.parquet(str(tmp_path / "frames"))
-    query = live.live_reads(spark.readStream.schema(df.schema).parquet(str(tmp_path / "frames"))).writeStream.format("memory").queryName("reads").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
-    try:
-        # Timers keep the query busy with empty batches, so it is stopped once it has read all frames.
-        for _ in range(240):
-            if sum(p["numInputRows"] for p in query.recentProgress) >= len(frames):
-                break
-            time.sleep(0.5)
-    finally:
-        query.stop()
-    counts = {r["session_id"]: r["n"] for r in spark.sql("select session_id, count(*) n from reads group by session_id").collect()}
-    assert counts == {s: len(w[0]) for s, w in want.items()}
+FRAMES = "session_id long, frame_no long, frame_ms long, sharpness double, text string, signal string"
 
 
-def test_live_verdict_over_batches(spark, tmp_path, monkeypatch):
-    """One read of each session a batch: every verdict is over all the session's texts up to then."""
-    monkeypatch.setattr(live, "pack_verdict", lambda photos, lexicon, settings: photos.groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct("photo_no", "text"))).alias("seen")))
-    texts = {1: ["配料:水、猪肉、白砂糖、小麦粉", "白砂糖、小麦粉、植物油、食用盐"], 2: ["配料:水、食用盐", "净含量:100克 地址"]}
-    schema = "session_id long, frame_no long, frame_ms long, sharpness double, text string"
-    for k in range(2):
-        spark.createDataFrame([(s, k, 2000 * k, 50.0, t[k]) for s, t in texts.items()], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "frames"))
-        time.sleep(1.1)
-    got = []
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "frames"))
-    query = live.live_verdict(live.live_reads(stream), None, lambda df, no: got.append(df.collect())).option("checkpointLocation", str(tmp_path / "state")).start()
-    try:
-        for _ in range(240):
-            if len(got) >= 2 or query.exception():
-                break
-            time.sleep(0.5)
-    finally:
-        query.stop()
-    for k, rows in enumerate(got[:2], 1):
-        assert {r["pack_id"]: [tuple(x) for x in r["seen"]] for r in rows} == {s: list(enumerate(t[:k], 1)) for s, t in texts.items()}
-        assert not any(r["ended"] for r in rows)
-    assert len(got) >= 2 and {r["pack_id"]: r["text"] for r in got[1]} == {s: f"{t[0]}\n\n[frame 2]\n{t[1]}" for s, t in texts.items()}
+def some_frames():
+    rng = random.Random(8)
+    out = [(s, k, k * rng.choice([300, 700, 900]), float(rng.randrange(10, 90)), f" 配料:水 第{rng.randrange(40)}号 ", None) for s in range(3) for k in range(120)]
+    return out + [(7, 0, 0, 50.0, "配料:水、食用盐", None), (7, 1, 2000, 50.0, "水、食用盐、猪肉", "cancel"), (7, 2, 4000, 60.0, "净含量:100克 地址", "finish"), (7, 3, 4000 + live.IDLE_MS, 60.0, "配料:小麦粉、水", None), (7, 4, 4000 + 2 * live.IDLE_MS, None, None, None), (7, 5, None, 60.0, "no time", None)]
+
 
+def reads_of(rows):
+    return sorted((r["session_id"], r["started_ms"], r["seq"], r["version"], r["frame_no"], r["text"], r["kept"], r["ended"], tuple(r["buffer"])) for r in rows)
 
-def test_live_session_ends_with_its_buffer():
-    class Kept:
-        value = None
 
-        def get(self):
-            return self.value
+def test_live_batch(spark):
+    frames = some_frames()
+    reads = live.live_intake(spark.createDataFrame(frames, FRAMES)).collect()
+    for s in range(3):
+        taken, held = by_hand([f[:5] for f in frames if f[0] == s])
+        assert [r["frame_no"] for r in sorted((r for r in reads if r["session_id"] == s and not r["ended"]), key=lambda r: r["seq"])] == taken
+        assert [r["buffer"] for r in reads if r["session_id"] == s and r["ended"]] == [held]
+    # A cancelled session tells no end; a finished one does, and so does one that was idle.
+    assert [(r["started_ms"], r["buffer"]) for r in reads if r["session_id"] == 7 and r["ended"]] == [(4000, ["净含量:100克 地址"]), (4000 + live.IDLE_MS, ["配料:小麦粉、水"]), (4000 + 2 * live.IDLE_MS, [])]
+    assert live.live_intake(spark.createDataFrame([], FRAMES)).count() == 0
 
-        def update(self, value):
-            self.value = value
 
-        put = update
+def test_live_intake_is_linear(spark):
+    frames = spark.range(100_000).selectExpr("1 as session_id", "id as frame_no", "id * 1200 as frame_ms", "cast(50 as double) as sharpness", "concat('配料:水 第', id, '号') as text")
+    began = time.time()
+    assert live.live_intake(frames).agg(F.count("*"), F.max("version"), F.max(F.size("buffer"))).first()[:] == (100_001, 100_000, live.KEPT)
+    assert time.time() - began < 60
 
-        def clear(self):
-            self.value = None
 
-    class Handle:
-        def getValueState(self, name, schema):
-            return Kept()
+def run_stream(spark, folder, state, frames, names):
+    """Files of frames one after another, each a batch; ends when all are read and timers are done."""
+    stream = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    query = live.live_reads(stream).writeStream.format("memory").queryName(names).outputMode("append").option("checkpointLocation", str(state)).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    return query
 
-        def getListState(self, name, schema):
-            kept = Kept()
-            kept.value = []
-            return kept
 
-        def listTimers(self):
-            return []
+def test_live_stream_equals_its_batch_twin(spark, tmp_path):
+    """Frames come in several batches, out of order and across sessions; frames behind the watermark are dropped and counted."""
+    # A stream's watermark begins at the time 0.
+    frames = [(*f[:2], f[2] + 1, *f[3:]) for f in some_frames() if f[2] is not None and f[2] < 200_000]
+    end = (99, 0, 200_000 + 3 * live.IDLE_MS, 0.0, None, None)
+    rng = random.Random(4)
+    early = [f for f in frames if f[2] < 60_000 or rng.random() < 0.3]
+    rest = [f for f in frames if f not in early]
+    first = max(f[2] for f in early)
+    # What the second batch brings is folded in order with what waits; in the third the first batch's watermark has passed.
+    late = [f for f in rest if f[2] <= first - 10_000][::2]
+    for part in (early, [f for f in rest if f not in late], late, [end]):
+        spark.createDataFrame(rng.sample(part, len(part)), FRAMES).coalesce(1).write.mode("append").parquet(str(tmp_path / "frames"))
+        time.sleep(1.1)
+    query = run_stream(spark, tmp_path / "frames", tmp_path / "state", FRAMES, "reads_twin")
+    assert query.exception() is None
+    kept = [f for f in frames if f not in late]
+    twin = live.live_intake(spark.createDataFrame(kept, FRAMES)).collect()
+    got = spark.table("reads_twin").filter("session_id < 99").collect()
+    assert reads_of(got) == reads_of(twin) and len(got) > 30
+    assert late and live.dropped_frames(query) + sum(r["late"] for r in got if r["ended"]) == len(late)
 
-        def registerTimer(self, ms):
-            pass
 
-    class Timers:
-        def getCurrentProcessingTimeInMs(self):
-            return 0
+def test_live_verdict_after_each_read_and_once(spark, tmp_path, monkeypatch):
+    """As many verdicts as reads with a buffer, each over the buffer of its read; a batch that runs again adds none."""
+    monkeypatch.setattr(live, "pack_verdict", lambda photos, lexicon, settings: photos.groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct("photo_no", "text"))).alias("seen")))
+    frames = [(s, k, 2000 * k + 1, 50.0, "配料:水、第%d号" % (k - k % 2), None) for s in (1, 2) for k in range(6)]
+    for part in (frames[:8], frames[8:], [(99, 0, 10**7, 0.0, None, None)]):
+        spark.createDataFrame(part, FRAMES).coalesce(1).write.mode("append").parquet(str(tmp_path / "frames"))
+        time.sleep(1.1)
 
-    session = live.Live()
-    session.init(Handle())
-    for k, text in enumerate(["配料:水、猪肉", "水、猪肉、食用盐"]):
-        frames = pd.DataFrame([(k, 2000 * k, 50.0, text, text)], columns=["frame_no", "frame_ms", "sharpness", "text", "squashed"])
-        rows = pd.concat(session.handleInputRows((7,), iter([frames]), Timers()))
-    assert rows["buffer"].tolist() == [["配料:水、猪肉", "水、猪肉、食用盐"]]
-    last = pd.concat(session.handleExpiredTimer((7,), Timers(), None))
-    assert last["ended"].tolist() == [True] and last["buffer"].tolist() == [["配料:水、猪肉", "水、猪肉、食用盐"]]
+    def run():
+        stream = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "frames"))
+        query = live.live_verdict(live.live_reads(stream, "20 seconds"), None, live.verdict_files(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination(240)
+        assert query.exception() is None
+
+    def told():
+        return sorted((r["session_id"], r["seq"], r["version"], r["ended"], r["combined"], len(r["seen"])) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    run()
+    first = told()
+    assert [x[:4] for x in first if x[0] == 1] == [(1, 1, 1, False), (1, 2, 1, False), (1, 3, 2, False), (1, 4, 2, False), (1, 5, 3, False), (1, 6, 3, False), (1, 6, 3, True)]
+    assert [x[5] for x in first if x[0] == 2] == [1, 1, 2, 2, 3, 3, 3]
+    assert first[2][4] == "配料:水、第0号\n\n[frame 2]\n配料:水、第2号"
+    # As after a crash between the sink and the commit of the last batch with verdicts.
+    last = max(int(p.name) for p in (tmp_path / "state" / "commits").iterdir() if p.name.isdigit())
+    for p in (tmp_path / "state" / "commits").iterdir():
+        if p.name.strip(".").split(".")[0] == str(last):
+            p.unlink()
+    run()
+    assert told() == first
 
 
 def test_code_lists_of_any_length(spark):
