@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -28,27 +28,61 @@ def line_overlap(a: str, b: str) -> int | None:
     return None
 
 
+def _grams(line: str) -> set[str]:
+    return {line[k : k + 3] for k in range(len(line) - 2)}
+
+
 def stitch_lines(texts: list[str | None], rounds: int = 20) -> tuple[str, int]:
     """The texts' lines, chained where they overlap, and the number of joins.
 
-    Lines are walked in order; a chain takes the first fitting unused line of another photo, up to `rounds` times.
+    Lines are walked in order; a chain takes the first fitting unused line of another photo, up to `rounds` times. A line
+    that goes on from a chain holds its last three characters, so only lines that an inverted index of three-character
+    stretches has under those are tried; lines without overlap are never compared.
     """
     photos = [[x for x in (line.strip(_SPACE) for line in (t or "").split("\n")) if len(x) >= 2] for t in texts]
-    free = {(i, k): line for i, lines in enumerate(photos) for k, line in enumerate(lines)}
-    out, joins = [], 0
-    for place in list(free):
-        if place not in free:
+    places = [(i, line) for i, lines in enumerate(photos) for line in lines]
+    index: dict[str, list[int]] = {}
+    for k, (_, line) in enumerate(places):
+        for gram in _grams(line):
+            index.setdefault(gram, []).append(k)
+    used, out, joins = [False] * len(places), [], 0
+    for k, (photo, chain) in enumerate(places):
+        if used[k]:
             continue
-        chain = free.pop(place)
+        used[k] = True
         for _ in range(rounds):
-            fit = next(((p, end) for p, line in free.items() if p[0] != place[0] and (end := line_overlap(chain, line)) is not None), None)
+            able = index[chain[-3:]] = [n for n in index.get(chain[-3:], ()) if not used[n]]
+            fit = next(((n, end) for n in able if places[n][0] != photo and (end := line_overlap(chain, places[n][1])) is not None), None)
             if fit is None:
                 break
-            chain, joins = chain + free.pop(fit[0])[fit[1] :], joins + 1
+            used[fit[0]] = True
+            chain, joins = chain + places[fit[0]][1][fit[1] :], joins + 1
         out.append(chain)
     return "\n".join(out), joins
 
 
+def overlap_candidates(photos: DataFrame) -> DataFrame:
+    """Which line of a pack may go on from which: pack_id, photo_no, line_no, next_photo_no, next_line_no, at (where the next one goes on).
+
+    An equi-join inside the pack of each line's last three characters with the stretches of the other photos' lines.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(_SPACE))), lambda x: F.length(x) >= 2)
+    rows = photos.select("pack_id", "photo_no", F.posexplode(lines).alias("line_no", "line"))
+    tails = rows.filter(F.length("line") >= 3).withColumn("gram", F.right("line", F.lit(3)))
+    starts = F.sequence(F.lit(1), F.length("line") - 2)
+    heads = rows.filter(F.length("line") >= 3).select("pack_id", F.col("photo_no").alias("next_photo_no"), F.col("line_no").alias("next_line_no"), F.col("line").alias("next"), F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("line", i, F.lit(3))))).alias("gram"))
+    met = tails.join(heads, ["pack_id", "gram"]).filter("photo_no <> next_photo_no")
+    longest = F.least(F.length("line"), F.length("next"), F.lit(40))
+
+    def end(k: Column) -> Column:
+        tail = F.right("line", k)
+        at = F.instr(F.col("next"), tail)
+        return F.when((F.regexp_count(tail, F.lit(_HAN.pattern)) >= 2) & (at > 0) & ((k >= 5) | (at <= 3)), at - 1 + k)
+
+    ends = F.filter(F.transform(F.sequence(longest, F.lit(3), F.lit(-1)), end), lambda x: x.isNotNull())
+    return met.withColumn("at", F.try_element_at(ends, F.lit(1))).filter("at is not null").select("pack_id", "photo_no", "line_no", "next_photo_no", "next_line_no", "at")
+
+
 def stitch_texts(photos: DataFrame) -> DataFrame:
     """pack_id, text, joins of every pack with a text of two photos or more, or of one.
 

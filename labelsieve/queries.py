@@ -15,7 +15,7 @@ from labelsieve.operators import lines as ln
 from labelsieve.operators.codes import parse_codes
 from labelsieve.operators.scan import find_phrases, scan_dictionary
 from labelsieve.operators.segments import segment
-from labelsieve.operators.stitch import stitch_texts
+from labelsieve.operators.stitch import overlap_candidates, stitch_texts
 from labelsieve.plans import packs
 from labelsieve.plans.screen import flagged_terms, screen_labels
 from labelsieve.sources import fixed
@@ -115,6 +115,11 @@ def pack(s: SparkSession, d: str) -> DataFrame:
     return out.select("pack_id", "photos", "primary_no", "joins", F.col("verdict.level").alias("level"), F.transform("findings", lambda f: f["term"]).alias("terms"))
 
 
+def overlaps(s: SparkSession, d: str) -> DataFrame:
+    """Which line of a pack's photos may go on from which."""
+    return overlap_candidates(fx.photos(s, d))
+
+
 def stitch(s: SparkSession, d: str) -> DataFrame:
     return stitch_texts(fx.photos(s, d))
 
@@ -243,7 +248,7 @@ def session_end(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES: list[Query] = [
     normalize, text_functions, translate_links, ocr_post, scan_dictionary_hits, scan_latin, find_phrases_all, flagged, segments, segment_pieces, codes, screen, verdict_report, dictionary_gaps, top_flagged,
-    web_lists, pack, stitch, combined, reading_order, photo_texts, box_order, read_score, sideways_angle, text_confidence, choose_read, read_merge, latest_history, delete_history,
+    web_lists, pack, overlaps, stitch, combined, reading_order, photo_texts, box_order, read_score, sideways_angle, text_confidence, choose_read, read_merge, latest_history, delete_history,
     history_preview, lookup_many, ordered_findings, status_rollup, marked_snippets, glossary_page, fallback_read, live_intake, live_versions, sharp_frames, live_buffer, session_end,
 ]
 

@@ -13,7 +13,7 @@ from labelsieve.operators import codes, scan
 from labelsieve.operators import history as hi
 from labelsieve.operators import lines as ln
 from labelsieve.operators.scan import scan_dictionary
-from labelsieve.operators.stitch import line_overlap, stitch_lines
+from labelsieve.operators.stitch import line_overlap, overlap_candidates, stitch_lines
 from labelsieve.plans import packs
 from labelsieve.plans.screen import screen_labels
 from labelsieve.sources.seeds import lexicon
@@ -138,6 +138,44 @@ def test_stitching(spark):
     assert stitch_lines([]) == ("", 0)
 
 
+def chained(texts, rounds=20):
+    """Every free line is tried for every chain, in order."""
+    free = [(i, x) for i, t in enumerate(texts) for line in (t or "").split("\n") if len(x := line.strip()) >= 2]
+    out, joins = [], 0
+    while free:
+        photo, chain = free.pop(0)
+        for _ in range(rounds):
+            fit = next((k for k, (i, line) in enumerate(free) if i != photo and line_overlap(chain, line) is not None), None)
+            if fit is None:
+                break
+            line = free.pop(fit)[1]
+            chain, joins = chain + line[line_overlap(chain, line) :], joins + 1
+        out.append(chain)
+    return "\n".join(out), joins
+
+
+def test_stitching_by_index_equals_trying_all_lines(spark):
+    rng = random.Random(12)
+    packs = []
+    for _ in range(150):
+        long = "".join(rng.choices("水盐糖油米面粉豆奶ab", k=60))
+        cuts = [long[a : a + rng.randrange(1, 14)] for a in rng.choices(range(55), k=rng.randrange(2, 16))]
+        packs.append(["\n".join(cuts[k::3]) for k in range(3)] + [None, ""])
+    assert [stitch_lines(p) for p in packs] == [chained(p) for p in packs] and sum(stitch_lines(p)[1] for p in packs) > 100
+    rows = [(k, n, t) for k, p in enumerate(packs) for n, t in enumerate(p)]
+    got = {tuple(r) for r in overlap_candidates(spark.createDataFrame(rows, "pack_id long, photo_no int, text string")).collect()}
+    lines = [(k, n, i, x) for k, n, t in rows for i, x in enumerate(y for y in ((z.strip() for z in (t or "").split("\n"))) if len(y) >= 2)]
+    assert got == {(k, n, i, m, j, end) for k, n, i, x in lines for q, m, j, y in lines if k == q and n != m and (end := line_overlap(x, y)) is not None}
+
+
+def test_stitching_many_lines_is_linear():
+    rng = random.Random(13)
+    lines = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(30)) for _ in range(20_000)]
+    began = time.time()
+    assert stitch_lines(["\n".join(lines[:10_000]), "\n".join(lines[10_000:])])[1] < 20
+    assert time.time() - began < 20
+
+
 def test_packs(spark, words):
     photos = spark.createDataFrame(
         [(1, 1, "配料:水、白砂糖、小麦粉、植物", None), (1, 2, "、小麦粉、植物油、猪肉、食用盐", None), (2, 1, "配料:水", 80), (3, 1, "配料:水、酵母", None), (3, 2, "清真 生产者某某 猪油", None)], "pack_id long, photo_no int, text string, ocr_confidence int"
