@@ -7,10 +7,11 @@ chosen by cost from the sizes of all sets.
 
 Of lists that hold the same sets one is scanned. A list keeps a set only if it has a partner there of a fitting size, the smaller of the two with the shingle among so few
 first ones that the overlap can still be reached. A scan rejects pairs by sizes and by a sketch: for each of some cells
-whether it holds an odd number of members, which differs in no more cells than the sets differ in members. Sketches are as
-wide as a set's size needs; the wider of two is folded. A scan doesn't spell out all pairs that are left. First each set is paired with one partner of a list; what
-whole sets confirm as links makes components, and later scans only look at pairs of different components. The last one
-takes all of those, so no link between components is lost. Lists of more than TILE sets are cut into tiles.
+whether it holds an odd number of members, which differs in no more cells than the sets differ in members; the wider of two
+is folded. First each set is paired with one partner of a list, by sketches of at most SKETCH cells; what whole sets
+confirm as links makes components, and the last scan only looks at pairs of different components, by whole sketches, as
+wide as a set's size needs. It looks at all of those inside a task and gives those that are left possible, so no link between components is lost,
+and many unlinked near copies give few pairs, however long they are. Lists of more than TILE sets are cut into tiles.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from labelsieve.llm.components import components
 #: Counters of the shingle frequency table; its size is fixed, and it only orders shingles.
 COUNTERS = 1 << 22
 _SLICES = 64
-#: Most cells of a set's sketch, sets of one side of a tile, and the list length up to which all pairs are looked at at once.
+#: Most cells of a sketch that goes with every list, sets of one side of a tile, and the list length up to which all pairs are looked at at once.
 SKETCH, TILE, SHORT = 1024, 2000, 64
-#: Scans that pair each set of a list with one partner, before the one that takes all pairs between components.
+#: Scans that pair each set of a list with one partner, before the one that looks at all pairs between components.
 PARTNER_ROUNDS = 2
 
 
@@ -83,8 +84,8 @@ class Rule:
         return total - 2 * -(-self.percent * total // (100 + self.percent))
 
     def cells(self, size: np.ndarray) -> np.ndarray:
-        """Width of a set's sketch: a power of two, 16 times what a partner of the same size may differ in, 64 to SKETCH."""
-        need = np.clip(16 * self.apart(2 * size), 64, SKETCH)
+        """Width of a set's whole sketch: a power of two, 16 times what a partner of the same size may differ in, 64 at least."""
+        need = np.maximum(16 * self.apart(2 * size), 64)
         return (1 << np.ceil(np.log2(need)).astype(np.int64)).astype(np.int64)
 
     def holds(self, overlap, a, b):
@@ -110,19 +111,28 @@ def _sketch(n: int, rule: Rule):
                 cell, times = np.unique(h % np.uint64(COUNTERS), return_counts=True)
                 table[cell] += times.astype(np.int32)
                 ids = batch.column(0).slice(a, b - a)
-                cells = np.bincount(doc * SKETCH + (h >> np.uint64(54)).astype(np.int64), minlength=(b - a) * SKETCH)
-                parity, cell = (cells & 1).astype(np.uint8).reshape(-1, SKETCH), rule.cells(size)
-                at = np.concatenate([[0], np.cumsum(cell // 8)])
+                cell = rule.cells(size)
+                begin = np.concatenate([[0], np.cumsum(cell)])
+                power = np.log2(cell).astype(np.uint64)
+                bits = (np.bincount(begin[doc] + (h >> (np.uint64(64) - power[doc])).astype(np.int64), minlength=begin[-1]) & 1).astype(np.uint8)
+                short = np.minimum(cell, SKETCH)
+                at = np.concatenate([[0], np.cumsum(short // 8)])
                 body = np.zeros(at[-1], np.uint8)
                 for w in np.unique(cell):
-                    own = np.flatnonzero(cell == w)
-                    body[at[own][:, None] + np.arange(w // 8)] = _fold(parity[own], w)
+                    for own in np.array_split(np.flatnonzero(cell == w), max(1, int(w * (cell == w).sum()) >> 24)):
+                        parity = bits[begin[own][:, None] + np.arange(w)]
+                        body[at[own][:, None] + np.arange(min(w, SKETCH) // 8)] = _fold(parity, min(w, SKETCH))
                 sketch = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(body)])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(key), pa.nulls(b - a, pa.int32()), sketch], names=["doc_id", "n", "key", "slice", "counts"])
+                # Sets of more cells have their whole sketch too, for the last scan.
+                long = cell > SKETCH
+                whole = np.packbits(bits[np.repeat(long, cell)])
+                long_at = np.concatenate([[0], np.cumsum(np.where(long, cell // 8, 0))])
+                wide = pa.Array.from_buffers(pa.binary(), b - a, [pa.py_buffer(np.packbits(long, bitorder="little")), pa.py_buffer(long_at.astype(np.int32)), pa.py_buffer(whole)])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(key), pa.nulls(b - a, pa.int32()), sketch, wide], names=["doc_id", "n", "key", "slice", "counts", "wide"])
         kind = ids.type if table.any() else pa.int64()
         if table.any():
             rows = [np.minimum(table[k * width : (k + 1) * width], 65535).astype(np.uint16).tobytes() for k in range(_SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, kind), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.array(range(_SLICES), pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "n", "key", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, kind), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.array(range(_SLICES), pa.int32()), pa.array(rows, pa.binary()), pa.nulls(_SLICES, pa.binary())], names=["doc_id", "n", "key", "slice", "counts", "wide"])
 
     return run
 
@@ -241,6 +251,7 @@ def _lists(rule: Rule):
         new = np.zeros(len(named), bool)
         new[np.unique(named, return_index=True)[1]] = True
         keep = np.repeat(new, length)
+        leading = np.minimum.reduceat(hk, first)[new] if len(hk) else hk
         hk, hs, hh, length = hk[keep], hs[keep], np.repeat(named, length)[keep], length[new]
         parts = np.repeat(-(-length // TILE), length)
         row = np.repeat(np.arange(len(hh)), parts)
@@ -249,51 +260,64 @@ def _lists(rule: Rule):
         low, high = np.minimum(salt, other), np.maximum(salt, other)
         token = mix64(hh[row] + ((low << 32) | high).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
         side = np.where(low == high, 2, (salt == high).astype(np.int64))
+        # Lists of the same near copies mostly have the same smallest set; the last scan deals them by it.
+        lead = mix64(np.repeat(leading, length)[row].view(np.uint64) + ((low << 32) | high).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         n, m = len(token), int(joined.sum())
         return pa.table({
             "light": np.arange(n + m) >= n, "token": np.concatenate([token, lk[hub][joined]]), "side": np.concatenate([side, np.full(m, 2)]).astype(np.int32),
             "key": np.concatenate([hk[row], lk[joined]]), "size": np.concatenate([hs[row], ls[joined]]).astype(np.int32),
+            "lead": np.concatenate([lead.astype(np.int32), np.zeros(m, np.int32)]),
         })
 
     return run
 
 
-def _narrowed(sketch: np.ndarray, width: np.ndarray, rows: np.ndarray, to: int) -> np.ndarray:
-    """Sketches of some rows, all `to` cells wide."""
-    out = sketch[rows, : to // 64]
+def _narrowed(sketch: np.ndarray, begin: np.ndarray, width: np.ndarray, rows: np.ndarray, to: int) -> np.ndarray:
+    """Sketches of some rows, all `to` cells wide. sketch: all rows' cells in longs, row k's from begin[k] on."""
+    out = np.empty((len(rows), to // 64), np.uint64)
     for w in np.unique(width[rows]):
-        if w > to:
-            at = np.flatnonzero(width[rows] == w)
-            bits = np.unpackbits(np.ascontiguousarray(sketch[rows[at], : w // 64]).view(np.uint8), axis=1)
-            out[at] = _fold(bits, to).view(np.uint64)
+        at = np.flatnonzero(width[rows] == w)
+        own = sketch[begin[rows[at]][:, None] + np.arange(w // 64)]
+        out[at] = own if w == to else _fold(np.unpackbits(own.view(np.uint8), axis=1), to).view(np.uint64)
     return out
 
 
-def _few_apart(a: np.ndarray, b: np.ndarray, size: np.ndarray, sketch: np.ndarray, width: np.ndarray, rule: Rule) -> np.ndarray:
-    """Which of the pairs (a, b) of rows sizes and sketches leave possible."""
-    most = rule.apart(size[a] + size[b])
-    possible = (most >= 0) & (np.abs(size[a] - size[b]) <= most)
-    at = np.flatnonzero(possible)
-    least = np.minimum(width[a[at]], width[b[at]])
-    for w in np.unique(least):
-        own = at[least == w]
-        for k in range(0, len(own), 50_000):
-            part = own[k : k + 50_000]
-            apart = np.bitwise_count(_narrowed(sketch, width, a[part], w) ^ _narrowed(sketch, width, b[part], w)).sum(axis=1, dtype=np.int64)
-            possible[part] = apart <= most[part]
-    return possible
-
-
-def _scan_bucket(rule: Rule, everything: bool, first_scan: bool):
-    """Scans the lists of a bucket: rows (0, a, b) are pairs to compare, (1, key, 0) sets with any possible partner, (2, token, 0)
+class _Sketches:
+    """Packed sketches of rows, and a test of pairs of them by sizes and sketches."""
+
+    def __init__(self, column, size: np.ndarray, rule: Rule):
+        self.cells, longs = unpacked(column, "u8")
+        self.begin, self.width, self.size, self.rule = np.cumsum(longs) - longs, longs * 64, size, rule
+
+    def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs (a, b) of rows sizes and sketches leave possible."""
+        most = self.rule.apart(self.size[a] + self.size[b])
+        out = (most >= 0) & (np.abs(self.size[a] - self.size[b]) <= most)
+        at = np.flatnonzero(out)
+        least = np.minimum(self.width[a[at]], self.width[b[at]])
+        for w in np.unique(least):
+            own, step = at[least == w], max(1, 50_000_000 // int(w))
+            for k in range(0, len(own), step):
+                part = own[k : k + step]
+                apart = np.bitwise_count(self._of(a[part], w) ^ self._of(b[part], w)).sum(axis=1, dtype=np.int64)
+                out[part] = apart <= most[part]
+        return out
+
+    def _of(self, rows: np.ndarray, to: int) -> np.ndarray:
+        if (self.width[rows] == to).all():
+            return self.cells[self.begin[rows][:, None] + np.arange(to // 64)]
+        kinds, where = np.unique(rows, return_inverse=True)
+        return _narrowed(self.cells, self.begin, self.width, kinds, to)[where]
+
+
+def _scan_bucket(rule: Rule, first_scan: bool):
+    """Pairs each set of a bucket's lists with one partner: rows (0, a, b) are pairs to compare, (1, key, 0) sets with any possible partner, (2, token, 0)
     lists with more possible pairs than were given. Only the first scan's rows of the last two kinds are used; others give none."""
 
     def run(table: pa.Table) -> pa.Table:
         token, key, comp = (table[c].to_numpy() for c in ("token", "key", "comp"))
         size, side = table["size"].to_numpy().astype(np.int64), table["side"].to_numpy()
-        cells, longs = unpacked(table["sketch"], "u8")
-        width, sketch = longs * 64, np.zeros((len(longs), SKETCH // 64), np.uint64)
-        sketch[np.arange(SKETCH // 64) < longs[:, None]] = cells
+        sketches = _Sketches(table["sketch"], size, rule)
         order = np.lexsort((key, token))
         cut = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
         length = np.diff(np.concatenate([cut, [len(order)]]))
@@ -303,7 +327,7 @@ def _scan_bucket(rule: Rule, everything: bool, first_scan: bool):
         def consider(a: np.ndarray, b: np.ndarray) -> None:
             use = comp[a] != comp[b]
             a, b = a[use], b[use]
-            use = _few_apart(a, b, size, sketch, width, rule)
+            use = sketches.possible(a, b)
             out_a.append(a[use])
             out_b.append(b[use])
 
@@ -321,33 +345,24 @@ def _scan_bucket(rule: Rule, everything: bool, first_scan: bool):
             alive.append(key[own])
             opened.append(token[own[:1]])
             left, right = own[side[own] != 1], own[side[own] != 0]
-            if not everything:
-                hubs = own[:16]
-                pairs = ((np.repeat(h, len(x)), x) for h in hubs for x in (left if side[h] == 1 else right,))
-            else:
-                kinds, counts = np.unique(comp[own], return_counts=True)
-                odd = own[comp[own] != kinds[counts.argmax()]]
-                pairs = ((np.repeat(x, len(y)), y) for x in odd for y in (left if side[x] == 1 else right,))
+            pairs = ((np.repeat(h, len(x)), x) for h in own[:16] for x in (left if side[h] == 1 else right,))
             for a, b in pairs:
                 consider(a, b)
         a, b = np.concatenate(out_a), np.concatenate(out_b)
-        if everything:
-            chosen_a, chosen_b = a, b
-        else:
-            # Of a set's possible partners in a list, the one with the smallest key.
-            x, y = np.concatenate([a, b]), np.concatenate([b, a])
-            order = np.lexsort((key[y], x))
-            x, y = x[order], y[order]
-            first = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
-            chosen_a, chosen_b = x[first], y[first]
-            # A list of which not all possible pairs were given stays open.
-            given = np.unique(np.minimum(chosen_a, chosen_b) * len(token) + np.maximum(chosen_a, chosen_b)) // max(1, len(token))
-            per, told = np.unique(token[a], return_counts=True)
-            gave, times = np.unique(token[given], return_counts=True)
-            have = np.zeros(len(per), np.int64)
-            have[np.searchsorted(per, gave)] = times
-            opened.append(per[told > have])
-            alive.append(np.concatenate([key[a], key[b]]))
+        # Of a set's possible partners in a list, the one with the smallest key.
+        x, y = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.lexsort((key[y], x))
+        x, y = x[order], y[order]
+        first = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+        chosen_a, chosen_b = x[first], y[first]
+        # A list of which not all possible pairs were given stays open.
+        given = np.unique(np.minimum(chosen_a, chosen_b) * len(token) + np.maximum(chosen_a, chosen_b)) // max(1, len(token))
+        per, told = np.unique(token[a], return_counts=True)
+        gave, times = np.unique(token[given], return_counts=True)
+        have = np.zeros(len(per), np.int64)
+        have[np.searchsorted(per, gave)] = times
+        opened.append(per[told > have])
+        alive.append(np.concatenate([key[a], key[b]]))
         low, high = np.minimum(key[chosen_a], key[chosen_b]), np.maximum(key[chosen_a], key[chosen_b])
         both = np.unique(np.stack([low, high], axis=1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
         keys, tokens = np.unique(np.concatenate(alive)), np.unique(np.concatenate(opened))
@@ -359,6 +374,52 @@ def _scan_bucket(rule: Rule, everything: bool, first_scan: bool):
     return run
 
 
+def _scan_rest(rule: Rule):
+    """All pairs of sets of different components that meet in some list of a group and that whole sketches leave possible, each once: (a, b).
+
+    Sets are taken in turn. In each list the largest component is passed over, since the others meet its sets. A list's
+    rows name their component; the group's sketches come once for each set.
+    """
+
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        known = told["set_key"].to_numpy()
+        order = np.argsort(known)
+        keys = known[order]
+        at = np.searchsorted(keys, table["key"].to_numpy())
+        token, side = table["token"].to_numpy(), table["side"].to_numpy()
+        size, comp = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        size[at], comp[at] = table["size"].to_numpy(), table["comp"].to_numpy()
+        sketches = _Sketches(told["sketch"].take(pa.array(order)), size, rule)
+        by = np.argsort(token, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], token[by][1:] != token[by][:-1]])) if len(by) else by
+        lists, open_to = [], {}
+        for rows in np.split(by, cut[1:]):
+            own, sides = at[rows], side[rows]
+            kinds, where, counts = np.unique(comp[own], return_inverse=True, return_counts=True)
+            if len(kinds) < 2:
+                continue
+            odd = where != counts.argmax()
+            # What sets of side 0, 1 and 2 meet: members in the largest component, and others.
+            lists.append([(own[met & ~odd], own[met & odd]) for met in (sides != 0, sides != 1, sides >= 0)])
+            for x, s in zip(own[odd].tolist(), sides[odd].tolist(), strict=True):
+                open_to.setdefault(x, []).append((len(lists) - 1, s))
+        out, mark = [np.zeros((0, 2), np.int64)], np.zeros(len(keys), np.uint8)
+        for x in sorted(open_to):
+            mark[:] = 0
+            for no, s in open_to[x]:
+                large, others = lists[no][s]
+                mark[large] |= 1
+                mark[others] |= 2
+            # Two odd ones of a list meet from either side; the smaller one takes the pair.
+            y = np.flatnonzero(((mark == 1) | ((mark > 1) & (np.arange(len(keys)) > x))) & (comp != comp[x]))
+            y = y[sketches.possible(np.full(len(y), x), y)]
+            out.append(np.sort(np.stack([np.full(len(y), keys[x]), keys[y]], axis=1), axis=1))
+        both = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    return run
+
+
 def _sets(n: int, slots):
     """Whole sets of the rows whose identifier's slot is marked."""
 
@@ -400,8 +461,8 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str =
     buckets = buckets or bucket_count(docs, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     kind = dict(rows.dtypes)["doc_id"]
-    told = stored(rows.mapInArrow(_sketch(n, rule), f"doc_id {kind}, n long, key long, slice int, counts binary"), "sets")
-    narrow = told.filter("slice is null").select("doc_id", "n", "key", F.col("counts").alias("sketch"))
+    told = stored(rows.mapInArrow(_sketch(n, rule), f"doc_id {kind}, n long, key long, slice int, counts binary, wide binary"), "sets")
+    narrow = told.filter("slice is null").select("doc_id", "n", "key", F.col("counts").alias("sketch"), "wide")
     ranks = np.zeros(COUNTERS, np.uint8)
     width = COUNTERS // _SLICES
     for r in told.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect():  # a fixed number of rows of fixed size
@@ -412,12 +473,13 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str =
     sizes = {r[0]: r[1] for r in narrow.filter("n > 0").groupBy(F.least("n", F.lit(64)).alias("n")).agg(F.count(F.lit(1))).collect()}  # at most 64 rows
     boundary = light_boundary(sizes, rule)
     packs = rows.select("body").mapInArrow(_postings(n, rule, boundary, rank, buckets), "bucket int, h binary, key binary, size binary")
-    lists = stored(packs.groupBy("bucket").applyInArrow(_lists(rule), "light boolean, token long, side int, key long, size int").distinct(), "lists")
+    lists = stored(packs.groupBy("bucket").applyInArrow(_lists(rule), "light boolean, token long, side int, key long, size int, lead int").distinct(), "lists")
     links = lists.filter("light").select(F.col("token").alias("a"), F.col("key").alias("b"))
     classes = narrow.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     sketches = narrow.filter("n > 0").groupBy("key").agg(F.first("sketch").alias("sketch"))
-    listed = lists.filter("not light").select("token", "side", "key", "size", unsigned_mod("token", buckets).alias("bucket"))
-    found = _scan(rows, narrow.select("doc_id", "key"), listed, sketches, rule, links, n)
+    whole = narrow.filter("n > 0").groupBy("key").agg(F.first(F.coalesce("wide", "sketch")).alias("sketch"))
+    listed = lists.filter("not light").select("token", "side", "key", "size", unsigned_mod("token", buckets).alias("bucket"), F.pmod("lead", F.lit(buckets)).alias("group"))
+    found = _scan(rows, narrow.select("doc_id", "key"), listed, sketches, whole, rule, links, n)
     comp = components(found)
     roots = comp.join(classes, comp["node"] == classes["key"]).groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = comp.join(roots, "component").select(F.col("node").alias("key"), "component_id")
@@ -446,14 +508,21 @@ def _members(rows: DataFrame, narrow: DataFrame, alive: DataFrame, n: int) -> Da
     return stored(given.join(chosen, same).select("key", "members"), "members")
 
 
-def _scan(rows: DataFrame, narrow: DataFrame, listed: DataFrame, sketches: DataFrame, rule: Rule, links: DataFrame, n: int) -> DataFrame:
-    """Links found in the lists, enough of them to connect what is connected. Lists get their sketches just before a scan."""
+def _scan(rows: DataFrame, narrow: DataFrame, listed: DataFrame, sketches: DataFrame, whole: DataFrame, rule: Rule, links: DataFrame, n: int) -> DataFrame:
+    """Links found in the lists, enough of them to connect what is connected. Lists get their sketches just before a scan.
+
+    The last scan is over lists dealt by their smallest set: near copies meet in few groups, each with one whole sketch of a set.
+    """
     state = listed.join(sketches, "key").withColumn("comp", F.col("key"))
     sets = tested = None
     for k in range(PARTNER_ROUNDS + 1):
         last = k == PARTNER_ROUNDS
-        said = stored(state.groupBy("bucket").applyInArrow(_scan_bucket(rule, last, k == 0), "kind int, a long, b long"), "scan")
-        pairs = said.filter("kind = 0").select("a", "b").distinct()
+        if last:
+            wide = state.select(F.col("group").alias("of_group"), F.col("key").alias("set_key")).distinct().join(whole.withColumnRenamed("key", "set_key"), "set_key")
+            pairs = state.groupBy("group").cogroup(wide.groupBy("of_group")).applyInArrow(_scan_rest(rule), "a long, b long").distinct()
+        else:
+            said = stored(state.groupBy("bucket").applyInArrow(_scan_bucket(rule, k == 0), "kind int, a long, b long"), "scan")
+            pairs = said.filter("kind = 0").select("a", "b").distinct()
         if sets is None:
             sets = _members(rows, narrow, said.filter("kind = 1").select(F.col("a").alias("key")).distinct(), n)
             listed = stored(listed.join(said.filter("kind = 2").select(F.col("a").alias("token")), "token", "left_semi"), "open")
@@ -465,5 +534,6 @@ def _scan(rows: DataFrame, narrow: DataFrame, listed: DataFrame, sketches: DataF
         if last:
             break
         comp = components(links).select(F.col("node").alias("key"), F.col("component").alias("to"))
-        state = listed.join(sketches, "key").join(comp, "key", "left").withColumn("comp", F.coalesce("to", "key")).drop("to")
+        near = listed if k + 1 == PARTNER_ROUNDS else listed.join(sketches, "key")
+        state = near.join(comp, "key", "left").withColumn("comp", F.coalesce("to", "key")).drop("to")
     return links

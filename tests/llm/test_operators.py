@@ -587,14 +587,80 @@ def test_jaccard_lists_keep_every_link(percent):
     lists = jaccard._lists(rule)(table).to_pandas()
     together = {(a, b) for _, g in lists.groupby("token") for a in g["key"] for b in g["key"]}
     width = rule.cells(size)
-    sketch = np.zeros((len(sets), jaccard.SKETCH // 64), np.uint64)
-    for i, s in enumerate(sets):
-        parity = (np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=jaccard.SKETCH) & 1).astype(np.uint8)
-        sketch[i, : width[i] // 64] = jaccard._fold(parity[None], width[i]).view(np.uint64)
+    cells = []
+    for s, w in zip(sets, width, strict=True):
+        parity = (np.bincount((s >> np.uint64(64 - int(np.log2(w)))).astype(np.int64), minlength=w) & 1).astype(np.uint8)
+        cells.append(np.packbits(parity).tobytes())
+    sketches = jaccard._Sketches(pa.chunked_array([pa.array(cells, pa.binary())]), size, rule)
     links = [(i, j) for i in key for j in key if i < j and rule.holds(len(np.intersect1d(sets[i], sets[j])), size[i], size[j])]
     assert len(links) > 20 and any(width[i] != width[j] for i, j in links)
     assert set(links) <= together
     a, b = np.array(links).T
-    assert jaccard._few_apart(a, b, size, sketch, width, rule).all()
+    assert sketches.possible(a, b).all()
     a, b = np.array([(i, j) for i in key for j in key if i < j and not len(np.intersect1d(sets[i], sets[j]))]).T
-    assert jaccard._few_apart(a, b, size, sketch, width, rule).mean() < 0.01
+    assert sketches.possible(a, b).mean() < 0.01
+
+
+def templates(n, slots=500, words=6000):
+    """Long texts that are alike but for `slots` places with two ways each; none links with another."""
+    rng = random.Random(n)
+    base = [f"w{k}" for k in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for k in range(slots):
+            own[k * (words // slots)] = f"s{k}{rng.choice('ab')}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_many_long_unlinked_near_copies_give_few_pairs(spark, monkeypatch, n, percent):
+    """Rows that the scans give, and pairs compared whole, don't grow with the square of a group."""
+    told = []
+    keep = jaccard.stored
+
+    def watched(df, name):
+        out = keep(df, name)
+        if name in ("scan", "pairs"):
+            told.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", watched)
+    counts = []
+    for k in (40, 80, 160):
+        told.clear()
+        docs = spark.createDataFrame(list(enumerate(templates(k))), "doc_id long, text string")
+        got = jaccard.jaccard_groups(docs, n, percent).collect()
+        assert all(r["doc_id"] == r["component_id"] for r in got) and len(got) == k
+        counts.append([x for _, x in told])
+    for a, b in zip(counts, counts[1:]):
+        assert all(y <= max(2.5 * x, 20) for x, y in zip(a, b, strict=True)), counts
+    assert counts[-1][-1] == 0  # the last scan's pairs
+
+
+def test_long_near_copies_link_across_components(spark, monkeypatch):
+    """Links that no partner scan has to find are found by the last one, tiles and folded sketches included."""
+    monkeypatch.setattr(jaccard, "TILE", 10)
+    rng, out = random.Random(2), []
+    for t in range(3):
+        for text in templates(20, 4, 1200 + 900 * t):
+            own = text.split()
+            for _ in range(rng.randrange(5, 35 + 30 * t)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(own[: len(own) - rng.randrange(0, 30)]))
+    sets = [shingles(x, 3) for x in out]
+    parent = list(range(len(out)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(out)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(docs).collect()}
+    assert got == {k: find(k) for k in range(len(out))} and 3 < len(set(got.values())) < len(out)
