@@ -9,15 +9,16 @@ successors; successors below HOT_SHARE are left to that smoothing with the mass
 only where the runs one shorter, at both ends, are frequent, and are summed in each task before they are sent. HOT_SHARE
 bounds this part: 1 / HOT_SHARE runs of each length.
 
-Spelling: with equal odds, a word behind the escape is spelled in bytes with a space behind it, or one of the rare words and
-a symbol for all unknown ones at even chances (the base, too, has one symbol for unknown words). The byte tree keeps a
-context (up to `DEPTH` bytes of the lower-cased text, across words) if it makes up at least `LEAST_SHARE` of the spelled
-bytes and its next-byte distribution diverges from that of its suffix by at least `LEAST_DIVERGENCE`; each byte is scored
-in the longest retained suffix. There are at most DEPTH / LEAST_SHARE contexts.
+A word behind the escape is one of the training words below HOT_SHARE, by their counts, with the probability that a rare
+training token is of a word seen more than once (what leaving one out says of meeting a known word), or else spelled in bytes with a space behind it; unknown words are
+only spelled, so the probabilities of all texts together are at most 1. The byte tree keeps a context (up to `DEPTH` bytes of
+the lower-cased text, across words) if it makes up at least `LEAST_SHARE` of the spelled bytes and its next-byte
+distribution diverges from that of its suffix by at least `LEAST_DIVERGENCE`; each byte is scored in the longest retained
+suffix. There are at most DEPTH / LEAST_SHARE contexts.
 
 Rare contexts, which grow with the corpus and stay distributed: the word before, if it isn't frequent. All its occurrences
-meet in one packed bucket, in which its successors are counted. It is retained unless leaving each occurrence out shows that
-it predicts no better than the suffix, and then smoothed towards that. Longer runs that aren't frequent are no contexts: to
+meet in one packed bucket, in which its successors are counted, as symbols: a frequent word, the end or the escape. It is
+retained if leaving each occurrence out shows that it predicts better than the suffix, and then smoothed towards that. Longer runs that aren't frequent are no contexts: to
 send one row a token there and back takes more disk than the limits of the check tool leave.
 
 The unigram base needs the count of every word; those of rare words are found in the same buckets.
@@ -42,8 +43,8 @@ LEAST_DIVERGENCE = 0.01
 HOT_SHARE = 2e-6
 #: Symbols of the longest frequent context.
 CONTEXT = 3
-#: Weight of the other parts against the occurrences of a rare context.
-SMOOTHING = 5.0
+#: Weight of the other parts against the occurrences of a rare context, and what leaving one out must gain in all (log10).
+SMOOTHING, LEAST_GAIN = 5.0, 1e-3
 #: Different hashes, and occurrences of rare words, that a task gathers before it sends them.
 _GATHERED, _SENT_AT_ONCE = 1_500_000, 400_000
 _SEGMENT = 256
@@ -365,9 +366,9 @@ class Words:
         return p
 
 
-def learn_words(texts: DataFrame, text: str, hot: np.ndarray, single: np.ndarray, buckets: int) -> Words:
+def learn_words(texts: DataFrame, text: str, hot: np.ndarray, single: np.ndarray, buckets: int, hot_share: float = HOT_SHARE) -> Words:
     """The frequent contexts of the training texts."""
-    least, keys, counts = max(2.0, HOT_SHARE * float(single.sum())), [], []
+    least, keys, counts = max(2.0, hot_share * float(single.sum())), [], []
     for _ in range(CONTEXT):
         packs = texts.select(text).mapInArrow(_count_runs(hot, keys, buckets), "bucket int, h binary, n binary")
         # At most 1 / HOT_SHARE runs.
@@ -378,11 +379,11 @@ def learn_words(texts: DataFrame, text: str, hot: np.ndarray, single: np.ndarray
 
 #: What a text's own row and a rare word's bucket add to the text.
 _DELTA = ("id", "tokens", "known", "log", "score")
-_KIND = {"h": "u8", "n": "i8", "id": "i8", "next": "u8", "local": "f4", "tokens": "i8", "known": "i4", "log": "f8", "score": "f8"}
-_HELD = {"h": "u8", "id": "i8", "next": "u8", "local": "f4"}
+_KIND = {"h": "u8", "n": "i8", "id": "i8", "next": "u8", "local": "f4", "own": "f4", "tokens": "i8", "known": "i4", "log": "f8", "score": "f8"}
+_HELD = {"h": "u8", "id": "i8", "next": "u8", "local": "f4", "own": "f4"}
 _SENT = "bucket int, " + ", ".join(f"{c} binary" for c in [*_HELD, *_DELTA[1:]])
 _SUMS = "bucket int, " + ", ".join(f"{c} binary" for c in _DELTA)
-#: A successor is known by 46 bits of its hash, above two marks: whether it is hot, and whether this is a training text.
+#: A successor is known by 46 bits of its hash, above two marks: whether it is no escape, and whether this is a training text.
 _HOT, _TRAIN, _NEXT = np.uint64(1), np.uint64(2), np.uint64(((1 << 46) - 1) << 2)
 
 
@@ -394,12 +395,30 @@ class Model(NamedTuple):
     hot: np.ndarray
     hot_counts: np.ndarray
     end_count: int
-    rare_kinds: int
+    odds: Rare
+
+
+class Rare(NamedTuple):
+    """Rare training tokens, and how many of them are of a word seen once."""
+
+    tokens: int
+    once: int
+
+    @property
+    def known(self) -> float:
+        """Probability of a training word behind the escape; never 1."""
+        return max(0.0, (self.tokens - self.once) / (self.tokens + 1))
+
+    def gain(self, count: np.ndarray, spelling: np.ndarray) -> np.ndarray:
+        """log10 of a word's probability behind the escape, less that of its spelling alone."""
+        with np.errstate(divide="ignore"):
+            listed = np.log(self.known / (1 - self.known) * count / max(1, self.tokens))
+        return np.logaddexp(0.0, listed - spelling * np.log(10.0)) / np.log(10.0)
 
 
 def _own_sums(model: Model, taught: np.ndarray, ids: np.ndarray, own: np.ndarray, starts: np.ndarray, ends: np.ndarray, word_at: np.ndarray) -> tuple[dict, dict]:
     """Of some texts: their sums by all contexts that are known everywhere, and the occurrences of rare words with their
-    successors and those' log10 probabilities so far."""
+    spelling, their successors as symbols, and those' log10 probabilities so far."""
     tree, contexts, hot = model.tree, model.contexts, model.hot
     n = np.diff(word_at)
     doc = np.repeat(np.arange(len(n)), n)
@@ -411,9 +430,8 @@ def _own_sums(model: Model, taught: np.ndarray, ids: np.ndarray, own: np.ndarray
     target = np.cumsum(ends - starts + 1) - (ends - starts + 1) + (DEPTH + 1) * doc + DEPTH
     spelling = byte_logs[target + (ends - starts) + 1] - byte_logs[target]
     local = np.log10(contexts.probabilities(_runs(contexts.keys, seq, place), place))
-    local[at[~is_hot]] += np.log10(0.5 * 10.0 ** spelling[~is_hot] + 0.5 / (model.rare_kinds + 1))
     stops = word_at[1:] + 2 * np.arange(len(n)) + 1
-    score = local[stops] + np.bincount(doc, local[at], minlength=len(n))
+    score = local[stops] + np.bincount(doc, local[at] + np.where(is_hot, 0.0, spelling + np.log10(1 - model.odds.known)), minlength=len(n))
     base = np.log10(model.end_count + 0.5) + np.bincount(doc[is_hot], np.log10(model.hot_counts + 0.5)[seq[at[is_hot]] - _FIRST], minlength=len(n))
     known = (int(model.end_count > 0) + np.bincount(doc[is_hot], minlength=len(n))).astype(np.int32)
     sums = {"id": ids, "tokens": n + 1, "known": known, "log": base, "score": score}
@@ -421,8 +439,8 @@ def _own_sums(model: Model, taught: np.ndarray, ids: np.ndarray, own: np.ndarray
     following[at] = h
     use = np.flatnonzero(~is_hot)
     next_ = at[use] + 1
-    mark = ((following[next_] >> np.uint64(16)) & _NEXT) | np.where(seq[next_] != _ESCAPE, _HOT, np.uint64(0)) | np.where(taught[doc[use]], _TRAIN, np.uint64(0))
-    return sums, {"h": h[use], "id": ids[doc[use]], "next": mark, "local": local[next_].astype(np.float32)}
+    mark = np.where(seq[next_] != _ESCAPE, ((following[next_] >> np.uint64(16)) & _NEXT) | _HOT, np.uint64(0)) | np.where(taught[doc[use]], _TRAIN, np.uint64(0))
+    return sums, {"h": h[use], "id": ids[doc[use]], "next": mark, "local": local[next_].astype(np.float32), "own": spelling[use].astype(np.float32)}
 
 
 def _padded(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -467,10 +485,10 @@ def _occurrences(model, buckets: int):
     return run
 
 
-def _met(h: np.ndarray, mark: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, ...]:
-    """What the occurrences of a bucket's rare words, in the order of h and successor, add to their texts: known words, base log and the contexts' gain."""
+def _met(h: np.ndarray, mark: np.ndarray, local: np.ndarray, own: np.ndarray, odds: Rare) -> tuple[np.ndarray, ...]:
+    """What the occurrences of a bucket's rare words, in the order of h and successor, add to their texts: known words, base log, and the gain of the contexts and of words that are known."""
     word = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
-    following = mark & _NEXT
+    following = mark & (_NEXT | _HOT)
     pair = np.concatenate([[0], np.cumsum((h[1:] != h[:-1]) | (following[1:] != following[:-1]))])
     train = (mark & _TRAIN) > 0
     c, c_pair = np.bincount(word, train)[word], np.bincount(pair, train)[pair]
@@ -478,11 +496,11 @@ def _met(h: np.ndarray, mark: np.ndarray, local: np.ndarray) -> tuple[np.ndarray
     mixed = (c_pair + SMOOTHING * p) / (c + SMOOTHING)
     # Leaving one out: what the other occurrences would have said of each training occurrence.
     without = np.log10((c_pair - 1 + SMOOTHING * p) / (c - 1 + SMOOTHING), where=train, out=np.zeros(len(p))) - np.where(train, local, 0)
-    kept = (np.bincount(word, without) > 0)[word] | (c == 1)
-    return (c > 0).astype(np.int32), np.log10(c + 0.5), np.where(kept, np.log10(mixed) - local, 0.0)
+    kept = (np.bincount(word, without) > LEAST_GAIN)[word]
+    return (c > 0).astype(np.int32), np.log10(c + 0.5), np.where(kept, np.log10(mixed) - local, 0.0) + odds.gain(c, own)
 
 
-def _deltas(buckets: int):
+def _deltas(buckets: int, odds: Rare):
     empty = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in _DELTA)])
 
     def run(table: pa.Table) -> pa.Table:
@@ -490,10 +508,11 @@ def _deltas(buckets: int):
         batches = table.filter(is_own).select(["bucket", *_DELTA]).combine_chunks().to_batches()
         told = table.filter(table["h"].is_valid())
         if told.num_rows:
-            h, ids, mark, local = _opened(told, "h", True), _opened(told, "id"), _opened(told, "next"), _opened(told, "local").astype(np.float64)
-            order = np.lexsort((mark & _NEXT, h))
+            h, ids, mark = _opened(told, "h", True), _opened(told, "id"), _opened(told, "next")
+            local, spelling = _opened(told, "local").astype(np.float64), _opened(told, "own").astype(np.float64)
+            order = np.lexsort((mark & (_NEXT | _HOT), h))
             ids = ids[order]
-            added = _met(h[order], mark[order], local[order])
+            added = _met(h[order], mark[order], local[order], spelling[order], odds)
             order = np.argsort(ids, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
             sums = {"id": ids[order][cut]} | {c: np.add.reduceat(x[order], cut) for c, x in zip(_DELTA[2:], added, strict=True)}
@@ -519,12 +538,12 @@ def _total(lost: float, tokens: int, kind: pa.DataType):
     return run
 
 
-def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train: Column | None = None, buckets: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train: Column | None = None, buckets: int | None = None, hot_share: float = HOT_SHARE) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Trained on the rows where `train` holds (by default crc32(identifier as text) mod 5 is not 1). Null text counts as
     empty and has the end token alone. Rows that repeat are counted and scored one by one; null identifiers stay, and
-    identifiers may be of any plain type. Without training rows every word is unknown and the tree is uniform. An empty
+    identifiers may be of any plain type. hot_share is the least share of a frequent word. Without training rows every word is unknown and the tree is uniform. An empty
     table gives an empty result; other columns aren't read, unless `train` does.
     """
     spark = docs.sparkSession
@@ -541,15 +560,15 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tra
     def totals(batches):
         for batch in batches:
             n, _ = unpacked(batch.column(0), "i8")
-            yield pa.RecordBatch.from_arrays([pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (len(n), int(n.sum()), int((n == 1).sum()))], names=["v", "n", "once"])
 
-    found = counts.select("n").mapInArrow(totals, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
+    found = counts.select("n").mapInArrow(totals, "v long, n long, once long").agg(F.sum("v"), F.sum("n"), F.sum("once")).first()
     kinds, tokens = (found[0] or 0) + int(ends > 0), (found[1] or 0) + ends
 
     def above(batches):
         for batch in batches:
             h, n = unpacked(batch.column(0), "u8")[0], unpacked(batch.column(1), "i8")[0]
-            use = n >= max(2.0, HOT_SHARE * tokens)
+            use = n >= max(2.0, hot_share * tokens)
             yield pa.RecordBatch.from_arrays([pa.array(h[use].astype(np.int64)), pa.array(n[use])], names=["h", "n"])
 
     # At most 1 / HOT_SHARE words.
@@ -558,11 +577,12 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tra
     order = np.argsort(hot)
     hot, hot_counts = hot[order], hot_counts[order]
     single = np.concatenate([[tokens - ends - hot_counts.sum(), ends], hot_counts])
+    odds = Rare(int(single[0]), found[2] or 0)
     # Every part of it is bounded by LEAST_SHARE or HOT_SHARE.
-    model = spark.sparkContext.broadcast(Model(learn(taught, "body", hot, buckets), learn_words(taught, "body", hot, single, buckets), hot, hot_counts, ends, kinds - int(ends > 0) - len(hot)))
+    model = spark.sparkContext.broadcast(Model(learn(taught, "body", hot, buckets), learn_words(taught, "body", hot, single, buckets, hot_share), hot, hot_counts, ends, odds))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(str(NO_ID))), body).alias("id"), body.alias("body"), F.coalesce(chosen, F.lit(False)).alias("taught"))
     sent = keyed.select("id", "body", "taught").mapInArrow(_occurrences(model, buckets), _SENT)
-    sums = sent.groupBy("bucket").applyInArrow(_deltas(buckets), _SUMS)
+    sums = sent.groupBy("bucket").applyInArrow(_deltas(buckets, odds), _SUMS)
     rows = keyed.select("doc_id", "id", unsigned_mod("id", buckets).alias("bucket"))
     lost = float(np.log10(tokens + 0.5 * (kinds + 1)))
     return rows.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(

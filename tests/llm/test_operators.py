@@ -338,18 +338,19 @@ def test_lm_frequent_words_have_contexts(spark):
     assert sum(r["score"] for r in held_out) / n > -0.1
 
 
-def brute_lm(rows, train):
+def brute_lm(rows, train, share=0.0):
     """score of each (text, taught): the same model with dictionaries, one token at a time."""
     texts = [WORDS.findall(lower(t or "")) for t in rows]
     count = Counter(w for ws, t in zip(texts, train, strict=True) if t for w in ws)
     ends = sum(train)
-    hot = {w for w, n in count.items() if n >= 2}
+    least = max(2, share * (sum(count.values()) + ends))
+    hot = {w for w, n in count.items() if n >= least}
     seqs = [["END", *(w if w in hot else "ESC" for w in ws), "END"] for ws in texts]
     single = Counter(x for q, t in zip(seqs, train, strict=True) if t for x in q[1:])
     mass = sum(single.values()) + 2
     first = lambda x: (single[x] + (x in ("END", "ESC"))) / mass
     runs = Counter(tuple(q[i : i + m]) for q, t in zip(seqs, train, strict=True) if t for m in range(2, lm.CONTEXT + 2) for i in range(len(q) - m + 1))
-    runs = {r: n for r, n in runs.items() if n >= 2}
+    runs = {r: n for r, n in runs.items() if n >= least}
     nexts = defaultdict(list)
     for r in runs:
         nexts[r[:-1]].append(r)
@@ -402,7 +403,9 @@ def brute_lm(rows, train):
             return back
         return (back * len(after[c]) + after[c].get(b, 0)) / (n + len(after[c]))
 
-    rare_kinds, scores, met = len(count) - len(hot), [], []
+    rare = [n for w, n in count.items() if w not in hot]
+    listed = (sum(rare) - rare.count(1)) / (sum(rare) + 1)
+    scores, met = [], []
     for k, (ws, q, t) in enumerate(zip(texts, seqs, train, strict=True)):
         total, said = 0.0, b"\n" * lm.DEPTH
         for i, x in enumerate(q[1:], 1):
@@ -412,11 +415,11 @@ def brute_lm(rows, train):
                 if x == "ESC":
                     full = said + body
                     spell = math.prod(spelled(full[j - lm.DEPTH : j], full[j]) for j in range(len(said), len(full)))
-                    local += math.log10(0.5 * spell + 0.5 / (rare_kinds + 1))
+                    total += math.log10((1 - listed) * spell + listed * count[ws[i - 1]] / max(1, sum(rare)))
                 said += body
             total += local
             if i > 1 and q[i - 1] == "ESC":
-                met.append((k, ws[i - 2], ws[i - 1] if i <= len(ws) else None, t, local))
+                met.append((k, ws[i - 2], (x, ws[i - 1]) if i <= len(ws) and x != "ESC" else (x, None), t, local))
         scores.append(total)
     of, pair = Counter(m[1] for m in met if m[3]), Counter(m[1:3] for m in met if m[3])
     gain = Counter()
@@ -424,19 +427,38 @@ def brute_lm(rows, train):
         if t:
             gain[w] += math.log10((pair[w, x] - 1 + lm.SMOOTHING * 10**local) / (of[w] - 1 + lm.SMOOTHING)) - local
     for k, w, x, _, local in met:
-        if gain[w] > 0 or of[w] == 1:
+        if gain[w] > lm.LEAST_GAIN:
             scores[k] += math.log10((pair[w, x] + lm.SMOOTHING * 10**local) / (of[w] + lm.SMOOTHING)) - local
     return scores
 
 
-def test_lm_scores_match_brute_force(docs, plain):
+@pytest.mark.parametrize("share", [0.0, 0.004])
+def test_lm_scores_match_brute_force(docs, plain, share):
     train = [k is None or zlib.crc32(str(k).encode()) % 5 != 1 for k, _ in plain]
-    want = sorted(zip((str(k) for k, _ in plain), brute_lm([t for _, t in plain], train), strict=True))
-    got = sorted((str(r["doc_id"]), r["score"]) for r in lm.score_texts(docs, buckets=5).collect())
+    want = sorted(zip((str(k) for k, _ in plain), brute_lm([t for _, t in plain], train, share), strict=True))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in lm.score_texts(docs, buckets=5, hot_share=share).collect())
     assert [k for k, _ in got] == [k for k, _ in want]
     assert all(abs(a - b) < 1e-4 * max(1, abs(b)) for (_, a), (_, b) in zip(got, want, strict=True))
 
 
+@pytest.mark.parametrize("share", [0.0, 0.05])
+def test_lm_probabilities_sum_to_at_most_one(spark, share):
+    """All texts of no word or one, known and unknown, and all continuations of a text by one word, frequent or rare."""
+    rng = random.Random(9)
+    kinds = ["the", "of", "cat", "dog", *[a + b for a in "abcde" for b in "xyz"]]
+    taught = [" ".join(rng.choices(kinds, [40, 20, 8, 4] + [1] * 15, k=rng.randrange(0, 9))) for _ in range(120)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = sorted({*kinds, *letters, *(a + b for a in letters for b in letters)})
+    begins = ["", "the ", "ax ", "of ax "]
+    docs = [(k, t) for k, t in enumerate(taught)] + [(1000 + k, None if not b else b.strip()) for k, b in enumerate(begins)] + [(10_000 * (k + 1) + i, b + w) for k, b in enumerate(begins) for i, w in enumerate(words)]
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), train=F.col("doc_id") < 1000, hot_share=share).collect()}
+    for k, _ in enumerate(begins):
+        total = 10 ** got[1000 + k] + sum(10 ** got[10_000 * (k + 1) + i] for i in range(len(words)))
+        # The text itself, and the text and one word more, are different texts.
+        assert 0 < total <= 1.0
+    assert 10 ** got[1000] + sum(10 ** got[10_000 + i] for i in range(len(words))) > 0.05
+
+
 def test_words_are_distributions():
     rng = np.random.default_rng(3)
     seq = np.concatenate([np.r_[1, np.where(rng.random(30) < 0.7, 2 + np.arange(30) % 4, rng.integers(0, 6, 30)), 1] for _ in range(80)])
