@@ -67,41 +67,86 @@ def best_photo_merge(primary: DataFrame, others: DataFrame) -> DataFrame:
     return kept.groupBy("pack_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["f"].withField("from_photo", x["from_photo"])).alias("findings"))
 
 
+def merge_elsewhere(primary: DataFrame, others: DataFrame) -> DataFrame:
+    """pack_id, elsewhere: what stands outside the list on the primary, then on the other usable photos in their order, each with its photo (0: the primary).
+
+    primary: pack_id, elsewhere; others: pack_id, photo_no, elsewhere.
+    """
+    own = primary.select("pack_id", F.lit(0).alias("from_photo"), "elsewhere")
+    parts = own.unionByName(others.select("pack_id", F.col("photo_no").alias("from_photo"), "elsewhere"))
+    marked = parts.select("pack_id", F.struct("from_photo", F.transform("elsewhere", lambda f: f.withField("from_photo", F.col("from_photo"))).alias("e")).alias("x"))
+    return marked.groupBy("pack_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"])).alias("elsewhere"))
+
+
+def first_name(screened: DataFrame) -> DataFrame:
+    """pack_id, any_name: the first photo's name that was read."""
+    named = screened.filter("name is not null")
+    return named.groupBy("pack_id").agg(F.min_by("name", "photo_no").alias("any_name"))
+
+
+#: What a pack takes from its primary photo, or from the stitched text.
+_PRIMARY = ["kind", "section", "quality", "findings", "elsewhere", "product", "name", "codes", "segments"]
+
+
+def _array(df: DataFrame, *names: str) -> DataFrame:
+    """df with empty arrays for nulls."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.withColumns({c: F.coalesce(F.col(c), F.array().cast(types[c])) for c in names})
+
+
+def screened_photos(photos: DataFrame, lexicon: Lexicon, settings: Settings | None) -> DataFrame:
+    """Each photo's screen with pack_id, photo_no and score; the two keys go through the screen as one identifier."""
+    keyed = photos.select(F.struct("pack_id", "photo_no").alias("label_id"), "text", "ocr_confidence")
+    screened = screen_labels(keyed, lexicon, settings).select("label_id.pack_id", "label_id.photo_no", "*").drop("label_id")
+    return screened.withColumn("score", photo_score(F.col("section"), F.col("quality"), F.col("findings")))
+
+
+def stitched_packs(photos: DataFrame, lexicon: Lexicon, settings: Settings | None) -> DataFrame:
+    """The screen of each pack's stitched text, where lines were joined: s_pack, joins, s_score, s."""
+    # The chains are read several times, so they are written once.
+    joined = stored(stitch_texts(photos.filter("text is not null")).filter("joins > 0"), "stitched")
+    screened = screen_labels(joined.select(F.struct("pack_id", "joins").alias("label_id"), "text"), lexicon, settings)
+    score = photo_score(F.col("section"), F.col("quality"), F.col("findings"))
+    return screened.select(F.col("label_id.pack_id").alias("s_pack"), F.col("label_id.joins").alias("joins"), score.alias("s_score"), F.struct(*_PRIMARY).alias("s"))
+
+
 def pack_verdict(photos: DataFrame, lexicon: Lexicon, settings: Settings | None = None) -> DataFrame:
-    """One row per pack: pack_id, photos, primary_no, joins, kind, section, verdict, findings, positives, alcoholic.
+    """One row per pack: pack_id, photos, primary_no, joins, kind, name, section, quality, verdict, findings, elsewhere, positives, codes, segments, alcoholic.
 
     photos: pack_id, photo_no, text, ocr_confidence. A pack of one photo keeps that photo's result. The best photo decides,
-    or the stitched text if it scores higher or has the longer list; primary_no is then -1.
+    or the stitched text if it scores higher or has the longer list; primary_no is then -1. The name is the primary's or
+    else the first that any photo has.
     """
-    keyed = photos.withColumn("label_id", F.concat_ws("#", F.col("pack_id").cast("string"), F.col("photo_no").cast("string")))
-    screened = screen_labels(keyed.select("label_id", "text", "ocr_confidence"), lexicon, settings)
-    screened = screened.join(keyed.select("label_id", "pack_id", "photo_no"), "label_id").withColumn("score", photo_score(F.col("section"), F.col("quality"), F.col("findings")))
-    screened = stored(screened, "photos")
+    photos = stored(photos.select("pack_id", "photo_no", "text", "ocr_confidence"), "pack-photos")
+    screened = stored(screened_photos(photos, lexicon, settings), "photos")
     best = best_photo(screened)
-    # The chains are slow to make and read three times, so they are written once.
-    joined = stored(stitch_texts(photos.filter("text is not null")).filter("joins > 0"), "stitched")
-    stitched = screen_labels(joined.select(F.col("pack_id").cast("string").alias("label_id"), "text"), lexicon, settings).withColumn("s_score", photo_score(F.col("section"), F.col("quality"), F.col("findings")))
-    stitched = stitched.join(joined.select(F.col("pack_id").alias("s_pack"), "joins"), F.col("label_id") == F.col("s_pack").cast("string")).select("s_pack", "joins", "s_score", F.struct("kind", "section", "quality", "findings", "product").alias("s"))
     facts = screened.groupBy("pack_id").agg(
         F.count(F.lit(1)).alias("photos"), F.bool_or("alcoholic").alias("any_alcoholic"), F.bool_or("had_chinese").alias("any_chinese"), F.bool_or(F.col("section.found") & ~F.col("quality.unreadable")).alias("any_list")
     )
-    row = best.join(facts, "pack_id").join(stitched, F.col("pack_id") == F.col("s_pack"), "left")
+    stitched = stitched_packs(photos, lexicon, settings)
+    row = best.join(facts, "pack_id").join(stitched, F.col("pack_id") == F.col("s_pack"), "left").join(first_name(screened), "pack_id", "left")
     longer = F.col("s.section.found") & F.col("section.found") & (F.length("s.section.text") > F.length("section.text"))
     wins = F.coalesce((F.col("photos") > 1) & ((F.col("s_score") > F.col("score")) | longer), F.lit(False))
-    row = row.withColumn("p", F.when(wins, F.col("s")).otherwise(F.struct("kind", "section", "quality", "findings", "product"))).withColumn("wins", wins)
+    row = row.withColumn("p", F.when(wins, F.col("s")).otherwise(F.struct(*_PRIMARY))).withColumn("wins", wins)
+    # Several results build on these rows.
+    row = stored(row.select("pack_id", "photos", "photo_no", "joins", "wins", "p", "any_name", "any_alcoholic", "any_chinese", "any_list", F.col("verdict").alias("own_verdict")), "packs")
     # The best single photo adds nothing of its own even where the stitched text has won.
     others = usable_photos(screened).join(best.select("pack_id", F.col("photo_no").alias("best_no")), "pack_id").filter("photo_no <> best_no")
     merged = best_photo_merge(row.select("pack_id", F.col("p.findings").alias("findings")), others.select("pack_id", "photo_no", "findings"))
+    aside = merge_elsewhere(row.select("pack_id", F.col("p.elsewhere").alias("elsewhere")), others.select("pack_id", "photo_no", "elsewhere"))
     counted = usable_photos(screened).unionByName(best.filter(F.col("quality.unreadable")))
-    marks = distinct_positives(counted).groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct("photo_no", "no", "term", "en", "note", "index", "kind"))).alias("marks"))
-    out = row.select("pack_id", "photos", "photo_no", "joins", "wins", "p", "any_alcoholic", "any_chinese", "any_list", F.col("verdict").alias("own_verdict"), F.col("alcoholic")).join(merged, "pack_id", "left").join(marks, "pack_id", "left")
-    types = {f.name: f.dataType for f in out.schema.fields}
-    out = out.withColumns({c: F.coalesce(F.col(c), F.array().cast(types[c])) for c in ("findings", "marks")})
+    marks = distinct_positives(counted).groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct("photo_no", "no", "term", "en", "note", "index", "kind"))).alias("positives"))
+    out = _array(row.join(merged, "pack_id", "left").join(aside, "pack_id", "left").join(marks, "pack_id", "left"), "findings", "elsewhere", "positives")
     noise = F.when(F.col("any_list"), F.lit(False)).otherwise(F.col("p.quality.unreadable"))
     nothing = F.lit(None).cast(out.select("p.product").schema[0].dataType)
-    food = food_verdict(F.col("findings"), F.col("marks"), F.col("p.section"), F.col("any_alcoholic"), noise, F.col("p.quality.coverage"), F.col("any_chinese"), nothing)
-    verdict = F.when(F.col("photos") == 1, F.col("own_verdict")).when(F.col("p.kind") == "nonfood", nonfood_verdict(F.col("findings"), F.col("p.section"), noise, F.col("p.product"))).otherwise(food)
-    return out.select("pack_id", "photos", F.when(F.col("wins"), -1).otherwise(F.col("photo_no")).alias("primary_no"), F.when(F.col("wins"), F.col("joins")).otherwise(0).alias("joins"), F.col("p.kind").alias("kind"), F.col("p.section").alias("section"), verdict.alias("verdict"), "findings", F.col("marks").alias("positives"), F.col("any_alcoholic").alias("alcoholic"))
+    food = food_verdict(F.col("findings"), F.col("positives"), F.col("p.section"), F.col("any_alcoholic"), noise, F.col("p.quality.coverage"), F.col("any_chinese"), nothing)
+    nonfood = nonfood_verdict(F.col("findings"), F.col("p.section"), noise, F.col("p.product"))
+    verdict = F.when(F.col("photos") == 1, F.col("own_verdict")).when(F.col("p.kind") == "nonfood", nonfood).otherwise(food)
+    return out.select(
+        "pack_id", "photos", F.when(F.col("wins"), -1).otherwise(F.col("photo_no")).alias("primary_no"), F.when(F.col("wins"), F.col("joins")).otherwise(0).alias("joins"),
+        F.col("p.kind").alias("kind"), F.coalesce("p.name", "any_name").alias("name"), F.col("p.section").alias("section"), F.col("p.quality").alias("quality"), verdict.alias("verdict"),
+        "findings", "elsewhere", "positives", F.col("p.codes").alias("codes"), F.col("p.segments").alias("segments"), F.col("any_alcoholic").alias("alcoholic"),
+    )
 
 
 def texts_from_lines(lines: DataFrame) -> DataFrame:

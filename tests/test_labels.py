@@ -4,14 +4,16 @@ import random
 import re
 import time
 
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from labelsieve.functions import text as tx
-from labelsieve.operators import codes, scan
+from labelsieve.operators import codes, matcher, scan
+from labelsieve.operators import findings as fi
 from labelsieve.operators import history as hi
 from labelsieve.operators import lines as ln
+from labelsieve.operators import segments as sg
 from labelsieve.operators.scan import scan_dictionary
 from labelsieve.operators.stitch import line_overlap, overlap_candidates, stitch_lines
 from labelsieve.plans import packs
@@ -187,6 +189,76 @@ def test_packs(spark, words):
     assert {r["pack_id"]: r["text"] for r in packs.combined_text(photos).collect()}[3] == "配料:水、酵母\n\n[photo 2]\n清真 生产者某某 猪油"
 
 
+def test_pack_results_in_full(spark, words):
+    """Elsewhere of primary and others, a name from another photo, codes, segments and quality."""
+    photos = spark.createDataFrame(
+        [
+            (1, 1, "肉丸 配料:水、白砂糖、乳化剂(471)", 90), (1, 2, "产品名称:香脆饼干\n明胶 配料:水、食用盐", 90), (1, 3, "乱码", 90),
+            (2, 1, "产品名称:绿茶\n配料:水", 90), (2, 2, None, None), (3, 1, None, None), (3, 2, "", None),
+        ], "pack_id long, photo_no int, text string, ocr_confidence int",
+    )
+    got = {r["pack_id"]: r for r in packs.pack_verdict(photos, words).collect()}
+    assert len(got) == 3 and got[1]["primary_no"] == 1
+    assert [(f["term"], f["from_photo"]) for f in got[1]["elsewhere"]] == [("肉丸", 0), ("明胶", 2)]
+    assert got[1]["name"]["zh"] == "香脆饼干" and got[2]["name"]["zh"] == "绿茶" and got[3]["name"] is None
+    assert [c["code"] for c in got[1]["codes"]] == ["471"] and [x["zh"] for x in got[1]["segments"]] == ["水", "白砂糖", "乳化剂", "471"][: len(got[1]["segments"])]
+    assert got[1]["quality"]["ocr_confidence"] == 90 and got[3]["verdict"]["level"] == "unknown"
+
+
+def test_product_findings_are_counted_where_they_stand(spark, words):
+    from labelsieve.sources.tables import Lexicon
+
+    dictionary = load_dictionary(spark.createDataFrame([(0, "火腿", "likely", "ham", "", "meat", ""), (1, "水", "ok", "water", "", "", "")], "ord int, term string, status string, en string, py string, category string, note string"))
+    products = load_products(spark.createDataFrame([(0, "火腿", "likely", "ham", "pork", "")], "ord int, names string, level string, en string, typical string, note string"))
+    own = Lexicon(dictionary, dictionary, words.codes, products, words.products_nonfood)
+    rows = [(1, "产品名称: 火腿\n配料: 水", "site"), (2, "火腿", None), (3, "火腿 火腿", None), (4, "产品名称: 火腿\n配料: 水", None)]
+    got = {r["label_id"]: r for r in screen_labels(spark.createDataFrame(rows, "label_id long, text string, web_source string"), own).collect()}
+    told = lambda k, c: [(f["term"], f["source"], f["count"]) for f in got[k][c]]
+    assert told(1, "findings") == [] and told(1, "elsewhere") == [("火腿", "dict", 2)] and got[1]["verdict"]["level"] == "likely"
+    assert told(2, "findings") == [("火腿", "dict", 2)] and told(3, "findings") == [("火腿", "dict", 3)]
+    assert told(4, "elsewhere") == [("火腿", "dict", 1)] and got[4]["verdict"]["level"] == "clean"
+
+
+def test_segments_from_the_labels_own_scan(spark, words):
+    """Pieces of a part of a text, words cut by its ends included, have the hits of a scan of their own."""
+    rng = random.Random(21)
+    parts = ["猪肉", "白砂糖", "halal", "HALAL", "x", "、", "，", "(", ")", " ", "12", "%", "鱿鱼肉松", "\n", "·", "单,双甘油脂肪酸酯"]
+    rows = []
+    for k in range(300):
+        text = "".join(rng.choices(parts, k=rng.randrange(0, 25)))
+        a, b = sorted((rng.randrange(len(text) + 1), rng.randrange(len(text) + 1)))
+        rows.append((k, text, a, b))
+    terms = scan.food_terms(words.dictionary)
+    table = spark.createDataFrame(rows, "label_id long, norm string, a int, b int")
+    seen = scan.with_occurrences(table, ["label_id"], "norm", terms, {"food": (["food"], "all")})
+    cut = sg.label_pieces(terms)(F.col("norm"), F.col("a"), F.col("b"), F.transform("food", lambda h: h["start"]), F.transform("food", lambda h: -h["neg_len"]))
+    own = seen.withColumn("cut", cut).withColumn("cut", sg.label_segments(F.col("cut"), F.col("food"))).select("label_id", F.explode(sg.judged_segments(F.col("cut"))).alias("s")).select("label_id", "s.*")
+    scanned = sg.segment(table.withColumn("scope", F.expr("substring(norm, a + 1, b - a)")), ["label_id"], "scope", terms)
+    got, want = (sorted(tuple(r) for r in df.select("label_id", "seg_no", "zh", "en", "status", "coverage").collect()) for df in (own, scanned))
+    assert got == want and len(got) > 300
+
+
+def test_dedupe_is_linear(spark):
+    found = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(9_999)), lambda k: F.struct(F.concat(F.lit("t"), (k % 3000).cast("string")).alias("term"), *[F.lit("").alias(c) for c in ("en", "py")], F.when(k % 2 == 0, "haram").otherwise("ok").alias("status"), *[F.lit("").alias(c) for c in ("category", "note")], k.alias("index"), F.lit("dict").alias("source"))).alias("f"))
+    began = time.time()
+    out = fi.dedupe_findings(found, "f", "f").first()["f"]
+    assert time.time() - began < 30
+    first = {}
+    for k in range(10_000):
+        first.setdefault((k % 3000, k % 2), []).append(k)
+    assert [(x["index"], x["count"]) for x in out] == [(v[0], len(v)) for v in first.values()]
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    rows = pa.table({"kind": ["food"] * 4, "ord": pa.array([0, 1, 2, 3], pa.int32()), "term": ["猪肉", "halal", "猪肉松", "肉"], "exact": [False] * 4} | {c: [""] * 4 for c in ("status", "en", "py", "category", "note")})
+    rng = random.Random(3)
+    text = "".join(rng.choices(["猪肉", "松", "halal", " ", "x", "HALAL ", "肉"], k=400))
+    whole = matcher.Matcher(rows).seek([text, None, "猪肉"]).column().to_pylist()
+    monkeypatch.setattr(matcher, "STEP", 17)
+    assert matcher.Matcher(rows).seek([text, None, "猪肉"]).column().to_pylist() == whole
+    assert len(whole[0]) > 200 and whole[1] == [] and [h["term"] for h in whole[2]] == ["猪肉", "肉"]
+
+
 def test_web_lists(spark, words):
     bare = screen_labels(spark.createDataFrame([(1, "绿茶"), (2, "火腿肠")], "label_id long, text string"), words)
     catalogue = spark.createDataFrame([("绿茶", "site", "水、茶叶"), ("火腿肠", "site", "水、淀粉")], "product_name string, site string, list_text string")
