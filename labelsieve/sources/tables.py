@@ -173,8 +173,22 @@ def read_lines(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
-def write_results(screened: DataFrame, path: str) -> None:
-    """Wide labels by verdict level, and the child tables of findings, positives and segments."""
-    screened.withColumn("level", F.col("verdict.level")).write.mode("overwrite").partitionBy("level").parquet(f"{path}/labels")
-    for child in ("findings", "elsewhere", "positives", "segments"):
-        screened.select("label_id", F.explode(child).alias("x")).select("label_id", "x.*").write.mode("overwrite").parquet(f"{path}/{child}")
+#: Child tables of a result, one row per element of an array.
+CHILDREN = ["findings", "elsewhere", "positives", "codes", "segments"]
+
+
+def write_results(screened: DataFrame, path: str, day: str, labels: DataFrame | None = None) -> None:
+    """The results of one day's run: wide labels by verdict level, the child tables, and history rows.
+
+    Every table is partitioned by day, and a run writes its day's folders only: a run that is repeated leaves one copy, also
+    of labels whose level has changed, and other days stay as they are. History (user_id, ts, text, verdict_level, title,
+    name) is written where `labels` says whose labels they are (label_id, user_id, ts).
+    """
+    top = path.rstrip("/")
+    own = lambda df, name: df.write.mode("overwrite").parquet(f"{top}/{name}/day={day}")
+    screened.withColumn("level", F.col("verdict.level")).write.mode("overwrite").partitionBy("level").parquet(f"{top}/labels/day={day}")
+    for child in CHILDREN:
+        own(screened.select("label_id", F.posexplode(child).alias("no", "x")).select("label_id", "no", *[F.col(f"x.{c}").alias("place" if c == "no" else c) for c in screened.schema[child].dataType.elementType.names]), child)
+    if labels is not None:
+        told = screened.select("label_id", F.col("normalized").alias("text"), F.col("verdict.level").alias("verdict_level"), F.col("verdict.title").alias("title"), F.col("name.zh").alias("name"))
+        own(labels.select("label_id", "user_id", "ts").join(told, "label_id").select("user_id", "ts", "text", "verdict_level", "title", "name"), "history")

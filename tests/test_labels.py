@@ -58,7 +58,7 @@ CASES = {
 }
 
 
-def test_golden_cases(spark, words, tmp_path):
+def test_golden_cases(spark, words):
     table = spark.createDataFrame([*enumerate(CASES), (99, None)], "label_id long, text string")
     screened = screen_labels(table, words)
     got = {r["label_id"]: r for r in screened.collect()}
@@ -76,8 +76,6 @@ def test_golden_cases(spark, words, tmp_path):
             if f["source"] in ("dict", "rule"):
                 assert s["text"][s["offset"] : s["offset"] + s["length"]] == f["term"]
         assert 0 <= r["quality"]["coverage"] <= 1
-    write_results(screened, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out" / "labels")).count() == len(CASES) + 1
     strict = screen_labels(spark.createDataFrame([(1, "配料:虾、食用香精")], "label_id long, text string"), words, Settings(seafood_strict=True, flag_flavourings=True)).first()
     assert [f["status"] for f in strict["findings"]] == ["school", "caution"]
 
@@ -134,6 +132,34 @@ def test_dictionaries(spark, words):
     assert [r["ord"] for r in hi.page(words.dictionary, 2, 1).collect()] == [1, 2]
 
 
+def test_results_of_a_day_are_written_once(spark, words, tmp_path):
+    schema, out = "label_id long, text string", str(tmp_path / "out")
+    first = spark.createDataFrame([(1, "配料:猪肉"), (2, "配料:水(E120)")], schema)
+    owner = spark.createDataFrame([(1, 7, 100), (2, 8, 101)], "label_id long, user_id long, ts long")
+    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    write_results(screen_labels(first, words), out, "2024-05-01", owner)
+    write_results(screen_labels(spark.createDataFrame([(3, "配料:水、食用盐")], schema), words), out, "2024-05-02")
+    # The day runs again, and a label's level has changed.
+    write_results(screen_labels(spark.createDataFrame([(1, "配料:水、食用盐"), (2, "配料:水(E120)")], schema), words), out, "2024-05-01", owner)
+    assert sorted((str(r["day"]), r["label_id"], r["level"]) for r in read("labels").collect()) == [("2024-05-01", 1, "clean"), ("2024-05-01", 2, "doubtful"), ("2024-05-02", 3, "clean")]
+    assert [(r["label_id"], r["code"]) for r in read("codes").collect()] == [(2, "120")]
+    assert sorted((r["label_id"], r["no"], r["zh"]) for r in read("segments").filter("label_id <> 2").collect()) == [(1, 0, "水"), (1, 1, "食用盐"), (3, 0, "水"), (3, 1, "食用盐")]
+    history = read("history")
+    assert sorted((r["user_id"], r["ts"], r["verdict_level"]) for r in history.collect()) == [(7, 100, "clean"), (8, 101, "doubtful")]
+    assert hi.history_preview(history).count() == hi.latest_history(history).count() == 2
+
+
+def test_lookups_by_stretches(spark):
+    rng = random.Random(17)
+    entries = [(k, "".join(rng.choices("猪肉油水ab", k=rng.randrange(1, 6))), "".join(rng.choices("abc de", k=rng.randrange(0, 9))), "".join(rng.choices("zhū āi", k=rng.randrange(0, 7)))) for k in range(80)]
+    dictionary = spark.createDataFrame(entries, "ord int, term string, en string, py string")
+    asked = [(k, "".join(rng.choices("猪肉油abc zhuai", k=rng.randrange(0, 5)))) for k in range(300)] + [(1000 + k, " 猪肉 ") for k in range(50)] + [(2000, None)]
+    got = {tuple(r) for r in hi.lookup_many(spark.createDataFrame(asked, "query_id long, query string"), dictionary).collect()}
+    plain = {r["ord"]: r["p"] for r in dictionary.select("ord", tx.strip_tones("py").alias("p")).collect()}
+    want = {(k, o, t) for k, q in asked if q and q.strip() for o, t, e, _ in entries if any(q.strip().lower() in x for x in (t.lower(), e.lower(), plain[o]))}
+    assert got == want and len(want) > 300
+
+
 def test_stitching(spark):
     assert line_overlap("甲乙丙丁", "乙丙丁戊") == 3 and line_overlap("甲乙丙丁", "xxx乙丙丁戊") is None and line_overlap("abcdef", "bcdefg") is None
     assert stitch_lines(["配料:水、白砂糖、小麦", "白砂糖、小麦粉、盐", None]) == ("配料:水、白砂糖、小麦粉、盐", 1)
