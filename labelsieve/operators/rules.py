@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelsieve.functions.text import CJK
-from labelsieve.operators.scan import BEFORE
 from labelsieve.sources import fixed
+from labelsieve.sources.rules import rule_rows
 
 
 def prev_match_guard(hit: Column, previous: Column) -> Column:
@@ -37,67 +37,42 @@ def apply_settings(status: Column, category: Column, nonfood: Column, seafood_st
     return F.when(~nonfood & (strict == "caution") & (category == "flavour") & ~F.lit(flag_flavourings), "note").otherwise(strict)
 
 
-def _rule(back: int, ahead: int, status, category: str, en, note: str) -> Column:
-    as_column = lambda x: F.lit(x) if isinstance(x, str) else x
-    return F.struct(F.lit(back).alias("back"), F.lit(ahead).alias("ahead"), as_column(status).alias("status"), F.lit(category).alias("category"), as_column(en).alias("en"), F.lit(note).alias("note"))
-
-
-def character_rule(ch: Column, before: Column, after: Column) -> Column:
-    """Struct of what an uncovered character means, with how far its word reaches; null: nothing."""
-    prev, following = F.substring(before, -1, 1), F.substring(after, 1, 1)
-    around = F.concat(F.lpad(before, BEFORE, "\0"), ch, after)
-    excepted = F.lit(False)
-    for word in fixed.RULE_EXCEPTIONS:
-        for k, c in enumerate(word):
-            excepted = excepted | ((ch == c) & (F.substring(around, BEFORE + 1 - k, len(word)) == word))
-    named = F.create_map(*[F.lit(x) for p in fixed.SPECIES.items() for x in p])
-    animal = F.create_map(*[F.lit(x) for p in fixed.FORBIDDEN_ANIMALS.items() for x in p])
-    kind = named[prev]
-    plant = prev.isin(*fixed.MEAT_PLANT_PREFIX) | following.isin(*fixed.MEAT_PLANT_SUFFIX) | (prev == "素")
-    nothing = F.lit(None)
-    return (
-        F.when(excepted, nothing)
-        .when(ch.isin(*fixed.PORK), _rule(1, 4, "haram", "pork", F.concat(F.lit("from pork ("), ch, F.lit(")")), "anything of pig is pork"))
-        .when(ch.isin(*fixed.FORBIDDEN_ANIMALS), _rule(1, 3, "haram", "animal", animal[ch], "animal that is not permitted"))
-        .when(ch == "肉", F.when(plant, nothing).when(kind.isNotNull(), _rule(2, 2, "meat", "meat", F.concat(kind, F.lit(" meat")), "permitted species; slaughter has to be known")).otherwise(_rule(2, 2, "likely", "meat", "meat of an unnamed species", "unnamed meat is mostly pork")))
-        .when(ch == "血", F.when(following.isin(*fixed.BLOOD_SKIP), nothing).when(prev.isin(*fixed.BLOOD_PREFIX), _rule(1, 2, "haram", "blood", "blood", "blood is not permitted")).otherwise(_rule(1, 2, "review", "blood", "perhaps blood", "see what the character stands for")))
-        .when(ch == "骨", F.when(following.isin(*fixed.BONE_SKIP) | prev.isin(*fixed.BONE_SKIP_BEFORE), nothing).when(kind.isNotNull(), _rule(2, 2, "meat", "meat", F.concat(kind, F.lit(" bone")), "permitted species; slaughter has to be known")).otherwise(_rule(2, 2, "likely", "meat", "bone of an unnamed species", "unnamed bone is mostly pork")))
-        .when(ch == "酒", F.when(following.isin(*fixed.LIQUOR_SKIP), nothing).otherwise(_rule(2, 2, "review", "alcohol", "perhaps alcohol", "see whether liquor is meant")))
-        .when(ch == "胶", F.when(following == "囊", _rule(1, 1, "doubtful", "gelatin", "capsule", "shells are gelatin unless a plant is named")).otherwise(_rule(2, 1, "review", "gelatin", "unknown gum or gel", "a plant gum or gelatin")))
-        .when(ch.isin(*fixed.SPECIES), F.when(following.isin(*fixed.SPECIES_SKIP), nothing).otherwise(_rule(1, 3, "meat", "meat", F.concat(named[ch], F.lit(" (animal)")), "permitted species; slaughter has to be known")))
-    )
-
-
-def generic_rules(text: Column, triggers: Column, hits: Column) -> Column:
+def generic_rules(text: Column, matches: Column, hits: Column) -> Column:
     """Findings of the character rules, left to right: array of (start, end, status, category, en, note).
 
-    triggers: array of (start, term, before, after) of single characters; hits: the dictionary's matches. A word is cut
-    at other than Chinese characters and at hits. A found word uses up its characters, so the fold keeps one number,
-    the end of the last word. Words near an address character are dropped, except pork, and use up nothing.
+    matches: occurrences of the rule table's patterns; hits: the dictionary's matches, which no rule looks into. At a
+    character the first matching row counts. A word is cut at other than Chinese characters and at hits. A found word
+    uses up its characters, so the fold keeps the end of the last word and the last character looked at. Words near an
+    address character are dropped, except pork, and use up nothing.
     """
-    free = F.filter(triggers, lambda t: ~F.exists(hits, lambda h: (h["start"] <= t["start"]) & (t["start"] < h["start"] - h["neg_len"])))
+    rows = rule_rows()
+    place_of, back_of, ahead_of = (F.array(*[F.lit(getattr(r, c)) for r in rows]) for c in ("place", "back", "ahead"))
 
-    def reach(t: Column) -> Column:
-        left = F.coalesce(F.array_max(F.transform(F.filter(hits, lambda h: h["start"] - h["neg_len"] <= t["start"]), lambda h: h["start"] - h["neg_len"])), F.lit(0))
-        right = F.coalesce(F.array_min(F.transform(F.filter(hits, lambda h: h["start"] > t["start"]), lambda h: h["start"])), F.length(text))
-        rule = character_rule(t["term"], t["before"], t["after"])
-        run_back, run_ahead = F.length(F.regexp_extract(t["before"], f"({CJK}*)$", 1)), F.length(F.regexp_extract(t["after"], f"^({CJK}*)", 1))
-        start = t["start"] - F.least(rule["back"], run_back, t["start"] - left)
-        end = t["start"] + 1 + F.least(rule["ahead"], run_ahead, right - t["start"] - 1)
-        return F.struct(t["start"].alias("at"), start.cast("int").alias("start"), end.cast("int").alias("end"), rule.alias("rule"))
+    def placed(m: Column) -> Column:
+        place = F.get(place_of, m["ord"])
+        before, after = F.concat(m["before"], F.substring(m["term"], F.lit(1), place)), F.concat(F.substring(m["term"], place + 2, F.length(m["term"])), m["after"])
+        return F.struct((m["start"] + place).alias("at"), *[m[c].alias(c) for c in ("ord", "status", "category", "en", "note")], before.alias("before"), after.alias("after"))
 
-    sized = F.filter(F.transform(F.array_sort(free), reach), lambda x: x["rule"].isNotNull())
-    none = F.transform(F.filter(sized, lambda x: F.lit(False)), lambda x: _found(x, x["start"]))
+    free = F.filter(F.transform(matches, placed), lambda x: ~F.exists(hits, lambda h: (h["start"] <= x["at"]) & (x["at"] < h["start"] - h["neg_len"])))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = F.greatest(x["start"], acc["at"])
-        near = F.substring(text, F.greatest(start - 2, F.lit(0)) + 1, x["end"] - start + 4)
-        drop = (x["at"] < acc["at"]) | ((x["rule"]["category"] != "pork") & near.rlike(fixed.ADDRESS))
-        return F.when(drop, acc).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(_found(x, start))).alias("out")))
+    def reach(x: Column) -> Column:
+        left = F.coalesce(F.array_max(F.transform(F.filter(hits, lambda h: h["start"] - h["neg_len"] <= x["at"]), lambda h: h["start"] - h["neg_len"])), F.lit(0))
+        right = F.coalesce(F.array_min(F.transform(F.filter(hits, lambda h: h["start"] > x["at"]), lambda h: h["start"])), F.length(text))
+        run_back, run_ahead = F.length(F.regexp_extract(x["before"], f"({CJK}*)$", 1)), F.length(F.regexp_extract(x["after"], f"^({CJK}*)", 1))
+        start = x["at"] - F.least(F.get(back_of, x["ord"]), run_back, x["at"] - left)
+        end = x["at"] + 1 + F.least(F.get(ahead_of, x["ord"]), run_ahead, right - x["at"] - 1)
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), *[x[c].alias(c) for c in ("status", "category", "en", "note")], x["at"].alias("at"))
 
-    return F.aggregate(sized, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    sized = F.transform(F.array_sort(free), reach)
+    found = lambda x, start: F.struct(start.cast("int").alias("start"), *[x[c].alias(c) for c in ("end", "status", "category", "en", "note")])
+    none = F.transform(F.filter(sized, lambda x: F.lit(False)), lambda x: found(x, x["start"]))
 
+    def step(acc: Column, x: Column) -> Column:
+        start = F.greatest(x["start"], acc["end"])
+        near = F.substring(text, F.greatest(start - 2, F.lit(0)) + 1, x["end"] - start + 4)
+        drop = (x["status"] == "") | (x["at"] < acc["end"]) | ((x["category"] != "pork") & near.rlike(fixed.ADDRESS))
+        seen = F.struct(acc["end"].alias("end"), x["at"].alias("last"), acc["out"].alias("out"))
+        taken = F.struct(x["end"].alias("end"), x["at"].alias("last"), F.concat(acc["out"], F.array(found(x, start))).alias("out"))
+        return F.when(x["at"] == acc["last"], acc).when(drop, seen).otherwise(taken)
 
-def _found(x: Column, start: Column) -> Column:
-    r = x["rule"]
-    return F.struct(start.cast("int").alias("start"), x["end"].alias("end"), r["status"].alias("status"), r["category"].alias("category"), r["en"].alias("en"), r["note"].alias("note"))
+    return F.aggregate(sized, F.struct(F.lit(0).alias("end"), F.lit(-1).alias("last"), none.alias("out")), step, lambda acc: acc["out"])

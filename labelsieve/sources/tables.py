@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from labelsieve.sources import fixed
+from labelsieve.sources.rules import rule_rows
 
 #: A lexicon up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -112,6 +113,12 @@ def phrases(spark: SparkSession, kind: str, words: list[str]) -> DataFrame:
     return local_table(spark, [(kind, k, w) for k, w in enumerate(words)], "kind string, ord int, term string")
 
 
+def rule_terms(spark: SparkSession) -> DataFrame:
+    """The character rules as terms to be sought with all others; ord is a row's place, the order of precedence."""
+    rows = [("rule", k, r.pattern, True, r.status, r.en, "", r.category, r.note) for k, r in enumerate(rule_rows())]
+    return local_table(spark, rows, "kind string, ord int, term string, exact boolean, status string, en string, py string, category string, note string")
+
+
 @dataclass
 class Lexicon:
     """All word tables of a screening job."""
@@ -145,11 +152,10 @@ class Lexicon:
         def named(kind: str, df: DataFrame, exact: bool) -> DataFrame:
             return df.select(F.lit(kind).alias("kind"), "ord", F.col("alias").alias("term"), F.lit(exact).alias("exact"), F.col("level").alias("status"), "en", F.col("typical").alias("py"), gap.alias("category"), "note")
 
-        rule = [*fixed.PORK, *fixed.FORBIDDEN_ANIMALS, "肉", "血", "骨", "酒", "胶", *fixed.SPECIES]
         parts = [
             entries("food", self.dictionary), entries("nonfood", self.nonfood), named("product", self.products, False), named("product_nonfood", self.products_nonfood, True),
             plain("start", fixed.SECTION_STARTS), plain("start_nonfood", fixed.SECTION_STARTS_NONFOOD), plain("end", fixed.SECTION_ENDS),
-            plain("strong", self.detect_strong), plain("weak", self.detect_weak), plain("rule", rule), plain("code", ["E", "INS"]), plain("paren", ["("]),
+            plain("strong", self.detect_strong), plain("weak", self.detect_weak), rule_terms(spark), plain("code", ["E", "INS"]), plain("paren", ["("]),
         ]
         out = parts[0]
         for p in parts[1:]:
