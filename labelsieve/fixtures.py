@@ -14,6 +14,10 @@ PIECES = [
     "清真", "虾", "增稠剂(INS 407、412)", "鸡蛋", "halal", "羊排", "酵母", "大骨汤", "料酒", "椰子水", "肉丸", "胶原蛋白", "巧克力", "不含猪肉", "甘油",
 ]
 NAMES = ["香脆面包", "橡皮糖", "牛肉干", "巧克力派", "清风湿巾", "绿茶", "火腿肠"]
+#: Pieces whose characters meet all kinds of character rules, side by side.
+RULE_PIECES = [
+    "果", "肉", "桂", "牛", "猪", "骨", "骨干", "血", "血糖", "鸭", "酒", "酒店", "胶", "胶囊", "蛇果", "驴打滚", "驴", "狗", "鸡蛋", "鸡", "村", "路", "、", "a", "鱼", "水", "糖", "松",
+]
 LATIN = ["the", "of", "and", "that", "der", "die", "und", "les", "que", "del", "trash", "stupid"]
 
 
@@ -36,10 +40,22 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("label_id", F.when(F.col("label_id") % 3 == 0, wide).otherwise(whole).alias("text"))
 
 
+def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """label_id, text: the pieces of an order without anything between."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("item"))
+    each = F.transform(F.array_sort(F.collect_list("item")), lambda x: F.concat(_pick(RULE_PIECES, x["l_partkey"]), _pick(RULE_PIECES, x["l_suppkey"])))
+    return items.groupBy(F.col("l_orderkey").alias("label_id")).agg(F.array_join(each, "").alias("text"))
+
+
 def _list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v + "'" for v in values) + "]"
 
 
+RULE_TEXTS_SQL = f"""
+texts AS (SELECT l_orderkey AS label_id, string_agg({_list(RULE_PIECES)}[CAST(l_partkey % {len(RULE_PIECES)} AS INT) + 1] || {_list(RULE_PIECES)}[CAST(l_suppkey % {len(RULE_PIECES)} AS INT) + 1], ''
+  ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS text FROM lineitem GROUP BY l_orderkey)
+"""
+
 #: CTEs `labels` and `norm` (normalised text) in DuckDB.
 LABELS_SQL = f"""
 bodies AS (SELECT l_orderkey AS label_id, string_agg({_list(PIECES)}[CAST(l_partkey % {len(PIECES)} AS INT) + 1], '、' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS body FROM lineitem GROUP BY l_orderkey),

@@ -13,14 +13,16 @@ from labelsieve.operators import findings as fi
 from labelsieve.operators import history as hi
 from labelsieve.operators import lines as ln
 from labelsieve.operators.codes import parse_codes
-from labelsieve.operators.scan import find_phrases, scan_dictionary
+from labelsieve.operators.rules import generic_rules
+from labelsieve.operators.scan import find_phrases, scan_dictionary, with_occurrences
 from labelsieve.operators.segments import segment
 from labelsieve.operators.stitch import overlap_candidates, stitch_texts
 from labelsieve.plans import packs
 from labelsieve.plans.screen import flagged_terms, screen_labels
 from labelsieve.sources import fixed
 from labelsieve.sources.seeds import DICTIONARY, _rows, lexicon
-from labelsieve.sources.tables import load_dictionary, local_table, phrases
+from labelsieve.sources.rules import rule_rows
+from labelsieve.sources.tables import load_dictionary, local_table, phrases, rule_terms
 from labelsieve.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +71,13 @@ def find_phrases_all(s: SparkSession, d: str) -> DataFrame:
     return find_phrases(_norm(s, d), ["label_id"], "norm", kinds).select("label_id", "kind", "term", F.col("start").cast("long").alias("start"))
 
 
+def rule_findings(s: SparkSession, d: str) -> DataFrame:
+    """What the character rules find in texts that no dictionary term covers."""
+    rows = with_occurrences(fx.rule_texts(s, d), ["label_id"], "text", rule_terms(s), {"matches": (["rule"], "all")})
+    found = rows.select("label_id", "text", F.explode(generic_rules(F.col("text"), F.col("matches"), F.slice("matches", 1, 0))).alias("r"))
+    return found.select("label_id", F.substring("text", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("term"), F.col("r.start").cast("long").alias("start"), "r.status", "r.category", "r.en")
+
+
 def flagged(s: SparkSession, d: str) -> DataFrame:
     return flagged_terms(fx.labels(s, d), lexicon(s).dictionary).select("label_id", "term", "status", "count", F.col("severity").cast("int").alias("severity"), "level")
 
@@ -247,7 +256,7 @@ def session_end(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: list[Query] = [
-    normalize, text_functions, translate_links, ocr_post, scan_dictionary_hits, scan_latin, find_phrases_all, flagged, segments, segment_pieces, codes, screen, verdict_report, dictionary_gaps, top_flagged,
+    normalize, text_functions, translate_links, ocr_post, scan_dictionary_hits, scan_latin, find_phrases_all, rule_findings, flagged, segments, segment_pieces, codes, screen, verdict_report, dictionary_gaps, top_flagged,
     web_lists, pack, overlaps, stitch, combined, reading_order, photo_texts, box_order, read_score, sideways_angle, text_confidence, choose_read, read_merge, latest_history, delete_history,
     history_preview, lookup_many, ordered_findings, status_rollup, marked_snippets, glossary_page, fallback_read, live_intake, live_versions, sharp_frames, live_buffer, session_end,
 ]
@@ -363,6 +372,19 @@ ORACLE["live_versions"] = f"{_VERSIONS} SELECT session_id, j AS seq, version, ke
 ORACLE["sharp_frames"] = """SELECT session_id, frame_no FROM (SELECT user_id AS session_id, event_id AS frame_no, value,
     max(value) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch_us(ts) / 30000000) AS BIGINT), event_id ROWS UNBOUNDED PRECEDING) AS best FROM events) WHERE value >= greatest(25, 0.45 * best)"""
 
+_RULES = ", ".join(f"({k}, '{r.pattern}', {r.place}, '{r.pattern[r.place]}', {r.back}, {r.ahead}, '{r.status}', '{r.category}', '{r.en}')" for k, r in enumerate(rule_rows()))
+_HAN_RUN = "[㐀-鿿豈-﫿]*"
+ORACLE["rule_findings"] = f"""WITH RECURSIVE {fx.RULE_TEXTS_SQL}, rules(k, pattern, place, ch, back, ahead, status, category, en) AS (VALUES {_RULES}),
+    spots AS (SELECT label_id, text, unnest(range(1, length(text) + 1)) AS i FROM texts),
+    met AS (SELECT label_id, i, text, min(k) AS k FROM spots JOIN rules ON substr(text, i, 1) = ch AND i > place AND substr(text, i - place, length(pattern)) = pattern GROUP BY ALL),
+    sized AS (SELECT label_id, text, i - 1 AS pos, row_number() OVER (PARTITION BY label_id ORDER BY i) AS n, status, category, en,
+      i - 1 - least(back, length(regexp_extract(substr(text, 1, i - 1), '({_HAN_RUN})$', 1))) AS lo, i + least(ahead, length(regexp_extract(substr(text, i + 1), '^({_HAN_RUN})', 1))) AS hi FROM met JOIN rules USING (k)),
+    f AS (SELECT label_id, 0::BIGINT AS n, 0::BIGINT AS past, false AS taken, 0::BIGINT AS lo, 0::BIGINT AS hi, '' AS status, '' AS category, '' AS en FROM texts
+      UNION ALL SELECT s.label_id, s.n, CASE WHEN d THEN f.past ELSE s.hi END, NOT d, greatest(s.lo, f.past), s.hi, s.status, s.category, s.en
+      FROM f JOIN sized s ON s.label_id = f.label_id AND s.n = f.n + 1,
+      LATERAL (SELECT s.status = '' OR s.pos < f.past OR (s.category <> 'pork' AND regexp_matches(substr(s.text, greatest(greatest(s.lo, f.past) - 2, 0) + 1, s.hi - greatest(s.lo, f.past) + 4), '{fixed.ADDRESS}')) AS d))
+    SELECT label_id, substr(text, lo + 1, hi - lo) AS term, lo AS start, status, category, en FROM f JOIN texts USING (label_id) WHERE taken"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
