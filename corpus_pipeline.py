@@ -19,14 +19,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more stay; null text is scored as empty."""
+    """Documents that score 0.7 or more stay; null text is scored as empty.
+
+    Rows that repeat are judged alike. An empty table gives an empty result; other columns don't change a score.
+    """
     trees = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = docs.withColumn("quality_score", quality.quality_score(trees, F.col("text")))
     return scored.filter("quality_score >= 0.7").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for white space the one with the smallest identifier stays; null text is empty, null identifiers come last."""
+    """Of texts equal but for white space the one with the smallest identifier stays; null text is empty, null identifiers come last.
+
+    Of rows that repeat identifier and text one stays. An empty table gives an empty result; other columns aren't read.
+    """
     return exact_dedup.without_copies(docs).select(*COLUMNS)
 
 
@@ -49,12 +55,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate says; null text has no words, and null is a source of its own."""
+    """Each document as often as its source's rate says; null text has no words, and null is a source of its own.
+
+    Rows that repeat get equal copies. An empty table gives an empty result; other columns aren't read.
+    """
     return mixing.mixed(docs).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document and the text they decode to, one row per copy in the mix; null text is empty and has no ids."""
+    """Ids of each document and the text they decode to, one row per copy in the mix; null text is empty and has no ids.
+
+    An empty table gives an empty result; other columns aren't read.
+    """
     coded = bpe.encode_docs(docs, public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 

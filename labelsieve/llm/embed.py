@@ -129,8 +129,8 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "ve
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Two vectors link when their labels are equal and not null, their sizes are equal and their cosine in double
-    precision reaches `cosine`. A vector that is null, empty, zero, or holds null or non-finite components links with
-    nothing, is its own component and is kept. Rows that repeat are vectors of their own and link with each other.
+    precision reaches `cosine`. A vector that is null, empty, zero, or holds null or non-finite components, or whose
+    identifier is null, links with nothing, is its own component and is kept. Equal vectors of a label are told by two hashes, of 64 and 32 bits. Rows that repeat are vectors of their own and link with each other.
     Identifiers may be numbers or text, compared as such. An empty table gives an empty result; other columns aren't read.
     """
     types = dict(vectors.dtypes)

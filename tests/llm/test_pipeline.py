@@ -1,6 +1,12 @@
 """The pipeline's stages against what brute force keeps."""
 
+import hashlib
+import math
 import re
+from collections import Counter
+
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 
@@ -66,3 +72,56 @@ def test_stages_on_an_empty_table(spark):
     empty = spark.read.parquet(f"{D}/documents.parquet").filter("false")
     for name, stage in cp.STAGES:
         assert stage(spark, empty, D).collect() == [], name
+
+
+def copies(rows):
+    """How often each (doc_id, source, words) is in the mix: shares of 5, 2 and 1 in turn, at most 3 times a source's words, what is left over shared again."""
+    own = Counter()
+    for _, source, n in rows:
+        own[source] += n
+    names = sorted(own, key=lambda x: (x is None, x or ""))
+    weight = {x: (5, 2, 1)[k % 3] for k, x in enumerate(names)}
+    total, open_, target = sum(own.values()), set(names), {}
+    while open_:
+        left = total - sum(target.values())
+        share = {x: left * weight[x] / sum(weight[y] for y in open_) for x in open_}
+        full = {x for x in open_ if share[x] > 3 * own[x]}
+        target |= {x: 3 * own[x] for x in full} if full else share
+        open_ = open_ - full if full else set()
+    out = {}
+    for doc_id, source, _ in rows:
+        rate = target[source] / own[source] if own[source] else 0.0
+        u = int(hashlib.md5(f"mix:{doc_id}".encode()).hexdigest()[:8], 16) / 2**32
+        out[doc_id] = math.floor(rate) + (u < rate - math.floor(rate))
+    return out
+
+
+def test_run_mixes_and_encodes_what_the_first_stages_keep(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    for _, stage in cp.STAGES[:3]:
+        docs = stage(spark, docs, D)
+    kept = docs.collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    times = copies([(r["doc_id"], r["source"], len(WORDS.findall(r["text"] or ""))) for r in kept])
+    want = Counter()
+    for r in kept:
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids
+        decoded = tokenizer.decode(ids, skip_special_tokens=False)
+        want[r["doc_id"], len(ids), tuple(ids), hashlib.sha256(decoded.encode()).hexdigest()] += times[r["doc_id"]]
+    got = Counter((r["doc_id"], r["n_tokens"], tuple(r["ids"]), r["decoded_sha256"]) for r in cp.run(spark, D).collect())
+    assert got == +want and len(got) > 50
+
+
+def test_stages_with_clashing_columns(spark):
+    """Columns named like those that operators use inside change nothing; the stages give the columns of documents."""
+    plain = spark.read.parquet(f"{D}/documents.parquet").limit(60).cache()
+    names = ["row_key", "key", "bucket", "size", "h", "n", "id", "mix_size", "quality_score", "component_id", "keep_id", "ids", "decoded"]
+    from pyspark.sql import functions as F
+
+    clashing = plain.select("*", *[F.lit("x").alias(c) for c in names])
+    for name, stage in cp.STAGES:
+        a, b = stage(spark, plain, D), stage(spark, clashing, D)
+        assert a.columns == b.columns, name
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())), name
