@@ -219,6 +219,21 @@ def glossary_page(s: SparkSession, d: str) -> DataFrame:
     return hi.page(fx.table(s, d, "part").select(F.col("p_partkey").alias("ord"), "p_name"), 100, 50)
 
 
+def glossary(s: SparkSession, d: str) -> DataFrame:
+    """The parts as a glossary: entries of one status that hold a sought text in any of their fields."""
+    p = fx.table(s, d, "part")
+    status = fx._pick(["ok", "haram", "review"], F.col("p_partkey"))
+    entries = p.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("term"), F.col("p_type").alias("en"), F.col("p_brand").alias("py"), status.alias("status"))
+    return hi.glossary_filter(entries, "haram", " RED").unionByName(hi.glossary_filter(entries, "all", "brand#2")).select("ord", "term", "status")
+
+
+def name_guess(s: SparkSession, d: str) -> DataFrame:
+    """What a label is looked up by elsewhere: its name, its short text, the words around a product type, or its longest run."""
+    rows = fx.rule_texts(s, d)
+    name, alias = F.when(F.col("label_id") % 7 == 0, fx._pick(fx.NAMES, F.col("label_id"))), F.when(F.col("label_id") % 3 == 0, "骨干").when(F.col("label_id") % 3 == 1, "茶")
+    return rows.select("label_id", tx.lookup_name_guess(name, F.col("text"), alias).alias("guess"))
+
+
 def fallback_read(s: SparkSession, d: str) -> DataFrame:
     """The best engine's read of each photo."""
     engine = fx._pick(["basic", "phone", "server"], F.col("l_partkey") % 3)
@@ -258,7 +273,7 @@ def session_end(s: SparkSession, d: str) -> DataFrame:
 QUERIES: list[Query] = [
     normalize, text_functions, translate_links, ocr_post, scan_dictionary_hits, scan_latin, find_phrases_all, rule_findings, flagged, segments, segment_pieces, codes, screen, verdict_report, dictionary_gaps, top_flagged,
     web_lists, pack, overlaps, stitch, combined, reading_order, photo_texts, box_order, read_score, sideways_angle, text_confidence, choose_read, read_merge, latest_history, delete_history,
-    history_preview, lookup_many, ordered_findings, status_rollup, marked_snippets, glossary_page, fallback_read, live_intake, live_versions, sharp_frames, live_buffer, session_end,
+    history_preview, lookup_many, ordered_findings, status_rollup, marked_snippets, glossary_page, glossary, name_guess, fallback_read, live_intake, live_versions, sharp_frames, live_buffer, session_end,
 ]
 
 
@@ -372,6 +387,15 @@ ORACLE["live_versions"] = f"{_VERSIONS} SELECT session_id, j AS seq, version, ke
 ORACLE["sharp_frames"] = """SELECT session_id, frame_no FROM (SELECT user_id AS session_id, event_id AS frame_no, value,
     max(value) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch_us(ts) / 30000000) AS BIGINT), event_id ROWS UNBOUNDED PRECEDING) AS best FROM events) WHERE value >= greatest(25, 0.45 * best)"""
 
+ORACLE["glossary"] = """WITH e AS (SELECT p_partkey AS ord, p_name AS term, p_type AS en, p_brand AS py, ['ok', 'haram', 'review'][CAST(p_partkey % 3 AS INT) + 1] AS status FROM part)
+    SELECT ord, term, status FROM e WHERE status = 'haram' AND (contains(lower(term), 'red') OR contains(lower(en), 'red') OR contains(lower(py), 'red'))
+    UNION ALL SELECT ord, term, status FROM e WHERE contains(lower(term), 'brand#2') OR contains(lower(en), 'brand#2') OR contains(lower(py), 'brand#2')"""
+ORACLE["name_guess"] = f"""WITH {fx.RULE_TEXTS_SQL}, t AS (SELECT label_id, trim(regexp_replace(text, '[\\s　]+', ' ', 'g')) AS plain, CASE WHEN label_id % 7 = 0 THEN {fx._list(fx.NAMES)}[CAST(label_id % {len(fx.NAMES)} AS INT) + 1] END AS name,
+      CASE label_id % 3 WHEN 0 THEN '骨干' WHEN 1 THEN '茶' END AS alias FROM texts),
+    a AS (SELECT label_id, arg_min(x, k) AS around FROM (SELECT label_id, alias, unnest(regexp_extract_all(plain, '[一-鿿]{{2,14}}')) AS x, generate_subscripts(regexp_extract_all(plain, '[一-鿿]{{2,14}}'), 1) AS k FROM t) WHERE contains(x, alias) GROUP BY label_id),
+    l AS (SELECT label_id, arg_max(x, length(x) * 1000 - k) AS longest FROM (SELECT label_id, unnest(regexp_extract_all(plain, '[一-鿿]{{2,12}}')) AS x, generate_subscripts(regexp_extract_all(plain, '[一-鿿]{{2,12}}'), 1) AS k FROM t) GROUP BY label_id)
+    SELECT label_id, coalesce(CASE WHEN length(name) > 0 THEN name END, CASE WHEN length(plain) BETWEEN 2 AND 24 THEN plain END, CASE WHEN alias IS NOT NULL THEN coalesce(around, alias) END, longest, '') AS guess
+    FROM t LEFT JOIN a USING (label_id) LEFT JOIN l USING (label_id)"""
 _RULES = ", ".join(f"({k}, '{r.pattern}', {r.place}, '{r.pattern[r.place]}', {r.back}, {r.ahead}, '{r.status}', '{r.category}', '{r.en}')" for k, r in enumerate(rule_rows()))
 _HAN_RUN = "[㐀-鿿豈-﫿]*"
 ORACLE["rule_findings"] = f"""WITH RECURSIVE {fx.RULE_TEXTS_SQL}, rules(k, pattern, place, ch, back, ahead, status, category, en) AS (VALUES {_RULES}),
