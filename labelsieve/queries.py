@@ -337,6 +337,14 @@ ORACLE["combined"] = f"""WITH parts AS (SELECT l_orderkey AS pack_id, l_linenumb
     n AS (SELECT pack_id, row_number() OVER w AS k, CASE WHEN row_number() OVER w = 1 THEN '配料:' ELSE right(lag(part) OVER w, 6) END || part AS text FROM parts WINDOW w AS (PARTITION BY pack_id ORDER BY no))
     SELECT pack_id, string_agg(CASE WHEN k = 1 THEN text ELSE chr(10) || chr(10) || '[photo ' || k || ']' || chr(10) || text END, '' ORDER BY k) AS text FROM n GROUP BY pack_id"""
 
+# The fixture's photos are one line each.
+ORACLE["overlaps"] = f"""WITH parts AS (SELECT l_orderkey AS pack_id, l_linenumber % 3 + 1 AS no, string_agg({_PHOTO_PIECES}, '、' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS part FROM lineitem GROUP BY ALL),
+    n AS (SELECT pack_id, row_number() OVER w AS k, CASE WHEN row_number() OVER w = 1 THEN '配料:' ELSE right(lag(part) OVER w, 6) END || part AS text FROM parts WINDOW w AS (PARTITION BY pack_id ORDER BY no)),
+    p AS (SELECT a.pack_id, a.k AS photo_no, b.k AS next_photo_no, a.text AS line, b.text AS next FROM n a JOIN n b ON a.pack_id = b.pack_id AND a.k <> b.k),
+    e AS (SELECT pack_id, photo_no, next_photo_no, next, m, right(line, m) AS tail FROM (SELECT *, unnest(generate_series(3, least(40, length(line), length(next)))) AS m FROM p))
+    SELECT pack_id, CAST(photo_no AS INT) AS photo_no, 0 AS line_no, CAST(next_photo_no AS INT) AS next_photo_no, 0 AS next_line_no, CAST(arg_max(instr(next, tail) - 1 + m, m) AS INT) AS at FROM e
+    WHERE len(regexp_extract_all(tail, '[一-鿿]')) >= 2 AND instr(next, tail) > 0 AND (m >= 5 OR instr(next, tail) <= 3) GROUP BY pack_id, photo_no, next_photo_no"""
+
 
 _STATUS = """CASE WHEN max(severity) > 0 THEN arg_min(status, (-severity, i)) ELSE coalesce(arg_min(status, i) FILTER (status <> 'ok'), 'ok') END"""
 ORACLE["segments"] = f"""WITH {fx.LABELS_SQL}, dict AS (SELECT * FROM (VALUES {_VALUES}) AS t(ord, term, status, en, py)),
