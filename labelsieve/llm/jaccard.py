@@ -509,9 +509,10 @@ def _members(rows: DataFrame, narrow: DataFrame, alive: DataFrame, n: int) -> Da
 
 
 def _scan(rows: DataFrame, narrow: DataFrame, listed: DataFrame, sketches: DataFrame, whole: DataFrame, rule: Rule, links: DataFrame, n: int) -> DataFrame:
-    """Links found in the lists, enough of them to connect what is connected. Lists get their sketches just before a scan.
+    """Links enough to connect what the lists connect: sets with their components so far, and what the last scan found.
 
-    The last scan is over lists dealt by their smallest set: near copies meet in few groups, each with one whole sketch of a set.
+    Lists get their sketches just before a scan. The last scan is over lists dealt by their smallest set: near copies meet
+    in few groups, each with one whole sketch of a set.
     """
     state = listed.join(sketches, "key").withColumn("comp", F.col("key"))
     sets = tested = None
@@ -533,7 +534,10 @@ def _scan(rows: DataFrame, narrow: DataFrame, listed: DataFrame, sketches: DataF
         links = links.unionByName(stored(_verified(pairs, sets, rule), "verified"))
         if last:
             break
-        comp = components(links).select(F.col("node").alias("key"), F.col("component").alias("to"))
+        known = components(links)
+        # Components stand for the links they came from: what is known isn't connected anew after each scan.
+        links = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        comp = known.select(F.col("node").alias("key"), F.col("component").alias("to"))
         near = listed if k + 1 == PARTNER_ROUNDS else listed.join(sketches, "key")
         state = near.join(comp, "key", "left").withColumn("comp", F.coalesce("to", "key")).drop("to")
     return links

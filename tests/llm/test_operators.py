@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
@@ -128,6 +129,38 @@ def test_components(spark):
     assert components(edges.limit(0)).collect() == []
 
 
+def counted(monkeypatch):
+    """The names under which components() stores tables from now on: one for the links and one for each round."""
+    names, real = [], sys.modules[components.__module__].stored
+    monkeypatch.setattr(sys.modules[components.__module__], "stored", lambda df, name: names.append(name) or real(df, name))
+    return names
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    names = counted(monkeypatch)
+    stars = spark.createDataFrame([(1, 4), (1, 9), (9, 1), (7, 8), (5, 5)], "a long, b long")
+    assert {r["node"]: r["component"] for r in components(stars).collect()} == {1: 1, 4: 1, 9: 1, 7: 7, 8: 7}
+    assert len(names) == 1
+    path = spark.createDataFrame([(1, 2), (3, 2), (1, 4), (4, 9)], "a long, b long")
+    assert {r["node"]: r["component"] for r in components(path).collect()} == dict.fromkeys([1, 2, 3, 4, 9], 1)
+    assert len(names) <= 4
+
+
+def test_known_components_are_not_connected_anew(spark, monkeypatch):
+    """Near copies are connected after the first scan; later scans start from their components."""
+    names, rng = counted(monkeypatch), random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for k in range(40):
+        own = list(base)
+        own[rng.randrange(400)] = f"x{k}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard.jaccard_groups(docs, 5, 80).collect()} == {0}
+    assert len(names) <= 5
+
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(1)
     good = [" ".join(rng.choices(["the", "and", "rain", "falls", "on", "hills."], k=40)) for _ in range(300)]
