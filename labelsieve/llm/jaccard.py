@@ -137,11 +137,14 @@ def _sketch(n: int, rule: Rule):
     return run
 
 
-def _add_slices(table: pa.Table) -> pa.Table:
+def _rank_slices(table: pa.Table) -> pa.Table:
+    """Ranks of a slice's shingles, one byte each: they follow the counts of all tasks, ever more coarsely; any fixed order gives the same links."""
     total = np.zeros(COUNTERS // _SLICES, np.int64)
     for row in table["counts"]:
         total += np.frombuffer(row.as_py(), np.uint16)
-    return pa.table({"slice": table["slice"].slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+    counts = np.minimum(total, 2**31 - 1).astype(np.float64)
+    ranks = np.minimum(255, np.where(counts < 64, counts, 64 + 16 * np.log2(np.maximum(counts, 64) / 64))).astype(np.uint8)
+    return pa.table({"slice": table["slice"].slice(0, 1), "ranks": pa.array([ranks.tobytes()], pa.binary())})
 
 
 def light_boundary(sizes: dict[int, int], rule: Rule, list_cost: float = 8.0) -> int:
@@ -465,10 +468,8 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str =
     narrow = told.filter("slice is null").select("doc_id", "n", "key", F.col("counts").alias("sketch"), "wide")
     ranks = np.zeros(COUNTERS, np.uint8)
     width = COUNTERS // _SLICES
-    for r in told.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect():  # a fixed number of rows of fixed size
-        # Ranks follow the counts, ever more coarsely; any fixed order gives the same links.
-        counts = np.frombuffer(r["counts"], np.int32).astype(np.float64)
-        ranks[r["slice"] * width : (r["slice"] + 1) * width] = np.minimum(255, np.where(counts < 64, counts, 64 + 16 * np.log2(np.maximum(counts, 64) / 64)))
+    for r in told.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_rank_slices, "slice int, ranks binary").collect():  # a fixed number of rows of fixed size
+        ranks[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["ranks"], np.uint8)
     rank = spark.sparkContext.broadcast(ranks)
     sizes = {r[0]: r[1] for r in narrow.filter("n > 0").groupBy(F.least("n", F.lit(64)).alias("n")).agg(F.count(F.lit(1))).collect()}  # at most 64 rows
     boundary = light_boundary(sizes, rule)

@@ -146,6 +146,15 @@ def test_stars_take_no_round(spark, monkeypatch):
     assert len(names) <= 4
 
 
+def test_ranks_reach_the_driver_as_bytes(monkeypatch):
+    """The driver gets one byte of each counter, and the ranks are those of the counts of all tasks."""
+    monkeypatch.setattr(jaccard, "COUNTERS", 8 * jaccard._SLICES)
+    parts = np.array([[0, 1, 63, 64, 65, 128, 65535, 65535], [0, 0, 0, 0, 62, 0, 65535, 0]], np.uint16)
+    got = jaccard._rank_slices(pa.table({"slice": pa.array([3, 3], pa.int32()), "counts": pa.array([x.tobytes() for x in parts], pa.binary())}))
+    assert got["slice"].to_pylist() == [3]
+    assert list(got["ranks"][0].as_py()) == [0, 1, 63, 64, 79, 80, 239, 223]
+
+
 def test_known_components_are_not_connected_anew(spark, monkeypatch):
     """Near copies are connected after the first scan; later scans start from their components."""
     names, rng = counted(monkeypatch), random.Random(8)
