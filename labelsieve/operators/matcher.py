@@ -121,21 +121,21 @@ class Matcher:
             found.append(own[row[same]])
         return np.concatenate(found_at), np.concatenate(found)
 
-    def _part(self, texts: list[str], number: list[int], skip: list[int]) -> tuple:
-        """Of some texts or parts of texts: number of the text, start, entry, the part's string and where it begins."""
+    def _part(self, texts: list[str], number: list[int], skip: list[int], around: bool) -> tuple:
+        """Of some texts or parts of texts: number of the text, start, entry, and what stands before and behind, if it is asked for."""
         whole = "".join(texts)
         ends = np.cumsum([0, *map(len, texts)])
         owner = np.repeat(np.arange(len(texts)), np.diff(ends))
         at, entry = self._sought(code_points(whole), ends, owner)
         own = owner[at]
         before, after = [], []
-        for p, n, k in zip(at.tolist(), self.lengths[entry].tolist(), own.tolist(), strict=True):
+        for p, n, k in zip(at.tolist(), self.lengths[entry].tolist(), own.tolist(), strict=True) if around else ():
             begin, end = int(ends[k]), int(ends[k + 1])
             before.append(whole[max(begin, p - BEFORE) : p])
             after.append(whole[p + n : min(end, p + n + AFTER)])
         return np.array(number)[own] if len(own) else own, at - ends[own] + np.array(skip, np.int64)[own], entry, before, after
 
-    def parts(self, texts: Sequence[str | None]) -> Iterator[tuple]:
+    def parts(self, texts: Sequence[str | None], around: bool = True) -> Iterator[tuple]:
         """Occurrences in texts, some texts at a time, in parts where they are long."""
         some, number, skip, size = [], [], [], 0
         for k, t in enumerate(texts):
@@ -145,19 +145,26 @@ class Matcher:
                 # A part holds the starts of STEP characters, with what an occurrence and its surroundings need on both sides.
                 for begin in range(0, len(t), STEP):
                     low = max(0, begin - BEFORE)
-                    number_of, start, entry, before, after = self._part([t[low : begin + STEP + self.longest + AFTER]], [k], [low])
+                    number_of, start, entry, before, after = self._part([t[low : begin + STEP + self.longest + AFTER]], [k], [low], around)
                     use = np.flatnonzero((start >= begin) & (start < begin + STEP))
-                    yield number_of[use], start[use], entry[use], [before[i] for i in use], [after[i] for i in use]
+                    yield number_of[use], start[use], entry[use], [before[i] for i in use] if around else [], [after[i] for i in use] if around else []
                 continue
             if size + len(t) > STEP:
-                yield self._part(some, number, skip)
+                yield self._part(some, number, skip, around)
                 some, number, skip, size = [], [], [], 0
             some.append(t)
             number.append(k)
             skip.append(0)
             size += len(t)
         if some:
-            yield self._part(some, number, skip)
+            yield self._part(some, number, skip, around)
+
+    def places(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, start and entry of all occurrences, ordered by text, start, longest first, then ord."""
+        parts, none = list(self.parts(texts, False)), np.zeros(0, np.int64)
+        number, start, entry = (np.concatenate([none, *[p[k] for p in parts]]) for k in range(3))
+        order = np.lexsort((self.ords[entry], -self.lengths[entry], start, number))
+        return number[order], start[order], entry[order]
 
     def seek(self, texts: Sequence[str | None]) -> Found:
         """All occurrences in texts, ordered by text, start, longest first, then ord."""
