@@ -93,14 +93,14 @@ def _shared_codes(codes: DataFrame):
     return codes.sparkSession.sparkContext.broadcast({r[0]: tuple(r[1:]) for r in reversed(rows)}) if len(rows) <= BROADCAST_ROWS else None
 
 
-def screener(lexicon: Lexicon, settings: Settings) -> Callable[[], judge.Screener] | None:
+def screener(lexicon: Lexicon, settings: Settings, columns: Sequence[str]) -> Callable[[], judge.Screener] | None:
     """What makes a screener inside a task; None if a word table is too large to be sent."""
     terms = lexicon.ready("all", lambda: Terms(lexicon.terms()))
     codes = lexicon.ready("codes", lambda: _shared_codes(lexicon.codes)) if terms.local else None
     if codes is None:
         return None
     shared, words = terms.shared, [*lexicon.detect_strong, *lexicon.detect_weak]
-    return lambda: judge.Screener(shared.value, codes.value, words, settings)
+    return lambda: judge.Screener(shared.value, codes.value, words, settings, columns)
 
 
 def result_schema(names: Sequence[str], confidence: str) -> StructType:
@@ -115,7 +115,7 @@ def screen_labels(labels: DataFrame, lexicon: Lexicon, settings: Settings | None
     is unknown; label_id is unique. An empty table gives an empty result. columns: those to be given besides label_id, if not all.
     """
     settings, wanted = settings or Settings(), list(columns or judge.TYPES)
-    make = screener(lexicon, settings)
+    make = screener(lexicon, settings, wanted)
     if make is None:
         return screen_columns(labels, lexicon, settings).select("label_id", *wanted)
     base = _with_options(labels, settings).select("label_id", "text", *OPTIONS)

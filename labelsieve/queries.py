@@ -104,7 +104,7 @@ def verdict_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def dictionary_gaps(s: SparkSession, d: str) -> DataFrame:
-    return packs.unknown_chunks(screen_labels(fx.labels(s, d), lexicon(s)))
+    return packs.unknown_chunks(screen_labels(fx.labels(s, d), lexicon(s), columns=["segments"]))
 
 
 def top_flagged(s: SparkSession, d: str) -> DataFrame:
