@@ -108,7 +108,7 @@ def dictionary_gaps(s: SparkSession, d: str) -> DataFrame:
 
 
 def top_flagged(s: SparkSession, d: str) -> DataFrame:
-    return packs.top_flagged(screen_labels(fx.labels(s, d), lexicon(s)))
+    return packs.top_flagged(screen_labels(fx.labels(s, d), lexicon(s), columns=["findings"]))
 
 
 def web_lists(s: SparkSession, d: str) -> DataFrame:
