@@ -100,7 +100,7 @@ def screen(s: SparkSession, d: str) -> DataFrame:
 
 
 def verdict_report(s: SparkSession, d: str) -> DataFrame:
-    return packs.corpus_report(screen_labels(fx.labels(s, d), lexicon(s)))
+    return packs.corpus_report(screen_labels(fx.labels(s, d), lexicon(s), columns=["kind", "verdict"]))
 
 
 def dictionary_gaps(s: SparkSession, d: str) -> DataFrame:
