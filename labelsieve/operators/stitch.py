@@ -13,6 +13,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 _HAN = re.compile(f"[{chr(0x4E00)}-{chr(0x9FFF)}]")
 _SPACE = " \t\r\f\v" + chr(0xA0) + chr(0x3000) + chr(0xFEFF)
 
+#: Lines of a pack up to which an index costs more than it saves.
+FEW_LINES = 32
+
 
 def line_overlap(a: str, b: str) -> int | None:
     """Where line b goes on from the end of line a, or None.
@@ -37,13 +40,14 @@ def stitch_lines(texts: list[str | None], rounds: int = 20) -> tuple[str, int]:
 
     Lines are walked in order; a chain takes the first fitting unused line of another photo, up to `rounds` times. A line
     that goes on from a chain holds its last three characters, so only lines that an inverted index of three-character
-    stretches has under those are tried; lines without overlap are never compared.
+    stretches has under those are tried; lines without overlap are never compared. A few lines are looked through without one.
     """
     photos = [[x for x in (line.strip(_SPACE) for line in (t or "").split("\n")) if len(x) >= 2] for t in texts]
     places = [(i, line) for i, lines in enumerate(photos) for line in lines]
     index: dict[str, list[int]] = {}
+    few = len(places) <= FEW_LINES
     for k, (_, line) in enumerate(places):
-        for gram in _grams(line):
+        for gram in () if few else _grams(line):
             index.setdefault(gram, []).append(k)
     used, out, joins = [False] * len(places), [], 0
     for k, (photo, chain) in enumerate(places):
@@ -51,7 +55,11 @@ def stitch_lines(texts: list[str | None], rounds: int = 20) -> tuple[str, int]:
             continue
         used[k] = True
         for _ in range(rounds):
-            able = index[chain[-3:]] = [n for n in index.get(chain[-3:], ()) if not used[n]]
+            tail = chain[-3:]
+            if few:
+                able = [n for n, (_, line) in enumerate(places) if not used[n] and len(tail) == 3 and tail in line]
+            else:
+                able = index[tail] = [n for n in index.get(tail, ()) if not used[n]]
             fit = next(((n, end) for n in able if places[n][0] != photo and (end := line_overlap(chain, places[n][1])) is not None), None)
             if fit is None:
                 break

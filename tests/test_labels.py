@@ -14,6 +14,7 @@ from labelsieve.operators import findings as fi
 from labelsieve.operators import history as hi
 from labelsieve.operators import lines as ln
 from labelsieve.operators import segments as sg
+from labelsieve.operators import stitch as st
 from labelsieve.operators.scan import scan_dictionary
 from labelsieve.operators.stitch import line_overlap, overlap_candidates, stitch_lines
 from labelsieve.plans import packs
@@ -249,6 +250,19 @@ def test_stitching_by_index_equals_trying_all_lines(spark):
     assert got == {(k, n, i, m, j, end) for k, n, i, x in lines for q, m, j, y in lines if k == q and n != m and (end := line_overlap(x, y)) is not None}
 
 
+def test_stitching_with_and_without_an_index(monkeypatch):
+    """Packs of a few lines are looked through, others by an index; both give the same chains."""
+    rng = random.Random(31)
+    long = "".join(rng.choices("水盐糖油米面粉豆奶ab", k=400))
+    packs_ = [["\n".join(long[a : a + rng.randrange(1, 14)] for a in rng.choices(range(390), k=rng.randrange(1, 15))) for _ in range(4)] for _ in range(60)]
+    assert {len("\n".join(p).split("\n")) > st.FEW_LINES for p in packs_} == {True, False}
+    got = [stitch_lines(p) for p in packs_]
+    for few in (0, 1000):
+        monkeypatch.setattr(st, "FEW_LINES", few)
+        assert [stitch_lines(p) for p in packs_] == got
+    assert got == [chained(p) for p in packs_] and sum(joins for _, joins in got) > 50
+
+
 def test_stitching_many_lines_is_linear():
     rng = random.Random(13)
     lines = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(30)) for _ in range(20_000)]
